@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardflow.functions.scalar import half_even
+
 ID_CHUNK_BITS = 20  # at most 2**20 unique ids in one block
 
 
@@ -56,15 +58,16 @@ def ordered_counts(
     value: str,
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
-    blocks: int = 128,
+    depth: int = 7,
 ) -> DataFrame:
-    """One row per distinct (by, value): row count and running totals below it.
-
-    Returns ``by..., value, n, n_before`` and, for each extra sum ``s``,
-    ``s, s_before``. Rows are first reduced to distinct values (partial
-    aggregation). The distinct values are cut into blocks at approximate
-    percentiles, so even one group with very many distinct values is scanned by
-    several tasks; any cut points give the same result.
+    """One row per distinct (by, value): row count, running totals below, group totals.
+
+    Returns ``by..., value``, ``n, n_before, n_total`` and the same three columns
+    for every extra sum. Rows are first reduced to distinct values (partial
+    aggregation). The distinct values are cut into ``2**depth`` blocks at
+    approximate percentiles, so even one group with very many distinct values is
+    scanned by several tasks; any cut points give the same result. ``depth=0``
+    skips the blocks, for values from a small domain (hours, days, labels).
     """
     by = list(by)
     sums = {"n": F.lit(1), **(sums or {})}
@@ -73,16 +76,39 @@ def ordered_counts(
         .groupBy(*by, value)
         .agg(*[F.sum(v).cast("double" if n != "n" else "long").alias(n) for n, v in sums.items()])
     )
-    cuts = counts.agg(
-        F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("cuts")
+    if depth == 0:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        below = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *by,
+            value,
+            *sums,
+            *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_before") for n in sums],
+            *[F.sum(n).over(group).alias(f"{n}_total") for n in sums],
+        )
+    blocks = 2**depth
+    # The sums are carried along only to keep this plan equal to the main one: its
+    # shuffle is then reused and the input is read once.
+    probe = counts.agg(
+        F.struct(
+            F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("cuts"),
+            *[F.max(n).alias(n) for n in sums],
+            *[F.max(k).alias(k) for k in by],
+        ).alias("probe")
     )
-    cut = counts.withColumn("_cuts", cuts.scalar()).withColumn(
-        "_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    cut = counts.withColumn("_probe", probe.scalar()).withColumn("_block", F.lit(0))
+    for step in (2**i for i in reversed(range(depth))):  # binary search in the cut points
+        above = F.get(F.col("_probe.cuts"), F.col("_block") + (step - 1)) < F.col(value)
+        cut = cut.withColumn("_block", F.col("_block") + F.when(above, step).otherwise(0))
+    cut = cut.drop("_probe")
     totals = cut.groupBy(*by, "_block").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    across = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *by, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_c_{n}") for n in sums]
+        *by,
+        "_block",
+        *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums],
     )
     inside = Window.partitionBy(*by, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select(
@@ -90,13 +116,17 @@ def ordered_counts(
     )
     joined = local.join(carried, by + ["_block"])
     return joined.select(
-        *by, value, *sums, *[(F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in sums]
+        *by,
+        value,
+        *sums,
+        *[(F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in sums],
+        *[f"{n}_total" for n in sums],
     )
 
 
-def average_ranks(df: DataFrame, value: str, rank: str = "rank", weight: Column | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rank: str = "rank", weight: Column | None = None, depth: int = 7) -> DataFrame:
     """Rank of every distinct value, ties sharing the mean of their positions."""
-    return ordered_counts(df, value, sums={"n": F.lit(1) if weight is None else weight}).select(
+    return ordered_counts(df, value, sums={"n": F.lit(1) if weight is None else weight}, depth=depth).select(
         value, "n", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(rank)
     )
 
@@ -109,41 +139,24 @@ def value_at(position: Column, value: str) -> Column:
 
 def nearest_rank(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """``sorted(values)[int(n * q)]`` for each quantile, per group."""
-    by = list(by)
-    counts = ordered_counts(df, value, by)
-    total = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    joined = _attach(counts, total, by)
-    picks = [
-        value_at(F.floor(F.col("_total") * F.lit(q)), value).alias(name) for name, q in quantiles.items()
-    ]
-    return joined.groupBy(*by).agg(*picks)
+    picks = [value_at(F.floor(F.col("n_total") * F.lit(q)), value).alias(name) for name, q in quantiles.items()]
+    return ordered_counts(df, value, by).groupBy(*by).agg(*picks)
 
 
-def _attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put a per-group total next to every row; without a group it is a scalar."""
+def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Put the columns of ``totals`` next to every row; without a group it is one row."""
     if by:
         return df.join(totals, list(by))
-    for name in totals.columns:
-        df = df.withColumn(name, totals.select(name).scalar())
-    return df
-
-
-attach_totals = _attach
+    staged = df.withColumn("_one", totals.select(F.struct(*totals.columns)).scalar())
+    return staged.select(*df.columns, "_one.*")
 
 
 def spread_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """mean, interpolated median, nearest-rank p10/p90, min, max (2 decimals)."""
-    from wardflow.functions.scalar import half_even
-
-    by = list(by)
-    counts = ordered_counts(df, value, by)
-    total = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_total"), F.avg(value).alias("_mean")
-    )
-    t = F.col("_total")
-    picked = _attach(counts, total, by).groupBy(*by).agg(
-        F.max("_total").alias("n_values"),
-        F.max("_mean").alias("mean"),
+    by, t = list(by), F.col("n_total")
+    picked = ordered_counts(df, value, by).groupBy(*by).agg(
+        F.max(t).alias("n_values"),
+        (F.sum(F.col(value) * F.col("n")) / F.max(t)).alias("mean"),
         ((value_at(F.floor((t - 1) / 2), value) + value_at(F.floor(t / 2), value)) / 2.0).alias("median"),
         value_at(F.floor(t * F.lit(0.1)), value).alias("p10"),
         value_at(F.floor(t * F.lit(0.9)), value).alias("p90"),
@@ -155,7 +168,7 @@ def spread_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, depth: int = 7) -> DataFrame:
     """Rank correlation with ties, one row ``rho, n``.
 
     Rows are reduced to distinct (x, y) pairs first, so a hot value costs one row.
@@ -164,8 +177,8 @@ def spearman(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFr
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
         F.sum(weight if weight else F.lit(1)).alias("_w")
     )
-    rx = average_ranks(pairs, x, "_rx", F.col("_w")).drop("n")
-    ry = average_ranks(pairs, y, "_ry", F.col("_w")).drop("n")
+    rx = average_ranks(pairs, x, "_rx", F.col("_w"), depth).drop("n")
+    ry = average_ranks(pairs, y, "_ry", F.col("_w"), depth).drop("n")
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = (
         pairs.join(rx, x)

@@ -64,7 +64,8 @@ def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, c
         "urgency",
         "no_show_probability",
     )
-    rows = entries.join(asked, "visit_id", "left").join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
+    placed = entries.select(*SCHEDULE, "visit_id", "doctor_id", "start_minute", "end_minute")
+    rows = placed.join(asked, "visit_id", "left").join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
     known = F.col("requested_start_minute").isNotNull()
     delay = F.when(known, F.greatest(F.col("start_minute") - F.col("requested_start_minute"), F.lit(0)))
     risk = F.when(known, F.col("no_show_probability") * F.col("_length")).otherwise(F.lit(0.0))
@@ -220,20 +221,14 @@ def doctor_sessions(replayed: DataFrame, clinics: DataFrame, service: str = "dur
 def wait_summary(replayed: DataFrame, clinics: DataFrame, by: Sequence[str] = ("clinic_id",)) -> DataFrame:
     """mean, median, p90, max, share above 15 minutes; mean overtime and idle per clinic-day."""
     by = list(by)
-    counts = ordered_counts(replayed, "wait_minutes", by)
-    total = replayed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_total"),
-        F.avg("wait_minutes").alias("_mean"),
-        F.avg((F.col("wait_minutes") > 15).cast("int")).alias("_over"),
-    )
-    t = F.col("_total")
-    waits = attach_totals(counts, total, by).groupBy(*by).agg(
-        F.max("_total").alias("visits"),
-        X.half_even(F.max("_mean"), 2).alias("mean_wait"),
+    t, w = F.col("n_total"), F.col("wait_minutes")
+    waits = ordered_counts(replayed, "wait_minutes", by).groupBy(*by).agg(
+        F.max(t).alias("visits"),
+        X.half_even(F.sum(w * F.col("n")) / F.max(t), 2).alias("mean_wait"),
         value_at(F.floor(t / 2), "wait_minutes").alias("median_wait"),
         value_at(F.floor(t * F.lit(0.9)), "wait_minutes").alias("p90_wait"),
-        F.max("wait_minutes").alias("max_wait"),
-        X.half_even(F.max("_over"), 4).alias("share_over_15"),
+        F.max(w).alias("max_wait"),
+        X.half_even(F.sum(F.when(w > 15, F.col("n")).otherwise(0)) / F.max(t), 4).alias("share_over_15"),
     )
     per_day = doctor_sessions(replayed, clinics).groupBy("clinic_id", "appointment_date").agg(
         F.sum("overtime_minutes").alias("_o"), F.sum("idle_minutes").alias("_i")
@@ -241,7 +236,7 @@ def wait_summary(replayed: DataFrame, clinics: DataFrame, by: Sequence[str] = ("
     days = per_day.groupBy(*by).agg(
         X.half_even(F.avg("_o"), 2).alias("mean_overtime"), X.half_even(F.avg("_i"), 2).alias("mean_idle")
     )
-    return waits.join(days, by) if by else attach_totals(waits, days, [])
+    return attach_totals(waits, days, by)
 
 
 def moved_visit_impact(entries: DataFrame, moves: DataFrame, clinics: DataFrame, *, attends: str | None = None) -> DataFrame:
@@ -284,8 +279,7 @@ def improvement_rollup(days: DataFrame, by: Sequence[str] = (), metric: str = "o
         F.count_if(F.col(metric) < -0.01).alias("days_worse"),
     )
     spread = spread_summary(days, metric, by).drop("n_values")
-    out = tallies.join(spread, by) if by else attach_totals(tallies, spread, [])
-    return out.filter(F.col("days") >= minimum_days)
+    return attach_totals(tallies, spread, by).filter(F.col("days") >= minimum_days)
 
 
 def enrich_with_predictions(requests: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ ASOF_SQL = """SELECT b.*, coalesce(h.n, 0) AS prior_n, coalesce(h.k, 0) AS prior
 @register(
     "asof_history",
     with_views("bookings", """SELECT patient_id, CAST(booked_at AS VARCHAR) AS booked_at, CAST(appointment_date AS VARCHAR) AS appointment_date,
-        status, prior_n, prior_k, CAST(days_since_last AS INT) AS days_since_last FROM asof""", asof=ASOF_SQL),
+        status, prior_n, prior_k, CAST(days_since_last AS INT) AS days_since_last FROM known""", known=ASOF_SQL),
 )
 def asof_history(spark, folder):
     rows = T.bookings(spark, folder).withColumn("label", X.outcome())
@@ -95,11 +95,11 @@ FEATURE_SQL = """SELECT patient_id, CAST(appointment_date AS VARCHAR) AS appoint
     CAST(code AS DOUBLE) AS specialty_code, CAST(isodow(appointment_date) = 1 AS INT)::DOUBLE AS is_monday,
     CAST(isodow(appointment_date) = 5 AS INT)::DOUBLE AS is_friday, CAST(start_minute // 60 <= 9 AS INT)::DOUBLE AS is_early_slot,
     CAST(start_minute // 60 >= 17 AS INT)::DOUBLE AS is_late_slot, CAST({label} AS INT) AS label
-    FROM asof JOIN codes USING (specialty) WHERE status IN ('completed', 'no_show')""".format(label=LABEL_SQL)
+    FROM known JOIN codes USING (specialty) WHERE status IN ('completed', 'no_show')""".format(label=LABEL_SQL)
 CODES_SQL = "SELECT specialty, row_number() OVER (ORDER BY specialty) - 1 AS code FROM (SELECT DISTINCT specialty FROM bookings)"
 
 
-@register("no_show_features", with_views("bookings", FEATURE_SQL, asof=ASOF_SQL, codes=CODES_SQL))
+@register("no_show_features", with_views("bookings", FEATURE_SQL, known=ASOF_SQL, codes=CODES_SQL))
 def no_show_features(spark, folder):
     out = features.no_show_features(T.bookings(spark, folder), keep=("patient_id", "appointment_date"))
     for name in ("log_lead_time", "patient_prior_no_show_rate"):
@@ -113,7 +113,7 @@ def no_show_features(spark, folder):
           CAST(CASE urgency WHEN 'urgent' THEN 1 WHEN 'emergency' THEN 2 ELSE 0 END AS DOUBLE) AS urgency_ordinal,
           CAST(isodow(appointment_date) - 1 AS DOUBLE) AS weekday, CAST(start_minute // 60 AS DOUBLE) AS hour_of_day,
           CAST(prior_n AS DOUBLE) AS patient_prior_appointments, CAST(duration_minutes AS DOUBLE) AS duration_minutes
-        FROM asof JOIN codes USING (specialty) WHERE status = 'completed'""", asof=ASOF_SQL, codes=CODES_SQL),
+        FROM known JOIN codes USING (specialty) WHERE status = 'completed'""", known=ASOF_SQL, codes=CODES_SQL),
 )
 def duration_features(spark, folder):
     return features.duration_features(T.bookings(spark, folder), keep=("patient_id",))

@@ -566,7 +566,7 @@ def seasonal_naive(spark, folder):
         FROM grid JOIN (SELECT specialty, count(*) / max(days) AS base FROM visits, (SELECT count(DISTINCT appointment_date) AS days FROM visits)
              WHERE status <> 'cancelled' GROUP BY 1) USING (specialty)
         LEFT JOIN (SELECT specialty, start_minute // 60 AS hour_of_day, count(*) / sum(count(*)) OVER (PARTITION BY specialty) AS share
-             FROM visits WHERE status <> 'cancelled' GROUP BY ALL) USING (specialty, hour_of_day)"""),
+             FROM visits WHERE status <> 'cancelled' GROUP BY 1, 2) USING (specialty, hour_of_day)"""),
 )
 def expected_volume(spark, folder):
     """Expected volume with the base volume and hour shares taken from the data."""
