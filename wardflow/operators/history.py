@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators.running import prior_totals
+from wardflow.operators.running import id_chunk, prior_totals
 
 
 def asof_history(
@@ -83,15 +83,19 @@ def expanding_prior_rate(
     *,
     key: str = "patient_id",
     day: str = "appointment_date",
-    order: Sequence[str] = ("visit_id",),
+    visit_id: str = "visit_id",
     label: str = "label",
     low: float = 0.01,
     high: float = 0.99,
 ) -> DataFrame:
     """Running no-show rate of all earlier rows, shrunk to ``base_rate``."""
     counted = prior_totals(
-        visits, [key], [day], order, {"prior_n": F.lit(1), "prior_k": F.col(label)}
-    )
+        visits.withColumn("_chunk", id_chunk(visit_id)),
+        [key],
+        [day, "_chunk"],
+        [visit_id],
+        {"prior_n": F.lit(1), "prior_k": F.col(label)},
+    ).drop("_chunk")
     rate = X.shrunk_rate("prior_k", "prior_n", F.lit(base_rate))
     return counted.withColumn("prior_rate", F.least(F.greatest(rate, F.lit(low)), F.lit(high)))
 
@@ -105,14 +109,39 @@ def split_half_rates(
     label: str = "label",
     minimum: int = 6,
 ) -> DataFrame:
-    """Mean label in the first ``n // 2`` outcomes of a patient and in the rest."""
-    sized = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("n_outcomes")).filter(
-        F.col("n_outcomes") >= minimum
-    )
-    placed = prior_totals(outcomes, [key], [day], order, {"position": F.lit(1)})
+    """Mean label in the first ``n // 2`` outcomes of a patient and in the rest.
+
+    Days that lie wholly in one half count as day totals. Only the day that the
+    middle of a patient's history falls into is put in order row by row. The last
+    column of ``order`` may be a unique id; it is then blocked by id range.
+    """
+    daily = outcomes.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_k"))
+    history = Window.partitionBy(key)  # one row per calendar day
+    before = F.coalesce(F.sum("_n").over(history.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     half = F.floor(F.col("n_outcomes") / 2)
-    return placed.join(sized, key).groupBy(key).agg(
+    days = (
+        daily.withColumn("_before", before)
+        .withColumn("n_outcomes", F.sum("_n").over(history))
+        .withColumn("_all_k", F.sum("_k").over(history))
+        .filter(F.col("n_outcomes") >= minimum)
+        .withColumn("_take", F.least(F.greatest(half - F.col("_before"), F.lit(0)), F.col("_n")))
+    )
+    whole = days.select(
+        key, "n_outcomes", "_all_k", F.when(F.col("_take") == F.col("_n"), F.col("_k")).otherwise(0).alias("_early_k")
+    )
+    middle = days.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_n"))).select(key, day, "_take", "n_outcomes", "_all_k")
+    lead, last = list(order[:-1]), order[-1]
+    block = [*lead, "_chunk"]
+    rows = outcomes.join(middle, [key, day]).withColumn(
+        "_chunk", id_chunk(last) if last == "visit_id" else F.col(last)
+    )
+    placed = prior_totals(rows, [key, day], block, list(order), {"_position": F.lit(1)})
+    split = placed.filter(F.col("_position") < F.col("_take")).select(
+        key, "n_outcomes", "_all_k", F.col(label).cast("long").alias("_early_k")
+    )
+    first = F.floor(F.max("n_outcomes") / 2)
+    return whole.unionByName(split).groupBy(key).agg(
         F.max("n_outcomes").alias("n_outcomes"),
-        F.avg(F.when(F.col("position") < half, F.col(label))).alias("early_rate"),
-        F.avg(F.when(F.col("position") >= half, F.col(label))).alias("late_rate"),
+        (F.sum("_early_k") / first).alias("early_rate"),
+        ((F.max("_all_k") - F.sum("_early_k")) / (F.max("n_outcomes") - first)).alias("late_rate"),
     )

@@ -70,11 +70,31 @@ def overlap_counts(requests: DataFrame, visits: DataFrame, keys: Sequence[str] =
     )
 
 
+def edge_counts(visits: DataFrame, keys: Sequence[str] = RESOURCE_DAY) -> DataFrame:
+    """Per (keys) parallel arrays over its edge minutes: starts before the minute, ends up to it."""
+    ordered = Window.partitionBy(*keys).orderBy("minute")
+    running = minute_load(visits, keys).select(
+        *keys,
+        "minute",
+        F.coalesce(F.sum("starts").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("starts"),
+        F.sum("ends").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("ends"),
+    )
+    rows = running.groupBy(*keys).agg(F.collect_list(F.struct("minute", "starts", "ends")).alias("_rows"))
+    return rows.select(*keys, *[F.col(f"_rows.{c}").alias(f"edge_{c}") for c in ("minute", "starts", "ends")])
+
+
 def overlap_audit(visits: DataFrame, keys: Sequence[str] = RESOURCE_DAY) -> DataFrame:
-    """Non-cancelled visits that overlap another one of the same resource and day."""
+    """Non-cancelled visits that overlap another one of the same resource and day.
+
+    Both minutes of a visit are edges of its own day, so the count is two array
+    look-ups: starts before its end, minus ends up to its start, minus itself.
+    """
     live = visits.filter(X.occupies() & (F.col("start_minute") < F.col("end_minute")))
-    counted = overlap_counts(live, live, keys)
-    return counted.withColumn("n_overlaps", F.col("n_overlaps") - 1).filter("n_overlaps > 0")
+    at = lambda counts, minute: F.get(counts, F.array_position("edge_minute", F.col(minute)).cast("int") - 1)
+    counted = live.join(edge_counts(live, keys), list(keys)).withColumn(
+        "n_overlaps", at("edge_starts", "end_minute") - at("edge_ends", "start_minute") - 1
+    )
+    return counted.filter("n_overlaps > 0").drop("edge_minute", "edge_starts", "edge_ends")
 
 
 def conflicts_running_max(visits: DataFrame, keys: Sequence[str] = RESOURCE_DAY, visit_id: str = "visit_id") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardflow.functions import scalar as X
 from wardflow.operators import features as FT, metrics, splits
+from wardflow.session import materialize
 
 DAY = "appointment_date"
 KINDS = ("logistic_regression", "gradient_boosting")
@@ -106,14 +107,16 @@ def _base_score(base: PipelineModel, df: DataFrame, names: list[str], name: str)
 
 def no_show_estimator(kind: str, names: list[str], n_rows: int, seed: int = SEED, params: dict | None = None) -> Pipeline:
     """Standardised logistic regression (C = 1) or boosted trees."""
-    outputs = {"labelCol": "label", "probabilityCol": "_probability", "rawPredictionCol": "_raw", "predictionCol": "_class"}
+    def named(stage):
+        return stage.setLabelCol("label").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_class")
+
     if kind == "gradient_boosting":
         settings = {**NO_SHOW_PARAMS, **(params or {})}
-        return Pipeline(stages=[_assembler(names), GBTClassifier(featuresCol="_features", seed=seed, **outputs, **settings)])
+        return Pipeline(stages=[_assembler(names), named(GBTClassifier(featuresCol="_features", seed=seed, **settings))])
     scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     # an L2 penalty of 1/(2C) on the summed loss is 1/(C n) on the mean loss
-    model = LogisticRegression(
-        featuresCol="_scaled", maxIter=200, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, **outputs
+    model = named(
+        LogisticRegression(featuresCol="_scaled", maxIter=200, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
     )
     return Pipeline(stages=[_assembler(names), scaler, model])
 
@@ -139,7 +142,7 @@ def fit_no_show(train: DataFrame, *, estimator: str = "logistic_regression", nam
     if not (calibrate and n >= CALIBRATION_MIN_ROWS and 0 < positives < n):
         return NoShowModel(estimator, names, [(_fit_base(estimator, train, names, seed, params), None)], params or {})
     blocks = splits.time_series_blocks(train, day, n_splits=CALIBRATION_FOLDS - 1).select(day, "block")
-    tagged = train.join(blocks, day)
+    tagged = materialize(train.join(blocks, day))
     parts = []
     for i in range(CALIBRATION_FOLDS):
         base = _fit_base(estimator, tagged.filter(F.col("block") != i), names, seed, params)
@@ -151,7 +154,7 @@ def select_estimator(train: DataFrame, *, seed: int = SEED, n_splits: int = 3, p
                      names: list[str] | None = None, day: str = DAY) -> tuple[str, dict[str, float]]:
     """Better mean average precision over expanding date splits of the training rows."""
     names = list(names or FT.NO_SHOW_FEATURES)
-    tagged = train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day)
+    tagged = materialize(train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day))
     scores = {}
     for kind in KINDS:
         values = []
@@ -182,7 +185,7 @@ def fit_demand(train: DataFrame, *, strategy: str = "auto", candidates: tuple[st
     names = list(FT.DEMAND_FEATURES)
     chosen, scores = strategy, {}
     if strategy == "auto":
-        tagged = train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day)
+        tagged = materialize(train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day))
         errors: dict[str, list[float]] = {s: [] for s in ("profile", *candidates)}
         for i in range(1, n_splits + 1):
             part, test = tagged.filter(F.col("block") < i), tagged.filter(F.col("block") == i)

@@ -96,11 +96,14 @@ def ordered_counts(
             *[F.max(k).alias(k) for k in by],
         ).alias("probe")
     )
-    cut = counts.withColumn("_probe", probe.scalar()).withColumn("_block", F.lit(0))
-    for step in (2**i for i in reversed(range(depth))):  # binary search in the cut points
-        above = F.get(F.col("_probe.cuts"), F.col("_block") + (step - 1)) < F.col(value)
-        cut = cut.withColumn("_block", F.col("_block") + F.when(above, step).otherwise(0))
-    cut = cut.drop("_probe")
+    # Runs on distinct values only. The coalesce makes the block non-nullable, so no
+    # derived null filter drags the expression down to the raw rows.
+    below = F.size(F.filter("_probe.cuts", lambda c: c < F.col(value)))
+    cut = (
+        counts.withColumn("_probe", probe.scalar())
+        .withColumn("_block", F.coalesce(below, F.lit(0)))
+        .drop("_probe")
+    )
     totals = cut.groupBy(*by, "_block").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     group = Window.partitionBy(*(by or [F.lit(0)]))
     across = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,9 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from wardflow.contract import STATUSES
 from wardflow.functions import scalar as X
-from wardflow.operators import demand, features, history, intervals, operations as ops
+from wardflow.operators import demand, features, history, intervals, operations as ops, quality
 from wardflow.plans.catalog import register, with_views
 from wardflow.sources import tables as T
 from wardflow.streaming import maintain
@@ -806,14 +805,22 @@ def reconcile_repair(spark, folder):
 
 
 @register(
-    "unknown_status_values",
-    with_views("visits", "SELECT urgency, count(*) AS n_rows FROM visits WHERE urgency NOT IN ('routine', 'urgent') GROUP BY 1"),
+    "outside_domain_values",
+    "SELECT event_type, count(*) AS n_rows FROM events WHERE event_type NOT IN ('click', 'error', 'purchase', 'view') GROUP BY 1",
 )
-def unknown_status_values(spark, folder):
-    from wardflow.operators.quality import outside_domain
+def outside_domain_values(spark, folder):
+    return quality.outside_domain(T.table(spark, folder, "events"), "event_type", ("click", "error", "purchase", "view"))
 
-    assert len(STATUSES) == 4
-    return outside_domain(T.visits(spark, folder), "urgency", ("routine", "urgent"))
+
+@register(
+    "hourly_demand_feed",
+    """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_start, 's' || CAST(CAST(json_extract_string(props, '$.k') AS INT) % 5 AS VARCHAR) AS specialty,
+       count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL""",
+)
+def hourly_demand_feed(spark, folder):
+    """The live-feed aggregate over the whole table at once."""
+    out = maintain.demand_stream(T.visit_feed(spark, folder))
+    return out.select(F.unix_timestamp("hour_start").alias("hour_start"), "specialty", "n")
 
 
 @register(
