@@ -23,7 +23,7 @@ def test_query_without_sql_returns_rows(spark, name):
     """Only fitted models have no SQL form."""
     assert queries()[name].__module__ and name in {
         "no_show_logistic_scores", "no_show_calibrated_metrics", "no_show_boosted_metrics", "no_show_feature_importance",
-        "demand_poisson_metrics", "duration_boosted_metrics", "candidate_scores", "duration_fallback",
+        "demand_poisson_metrics", "duration_boosted_metrics", "candidate_scores",
     }
     assert not queries()[name](spark, FOLDER).isEmpty()
 

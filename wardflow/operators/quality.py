@@ -189,10 +189,10 @@ def overbooking_audit(entries: DataFrame, *, max_per_slot: int = 2, max_expected
 
 def refusal_reasons(entries: DataFrame, max_slots: int | None = None) -> DataFrame:
     """Per schedule: shared slots, and why the plan cannot be written as visits."""
-    slots = overbooking_audit(entries).groupBy("schedule_id").agg(F.count(F.lit(1)).alias("shared_slots"))
-    per = entries.select("schedule_id").distinct().join(slots, "schedule_id", "left").withColumn(
-        "shared_slots", F.coalesce("shared_slots", F.lit(0).cast("long"))
+    slots = entries.groupBy("schedule_id", "doctor_id", "appointment_date", "start_minute").agg(
+        F.count(F.lit(1)).alias("members")
     )
+    per = slots.groupBy("schedule_id").agg(F.count_if(F.col("members") > 1).alias("shared_slots"))
     text = F.format_string("this schedule overbooks %d slot(s)", "shared_slots")
     out = per.withColumn("reason", F.when(F.col("shared_slots") > 0, text))
     if max_slots is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as X
 from wardflow.operators import demand, features as FT, metrics, models, splits
-from wardflow.plans.catalog import register
+from wardflow.plans.catalog import register, with_views
 from wardflow.session import materialize
 from wardflow.sources import tables as T
 
@@ -86,7 +86,11 @@ def candidate_scores(spark, folder):
     )
 
 
-@register("duration_fallback")
+@register(
+    "duration_fallback",
+    with_views("bookings", """SELECT patient_id, CAST(appointment_date AS VARCHAR) AS appointment_date,
+        CAST(30 AS DOUBLE) AS predicted_duration_minutes, true AS fallback FROM bookings"""),
+)
 def duration_fallback(spark, folder):
     """Without a model every candidate gets the default length, marked as a fallback."""
     frame = T.bookings(spark, folder)
