@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.functions import scalar as X
 
@@ -124,9 +124,14 @@ def day_edges_rates(past: DataFrame) -> DataFrame:
     )
 
 
-def weekday_load(every: DataFrame) -> DataFrame:
+def _visits(weight: str | None) -> Column:
+    """Number of visits: rows, or the count column of an input that is already reduced."""
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def weekday_load(every: DataFrame, weight: str | None = None) -> DataFrame:
     """Mean visits per active day by weekday; days without visits are not averaged."""
-    per_day = every.filter(X.occupies()).groupBy("appointment_date").agg(F.count(F.lit(1)).alias("n"))
+    per_day = every.filter(X.occupies()).groupBy("appointment_date").agg(_visits(weight).alias("n"))
     return per_day.groupBy(X.weekday0().alias("weekday")).agg(
         F.avg("n").alias("mean_visits"), F.count(F.lit(1)).alias("active_days")
     )
@@ -149,13 +154,10 @@ def hour_of_week(every: DataFrame) -> DataFrame:
     return wide.select("hour", *[F.coalesce(F.col(str(d)), F.lit(0).cast("long")).alias(f"wd{d}") for d in range(7)])
 
 
-def hour_profile(every: DataFrame) -> DataFrame:
+def hour_profile(every: DataFrame, weight: str | None = None) -> DataFrame:
     """Per specialty and hour: count, share of the specialty, and the peak hour."""
-    counts = (
-        every.filter(X.occupies())
-        .groupBy("specialty", X.hour_of().alias("hour"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    hour = F.col("hour") if weight else X.hour_of().alias("hour")
+    counts = every.filter(X.occupies()).groupBy("specialty", hour).agg(_visits(weight).alias("n"))
     whole = Window.partitionBy("specialty")  # at most 24 rows
     return counts.select(
         "specialty",

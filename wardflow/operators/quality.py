@@ -11,6 +11,7 @@ from wardflow.contract import STATUSES, URGENCIES
 from wardflow.functions import scalar as X
 from wardflow.operators import demand, history, intervals
 from wardflow.operators.running import spearman
+from wardflow.session import materialize
 
 # Limits of the row rules.
 EARLIEST_START, LATEST_END = 6 * 60, 22 * 60
@@ -231,11 +232,18 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
     """14 checks that the data have the structure the models rely on.
 
     ``past``: resolved visits with lead_days, weekday, hour, no_show; ``every``:
-    all visits. The rate checks read one small cube of the past (lead, weekday,
-    hour), not the visits themselves.
+    all visits with hour. The checks do not read the visits themselves: the past
+    is reduced to a cube (lead, weekday, hour) and to the halves of each patient,
+    all visits to a cube of the calendar. The three are written once.
     """
     g = {**GATE, **(thresholds or {})}
-    cube = past.groupBy("lead_days", "weekday", "hour", "no_show").agg(F.count(F.lit(1)).alias("w"))
+    cube = materialize(past.groupBy("lead_days", "weekday", "hour", "no_show").agg(F.count(F.lit(1)).alias("w")))
+    halves = materialize(history.split_half_rates(past, label="no_show", order=order))
+    calendar = materialize(
+        every.groupBy("appointment_date", "hour", "specialty", "is_new_patient", "status").agg(
+            F.count(F.lit(1)).alias("w"), F.sum("duration_minutes").alias("minutes")
+        )
+    )
 
     def rates(column: str) -> DataFrame:
         return cube.groupBy(column).agg(
@@ -272,23 +280,23 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
     overall = cube.agg(
         F.struct((F.sum(F.col("w") * F.col("no_show")) / F.sum("w")).alias("rate"), F.sum("w").alias("n"))
     )
-    halves = history.split_half_rates(past, label="no_show", order=order)
     persist = spearman(halves, "early_rate", "late_rate").select(F.struct("rho", "n"))
-    split = demand.weekday_split(demand.weekday_load(every)).select(
+    split = demand.weekday_split(demand.weekday_load(calendar, "w")).select(
         F.struct("weekday_mean", "weekend_mean", "busiest_weekday")
     )
-    profile = demand.hour_profile(every)
+    profile = demand.hour_profile(calendar, "w")
     peaks = profile.agg(
         F.struct(
             F.max(F.when(F.col("specialty") == g["evening_specialty"], F.col("peak_hour"))).alias("evening"),
             F.max(F.when(F.col("specialty") == g["morning_specialty"], F.col("peak_hour"))).alias("morning"),
         )
     )
-    lengths = demand.duration_by_specialty(every).agg(
-        F.struct(
-            (F.max("mean_duration") - F.min("mean_duration")).alias("spread"),
-            F.min("new_minus_returning").alias("least_extra"),
-        )
+    mean_of = lambda rows: F.sum(F.when(rows, F.col("minutes"))) / F.sum(F.when(rows, F.col("w")))
+    new = F.col("is_new_patient")
+    lengths = (
+        calendar.groupBy("specialty")
+        .agg(mean_of(F.lit(True)).alias("mean"), (mean_of(new) - mean_of(~new)).alias("extra"))
+        .agg(F.struct((F.max("mean") - F.min("mean")).alias("spread"), F.min("extra").alias("least_extra")))
     )
     one = overall.select(F.lit(1).alias("_one"))
     parts = {
