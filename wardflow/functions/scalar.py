@@ -118,16 +118,21 @@ def outcome(status="status") -> Column:
 
 
 # --- ratios and rounding ------------------------------------------------------
-def half_even(value, digits: int) -> Column:
-    """Round half to even on the binary value. The noise of a floating sum is removed
-    first, so a tie does not depend on the order in which partitions were added."""
+def half_even(value, digits: int, exact: bool = False) -> Column:
+    """Round half to even on the binary value.
+
+    The noise of a floating sum is removed first, so a tie does not depend on the
+    order in which partitions were added. ``exact`` keeps the value as it is, for
+    ratios of counts, which have no such noise.
+    """
     scale = 10.0**digits
-    return F.rint(F.round(col(value).cast("double"), 9) * scale) / scale + F.lit(0.0)
+    v = col(value).cast("double")
+    return F.rint((v if exact else F.round(v, 9)) * scale) / scale + F.lit(0.0)
 
 
 def percent_change(current, previous) -> Column:
     cur, prev = col(current).cast("double"), col(previous).cast("double")
-    return F.when(prev != 0, half_even((cur - prev) / prev * 100, 1))
+    return F.when(prev != 0, half_even((cur - prev) / prev * 100, 1, exact=True))
 
 
 def reduction_pct(before, after) -> Column:
@@ -163,7 +168,7 @@ def grid_down(minute, grid: int = GRID_MINUTES) -> Column:
 
 
 def slack_buffer(duration, fraction: float = SLACK_FRACTION, cap: int = SLACK_MAX_MINUTES) -> Column:
-    return F.least(half_even(col(duration) * F.lit(fraction), 0), F.lit(cap)).cast("int")
+    return F.least(half_even(col(duration) * F.lit(fraction), 0, exact=True), F.lit(cap)).cast("int")
 
 
 def booking_end(start, duration, default=None) -> Column:

@@ -85,7 +85,7 @@ def forecast_demand(profile: DataFrame, start, end, *, open_hour: int = 8, close
         raise ValueError(f"at most {max_days} days can be forecast")
     spine = calendar_spine(profile.select("specialty").distinct(), F.lit(start), F.lit(end), open_hour, close_hour)
     return with_profile(spine, profile).select(
-        *GRID, X.half_even(F.greatest("profile_mean", F.lit(0.0)), 3).alias("predicted_demand")
+        *GRID, X.half_even(F.greatest("profile_mean", F.lit(0.0)), 3, exact=True).alias("predicted_demand")
     )
 
 

@@ -217,7 +217,7 @@ def predict_no_show(candidates: DataFrame, history: DataFrame, model: NoShowMode
     scored = model.transform(rows, "_p")
     return scored.select(
         *keep,
-        X.half_even("_p", 4).alias("no_show_probability"),
+        X.half_even("_p", 4, exact=True).alias("no_show_probability"),
         (F.col("_p") >= threshold).alias("flagged"),
         F.lit(float(threshold)).alias("threshold"),
     )
@@ -234,7 +234,7 @@ def predict_duration(candidates: DataFrame, history: DataFrame, model: DurationM
         candidates = candidates.withColumn("duration_minutes", F.lit(0))
     rows = FT.duration_features(candidates, outcomes=history, codes=codes, keep=keep, completed_only=False)
     return model.transform(rows, "_m").select(
-        *keep, X.half_even("_m", 1).alias("predicted_duration_minutes"), F.lit(False).alias("fallback")
+        *keep, X.half_even("_m", 1, exact=True).alias("predicted_duration_minutes"), F.lit(False).alias("fallback")
     )
 
 

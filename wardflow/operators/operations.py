@@ -49,7 +49,7 @@ def headline_metrics(visits: DataFrame, start: dt.date, end: dt.date) -> DataFra
 
     def rate(tag: str) -> Column:
         shown_up = F.greatest(F.col(f"{tag}_total") - F.col(f"{tag}_cancelled"), F.lit(1))
-        return X.half_even(F.col(f"{tag}_missed") / shown_up * 100, 1)
+        return X.half_even(F.col(f"{tag}_missed") / shown_up * 100, 1, exact=True)
 
     one = one.withColumn("c_rate", rate("c")).withColumn("p_rate", rate("p"))
 
@@ -65,7 +65,7 @@ def headline_metrics(visits: DataFrame, start: dt.date, end: dt.date) -> DataFra
         card("Appointments", F.col("c_total"), None, X.percent_change("c_total", "p_total")),
         card("No-show rate", F.col("c_rate"), "%", X.percent_change("c_rate", "p_rate")),
         card("Cancellations", F.col("c_cancelled"), None, X.percent_change("c_cancelled", "p_cancelled")),
-        card("Booked hours", X.half_even(F.col("c_minutes") / 60, 1), "h", X.percent_change("c_minutes", "p_minutes")),
+        card("Booked hours", X.half_even(F.col("c_minutes") / 60, 1, exact=True), "h", X.percent_change("c_minutes", "p_minutes")),
     )
     return one.select(F.inline(cards))
 
@@ -96,7 +96,7 @@ def utilization_by_doctor(doctors: DataFrame, cells: DataFrame, availability: Da
         X.doctor_name().alias("doctor_name"),
         "booked_minutes",
         "available_minutes",
-        X.half_even(X.ratio("booked_minutes", "available_minutes") * 100, 1).alias("utilization_pct"),
+        X.half_even(X.ratio("booked_minutes", "available_minutes") * 100, 1, exact=True).alias("utilization_pct"),
         *COUNTS,
     )
 
@@ -133,7 +133,7 @@ def utilization_trend(doctors: DataFrame, cells: DataFrame, availability: DataFr
         "appointment_date",
         "booked_minutes",
         "available_minutes",
-        X.half_even(X.ratio("booked_minutes", "available_minutes") * 100, 1).alias("utilization_pct"),
+        X.half_even(X.ratio("booked_minutes", "available_minutes") * 100, 1, exact=True).alias("utilization_pct"),
     )
 
 
@@ -247,7 +247,7 @@ def doctor_day_card(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame
     return joined.select(
         "doctor_id",
         F.coalesce("today", zero).alias("today"),
-        X.half_even(F.coalesce("_minutes", zero) / 60, 1).alias("booked_hours"),
+        X.half_even(F.coalesce("_minutes", zero) / 60, 1, exact=True).alias("booked_hours"),
         F.coalesce("upcoming", zero).alias("upcoming"),
     )
 
@@ -259,7 +259,7 @@ def patient_card(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame:
         F.count_if(F.col("status") == "no_show").alias("missed"),
     )
     seen = F.col("attended") + F.col("missed")
-    share = F.when(seen > 0, X.half_even(F.col("missed") / seen * 100, 0))
+    share = F.when(seen > 0, X.half_even(F.col("missed") / seen * 100, 0, exact=True))
     return counted.withColumn("missed_pct", share)
 
 

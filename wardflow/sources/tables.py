@@ -232,7 +232,7 @@ def training_summary(frame: DataFrame) -> DataFrame:
     counted = frame.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(X.resolved()).alias("resolved_rows"),
-        X.half_even(F.avg(X.outcome()), 4).alias("no_show_rate"),
+        X.half_even(F.avg(X.outcome()), 4, exact=True).alias("no_show_rate"),
         F.min("appointment_date").alias("first_date"),
         F.max("appointment_date").alias("last_date"),
     )
