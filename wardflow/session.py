@@ -44,11 +44,13 @@ def materialize(df):
     """Cut a lineage that is read many times (model fitting, iterative jobs).
 
     Uses the reliable checkpoint in the shared folder the cluster names, so a
-    lost executor costs a re-read and not a recomputation.
+    lost executor costs a re-read and not a recomputation. A folder of this
+    machine is taken only where driver and executors are one process.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardflow-"))
     return df.checkpoint(eager=True)
