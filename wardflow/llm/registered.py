@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardflow.llm.exact_dedup import exact_dedup
+from wardflow.llm.html_text import extract_pages
+from wardflow.llm.language_id import language_id
 from wardflow.llm.simhash_dedup import simhash_dedup
+from wardflow.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +51,26 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     WINDOW same AS (PARTITION BY normal)""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
+
+
+@register("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+@register("op8_html_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
+@register("op9_warc", """
+    WITH base AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url, sha1(coalesce(html, '')) AS hexed FROM pages),
+    coded AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST((CAST('0x' || substr(hexed, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '')
+        AS payload_digest FROM base),
+    best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response_id FROM coded)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> response_id THEN response_id END AS refers_to, url FROM best""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_round_trip(table(spark, folder, "pages"))
