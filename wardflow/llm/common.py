@@ -61,11 +61,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{materialize_folder.get()}/corpus-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a job when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    The shuffle files behind it are of no more use then, and are removed.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ from wardflow.llm.exact_dedup import exact_dedup
 from wardflow.llm.html_text import extract_pages
 from wardflow.llm.language_id import language_id
 from wardflow.llm.simhash_dedup import simhash_dedup
+from wardflow.llm.substring_dedup import remove_repeats
 from wardflow.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
            CASE WHEN page_id <> response_id THEN response_id END AS refers_to, url FROM best""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(table(spark, folder, "pages"))
+
+
+@register("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
