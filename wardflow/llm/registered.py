@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardflow.llm.exact_dedup import exact_dedup
 from wardflow.llm.html_text import extract_pages
 from wardflow.llm.language_id import language_id
+from wardflow.llm.packing import pack
 from wardflow.llm.simhash_dedup import simhash_dedup
 from wardflow.llm.substring_dedup import remove_repeats
 from wardflow.llm.warc import warc_round_trip
@@ -80,3 +81,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+def vocabulary() -> str:
+    """The public byte-level vocabulary installed beside the tokenizer library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op3_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary())
