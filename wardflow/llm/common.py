@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once a row.
+
+    Projections are merged by the optimizer, which would otherwise repeat the
+    value inside a lambda for every element; a lambda's own variable is not
+    repeated.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo a divisor; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(divisor)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow.llm.decontamination import find_leaks
 from wardflow.llm.exact_dedup import exact_dedup
 from wardflow.llm.html_text import extract_pages
 from wardflow.llm.language_id import language_id
+from wardflow.llm.licences import DICE, TEMPLATES, scan_licences
 from wardflow.llm.packing import pack
 from wardflow.llm.simhash_dedup import simhash_dedup
 from wardflow.llm.substring_dedup import remove_repeats
@@ -93,3 +95,55 @@ def vocabulary() -> str:
 @register("op3_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary())
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(rows))
+
+
+OP1_SQL = f"""
+    WITH templates(template, licence, wording) AS (VALUES {_values(TEMPLATES)}),
+    pieces AS (SELECT doc_id, unnest(list_concat([text], CASE WHEN len(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) > 1
+                 THEN regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') ELSE [] END, string_split(text, chr(10)))) AS unit
+               FROM documents WHERE text <> ''),
+    normal AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM pieces),
+    known AS (SELECT template, licence, string_split(trim(regexp_replace(lower(wording), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM templates),
+    sides AS (SELECT template, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM known),
+    units AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a
+              FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM normal) WHERE len(w) BETWEEN 2 AND 200),
+    scored AS (SELECT doc_id, unit, licence, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM units, sides
+               WHERE list_has_any(a, b))
+    SELECT doc_id, licence, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM (
+        SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) = 1) GROUP BY ALL"""
+
+
+@register("op1_licence_scan", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"))
+
+
+OP4_SQL = """
+    WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+    shingled AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(greatest(len(w) - 4, 1)),
+                   lambda p: {'p': p, 'h': array_to_string(w[p + 1:p + 5], ' ')})) AS x FROM split WHERE len(w) > 0),
+    places AS (SELECT doc_id, n, x.p AS p, x.h AS h FROM shingled),
+    parts AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark),
+    items AS (SELECT item_id, m, h, count(*) AS wanted FROM (
+                SELECT item_id, len(w) AS m, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p + 1:p + 5], ' '))) AS h
+                FROM parts WHERE len(w) > 0) GROUP BY ALL),
+    windows AS (SELECT DISTINCT doc_id, n, m, least(p, greatest(n - m, 0)) AS s, greatest(least(n, m) - 4, 1) AS span
+                FROM places JOIN (SELECT DISTINCT m, h FROM items) USING (h)),
+    counted AS (SELECT w.doc_id, w.m, w.s, w.span, p.h, count(*) AS found FROM windows w JOIN places p
+                ON w.doc_id = p.doc_id AND p.p >= w.s AND p.p < w.s + w.span GROUP BY ALL),
+    totals AS (SELECT item_id, sum(wanted) AS item_span FROM items GROUP BY ALL),
+    common AS (SELECT doc_id, item_id, c.m, s, span, sum(least(found, wanted)) AS same FROM counted c JOIN items i ON c.m = i.m AND c.h = i.h GROUP BY ALL),
+    scored AS (SELECT doc_id, item_id, CAST(s AS BIGINT) AS start_word, CAST(m AS BIGINT) AS n_words,
+               CAST(same AS DOUBLE) / CAST(span + item_span - same AS DOUBLE) AS similarity FROM common JOIN totals USING (item_id))
+    SELECT doc_id, item_id, similarity, start_word, n_words FROM scored WHERE similarity >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word) = 1"""
+
+
+@register("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
