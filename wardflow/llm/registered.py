@@ -12,6 +12,7 @@ from wardflow.llm.html_text import extract_pages
 from wardflow.llm.language_id import language_id
 from wardflow.llm.licences import DICE, TEMPLATES, scan_licences
 from wardflow.llm.packing import pack
+from wardflow.llm.quality import quality_scores
 from wardflow.llm.simhash_dedup import simhash_dedup
 from wardflow.llm.substring_dedup import remove_repeats
 from wardflow.llm.warc import warc_round_trip
@@ -147,3 +148,8 @@ OP4_SQL = """
 @register("op4_decontamination", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
