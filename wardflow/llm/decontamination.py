@@ -33,15 +33,23 @@ def shingles(text: Column, width: int) -> Column:
     return once(words(text), runs)
 
 
-def fingerprint(hashes: str, weights: str) -> Column:
-    """An aggregate: the 64 bits that are set in over half the weight of the hashes of a group."""
-    total = F.sum(weights)
-    value = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        ones = F.sum(F.when(F.col(hashes).bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")) != 0, F.col(weights)).otherwise(0))
-        bit = F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")
-        value = value.bitwiseOR(F.when(2 * ones > total, bit).otherwise(F.lit(0).cast("bigint")))
-    return value
+def fingerprint(hashes: Column) -> Column:
+    """The 64 bits that are set in over half the hashes of an array, repeats included.
+
+    Two bits, 32 apart, are counted at once in the halves of a long.
+    """
+    half, both = F.lit((1 << 32) - 1).cast("bigint"), F.lit((1 << 32) + 1).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def majority(found: Column) -> Column:
+        def add(bits: Column, place: Column) -> Column:
+            count = F.aggregate(found, zero, lambda c, h: c + F.call_function("shiftright", h, place).bitwiseAND(both))
+            set_ = lambda n, at: F.when(2 * n > F.size(found), F.call_function("shiftleft", one, at)).otherwise(zero)
+            return once(count, lambda c: bits.bitwiseOR(set_(c.bitwiseAND(half), place)).bitwiseOR(set_(F.shiftrightunsigned(c, 32), place + 32)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), zero, add)
+
+    return once(hashes, majority)
 
 
 def blocks(print_: Column, radius: int) -> Column:
@@ -88,9 +96,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE_WORDS
         .select("item_id", "item", F.col("x.n").alias("m"), F.col("x.hashes").alias("hashes"))
         .filter("m > 0").dropDuplicates(["item"])
     )
-    item_counts = stored(
-        items.select("item", "item_id", "m", F.explode("hashes").alias("h")).groupBy("item", "item_id", "m", "h").agg(F.count("*").alias("wanted"))
-    )
+    item_prints = stored(items.select("*", F.size("hashes").alias("item_span"), fingerprint(F.col("hashes")).alias("item_print")))
+    item_counts = stored(item_prints.select("item", "m", F.explode("hashes").alias("h")).groupBy("item", "m", "h").agg(F.count("*").alias("wanted")))
     sized = item_counts.select("m", "h").distinct()
     # A document is known by its id and a hash of its text; only hashes of shared shingles are kept of the first reading.
     base = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("doc"), "text")
@@ -103,23 +110,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE_WORDS
     span = F.greatest(F.least("n", "m") - F.lit(width - 1), F.lit(1))  # shingles of a window
     windows = shared.join(sized, "h").select("id", "doc", "m", F.least("p", last).alias("s"), span.alias("span")).distinct()
 
-    # All shingles of a window, the shared ones and the others, for its fingerprint.
-    again = base.join(shared.select("id", "doc").distinct(), ["id", "doc"]).dropDuplicates(["id", "doc"])
+    # The text of those documents is read again for all shingles of a window. The merge join is
+    # asked for, as which documents have windows grows with the corpus: what is shuffled then does, too.
+    again = base.join(shared.select("id", "doc").distinct().hint("merge"), ["id", "doc"]).dropDuplicates(["id", "doc"])
     arrays = again.select("id", "doc", shingles(F.col("text"), width)["hashes"].alias("hashes"))
-    content = windows.join(arrays, ["id", "doc"]).select("id", "doc", "m", "s", "span", F.explode(F.slice("hashes", F.col("s") + 1, F.col("span"))).alias("h"))
-    counted = stored(content.groupBy("id", "doc", "m", "s", "span", "h").agg(F.count("*").alias("found")))
-    window_prints = stored(counted.groupBy("id", "doc", "m", "s", "span").agg(fingerprint("h", "found").alias("print")))
-    item_prints = stored(
-        item_counts.groupBy("item", "item_id", "m").agg(fingerprint("h", "wanted").alias("item_print"), F.sum("wanted").alias("item_span"))
-    )
-
+    within = windows.join(arrays, ["id", "doc"]).select("id", "doc", "m", "s", "span", F.slice("hashes", F.col("s") + 1, F.col("span")).alias("hashes"))
+    content = stored(within.select("*", fingerprint(F.col("hashes")).alias("print")))
+    window_prints = content.drop("hashes")
     left = window_prints.select("*", blocks(F.col("print"), radius).alias("b")).select("*", "b.block", "b.value").drop("b")
-    right = item_prints.select("*", blocks(F.col("item_print"), radius).alias("b")).select("*", "b.block", "b.value").drop("b")
+    right = item_prints.drop("hashes").select("*", blocks(F.col("item_print"), radius).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
-    candidates = left.join(right, ["m", "block", "value"]).filter(near).select("id", "doc", "m", "s", "span", "item", "item_id", "item_span").distinct()
+    candidates = stored(left.join(right, ["m", "block", "value"]).filter(near).select("id", "doc", "m", "s", "span", "item", "item_id", "item_span").distinct())
 
+    counted = (
+        candidates.select("id", "doc", "m", "s").distinct().join(content, ["id", "doc", "m", "s"]).select("id", "doc", "m", "s", F.explode("hashes").alias("h"))
+        .groupBy("id", "doc", "m", "s", "h").agg(F.count("*").alias("found"))
+    )
     common = (
-        candidates.join(counted.select("id", "doc", "m", "s", "h", "found"), ["id", "doc", "m", "s"])
+        candidates.join(counted, ["id", "doc", "m", "s"])
         .join(item_counts.select("item", "h", "wanted"), ["item", "h"])
         .groupBy("id", "doc", "item_id", "item", "m", "s", "span", "item_span").agg(F.sum(F.least("found", "wanted")).alias("same"))
     )
