@@ -168,12 +168,29 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return base.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language; those that are ``und`` go."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([predict(shared.value, t)[0] != UNDETERMINED for t in byte_values(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def learned_from(docs: DataFrame) -> LanguageModel:
+    """The model of the documents that are not held out."""
+    return fit_languages(pick(docs, "doc_id", "text", "lang").filter(remainder(F.col("doc_id"), 4) != 2))
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, learned from the documents that are not held out.
 
     Held out are ids whose crc32 (of the id as text) is 2 modulo 4. A row with
     a null id is not held out, but nothing is learned from it.
     """
-    fold = remainder(F.col("doc_id"), 4)
-    model = fit_languages(pick(docs, "doc_id", "text", "lang").filter(fold != 2))
-    return identify(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return identify(docs, learned_from(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
