@@ -107,10 +107,13 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, dice: flo
     parts = parts.select("doc_id", F.explode(F.array(normal(F.col("unit")))).alias("unit"))
     blanks = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))  # as many as bigrams, repeats included
     cut = parts.filter(blanks >= low / ratio).select("doc_id", F.xxhash64("unit").alias("unit"), F.explode(F.array(bigrams(F.col("unit")))).alias("pairs"))
-    cut = cut.select("doc_id", "unit", "pairs", F.size("pairs").alias("size")).filter(F.col("size") <= high * ratio)
-    met = cut.select("doc_id", "unit", "size", F.explode("pairs").alias("pair")).join(known, "pair")
+    # A row of its own for each unit: pairs are distinct in it, so counts are added up inside each task, and only they are shuffled.
+    cut = cut.select("doc_id", "unit", "pairs", F.size("pairs").alias("size"), F.monotonically_increasing_id().alias("row"))
+    cut = cut.filter((F.col("size") >= low / ratio) & (F.col("size") <= high * ratio))
+    met = cut.select("row", "doc_id", "unit", "size", F.explode("pairs").alias("pair")).join(known.select("template", "wanted", "pair"), "pair")
     within = (F.col("size") >= F.col("wanted") / ratio) & (F.col("size") <= F.col("wanted") * ratio)
-    shared = met.filter(within).groupBy("doc_id", "unit", "size", "template", "licence", "wanted").agg(F.count_distinct("pair").alias("same"))
+    shared = met.filter(within).groupBy("row", "doc_id", "unit", "size", "template", "wanted").agg(F.count("*").alias("same"))
+    shared = shared.join(known.select("template", "licence").distinct(), "template")
     scored = shared.withColumn("dice", 2 * F.col("same") / (F.col("size") + F.col("wanted"))).filter(F.col("dice") >= dice)
     best = scored.groupBy("doc_id", "unit").agg(F.min(F.struct((-F.col("dice")).alias("low"), "licence")).alias("x"))
     best = best.select("doc_id", "unit", F.col("x.licence").alias("licence"), (-F.col("x.low")).alias("dice"))
