@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardflow.llm.common import once, pick
+from wardflow.llm.common import once, pick, stored
 
 DICE = 0.8
 
@@ -96,7 +96,8 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, dice: flo
     known = (template_table(spark) if templates is None else pick(templates, "template", "licence", "wording")).withColumn(
         "pairs", bigrams(normal(F.coalesce("wording", F.lit(""))))
     )
-    known = known.select("template", "licence", F.size("pairs").alias("wanted"), F.explode("pairs").alias("pair"))
+    # Written, so that its size is known: a small table of templates then is broadcast, a large one is not.
+    known = stored(known.select("template", "licence", F.size("pairs").alias("wanted"), F.explode("pairs").alias("pair")))
     ratio = (2 - dice) / dice
     low, high = known.agg(F.min("wanted"), F.max("wanted")).first()
     if low is None:
