@@ -48,8 +48,8 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·¿¡]")
 #: Weights of a node's neighbours, nearest in the middle.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-#: Share of the deviation below the mean that a path may lie and still be content.
-TOLERANCE = 1.0
+#: A path is left out if its score is under this share of the page's mean, and more than a deviation below it.
+SHARE = 0.5
 
 
 def _apart(tag: str, attributes: str, inside: bool) -> bool:
@@ -112,8 +112,9 @@ def nodes(source: str) -> list[tuple[tuple[str, ...], str]]:
 def path_scores(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
     """A score for each node: mean text length times mean punctuation of its tag path, each smoothed over the page.
 
-    A node inside an article or main element has at least the ratios of that
-    whole element, so a list or a short heading is not torn out of its text.
+    A node inside an article or main element has at least the mean ratios of
+    that element, longer blocks counting for more, so a list or a short
+    heading is not torn out of its text.
     """
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     owners = []
@@ -121,13 +122,14 @@ def path_scores(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
         outer = next((path[: i + 1] for i, t in enumerate(path) if t in CONTAINERS), None)
         owners.append(outer)
         n, m = len(text), len(PUNCTUATION.findall(text))
-        for key in (path, outer) if outer and outer != path else (path,):
-            chars[key] += n
-            marks[key] += m
-            count[key] += 1
+        for key, weight in ((path, 1), (outer and ("in", *outer), n)):
+            if key is not None:
+                chars[key] += weight * n
+                marks[key] += weight * m
+                count[key] += weight
 
     def ratio(total: dict) -> np.ndarray:
-        own = [max(total[k] / count[k] for k in (path, outer or path)) for (path, _), outer in zip(found, owners)]
+        own = [max(total[k] / count[k] for k in (path, ("in", *outer) if outer else path)) for (path, _), outer in zip(found, owners)]
         values = np.array(own, float)
         reach = len(KERNEL) // 2
         padded = np.pad(values, reach, mode="edge")
@@ -145,8 +147,11 @@ def main_text(source: str) -> str:
     weights = np.array([len(text) for _, text in found], float)
     mean = float(np.average(scores, weights=weights))
     spread = float(np.sqrt(np.average((scores - mean) ** 2, weights=weights)))
-    content = scores >= mean - TOLERANCE * spread - 1e-9 * mean
-    kept_paths = {path for (path, _), yes in zip(found, content) if yes}
+    of_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    for (path, _), value in zip(found, scores):
+        of_path[path].append(value)
+    least = min(mean - spread, SHARE * mean)
+    kept_paths = {path for path, values in of_path.items() if sum(values) / len(values) >= least}
     parents = {path[:-1] for path in kept_paths}
     return "\n".join(t for path, t in found if path in kept_paths or (path and path[-1] in HEADINGS and path[:-1] in parents))
 
