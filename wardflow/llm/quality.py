@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardflow.llm.common import bounded_batches, byte_values, pick, remainder
+from wardflow.llm.common import bounded_batches, byte_values, pick, remainder, stored
 
 EMBEDDING, WIDTH, STRIDE, FILTERS = 8, 12, 4, 24
 #: Bytes of a chunk; neighbouring chunks overlap by what a filter needs, so none of its places is lost or counted twice.
@@ -139,21 +139,21 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
     return net
 
 
-def fit_quality(labelled: DataFrame) -> Network:
-    """Train on a bounded sample of rows ``doc_id, text, quality``, in one task.
+def fit_quality(docs: DataFrame, labels: DataFrame) -> Network:
+    """Train on a bounded sample of ``docs`` (``doc_id, text``) with ``labels`` (``doc_id, quality``), in one task.
 
     The sample is the first ``TRAIN_DOCUMENTS`` rows of each label by a hash
-    of the id, until ``TRAIN_BYTES`` are reached. Rows with a null text, id
-    or label are not learned from.
+    of the id, until ``TRAIN_BYTES`` are reached. It is chosen by ids alone,
+    and the chosen ids, whose number is bounded by that, are sent to the
+    texts. Rows with a null text, id or label are not learned from.
     """
-    bounded_batches(labelled.sparkSession)
-    rows = labelled.filter("text IS NOT NULL AND doc_id IS NOT NULL AND quality IN (0, 1)")
+    bounded_batches(docs.sparkSession)
+    texts = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
     place = F.xxhash64("doc_id", F.lit("quality"))
-    # The ids are chosen first, so that texts are not sorted.
-    ids = rows.select("doc_id", "quality", place.alias("place"))
+    ids = texts.select("doc_id").join(labels.filter("quality IN (0, 1)"), "doc_id").select("doc_id", "quality", place.alias("place"))
     ones, zeros = (ids.filter(F.col("quality") == q).orderBy("place", "doc_id").limit(TRAIN_DOCUMENTS) for q in (1, 0))
-    chosen = ones.union(zeros).select("doc_id", "place").distinct()
-    sample = rows.join(chosen, "doc_id").orderBy("place", "doc_id", "text").limit(2 * TRAIN_DOCUMENTS)
+    chosen = stored(ones.union(zeros).distinct())
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("place", "doc_id", "text").limit(2 * TRAIN_DOCUMENTS)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels, size = [], [], 0
@@ -198,6 +198,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     fold = remainder(F.col("doc_id"), 5)
     known = pick(labels, "doc_id", "quality").filter("doc_id IS NOT NULL").filter(fold != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    net = fit_quality(pick(docs, "doc_id", "text").join(known, "doc_id"))
+    net = fit_quality(pick(docs, "doc_id", "text"), known)
     held_out = F.coalesce(fold == 0, F.lit(False))
     return score_texts(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
