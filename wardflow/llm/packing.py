@@ -12,14 +12,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardflow.llm.common import bounded_batches, pick, ranks, stored
+from wardflow.llm.common import bounded_batches, groups_of_bytes, pick, ranks, stored
 
 CAPACITY = 2048
 END_ID = 1
 #: Width of a class of the length histogram; a piece counts as the upper end of its class.
 CLASS_WIDTH = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Bytes of text whose words are held at a time.
+TEXT_BYTES = 1 << 20
 ROW_BLOCK = 50_000
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -71,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in groups_of_bytes(batches, TEXT_BYTES):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), packed_ids(texts, tokenizer_path)):
