@@ -168,13 +168,6 @@ def test_shared_slot_counts_once_and_zero_baseline_improves_nothing(spark):
     assert (audit["members"], round(audit["expected_attendance"], 6), audit["too_many"], audit["too_crowded"]) == (2, 1.3, False, True)
 
 
-def test_fcfs_orders_emergencies_first(spark):
-    asked = requests(spark, [(1, 540, 30, "routine", 0.0), (2, 540, 20, "emergency", 0.0), (3, 541, 10, "routine", 0.0)])
-    out = schedule.fcfs_starts(asked, windows(spark, ((480, 1080),))).collect()
-    # buffers: min(round(d * 0.15), 15) -> 30: 4, 20: 3, 10: 2; reserved on the grid 45, 30, 15
-    assert {r["visit_id"]: r["assigned_start"] for r in out} == {2: 540, 1: 570, 3: 615}
-
-
 def test_booking_verdicts_in_order(spark):
     dims = dict(
         doctors=spark.createDataFrame([(1, 1, True), (2, 1, False)], "doctor_id long, clinic_id long, is_active boolean"),

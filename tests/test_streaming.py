@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from wardflow.operators.operations import CELL, utilization_cells
@@ -66,7 +67,7 @@ def test_stream_equals_recount_and_survives_replay(spark, tmp_path):
     # the same micro-batch written again replaces itself
     once = spark.read.parquet(out).filter("batch = 1")
     again = [tuple(r) for r in once.collect()]
-    spark.createDataFrame(again, once.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+    spark.createDataFrame(again, once.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch").parquet(out)
     assert {k: v for k, v in rows(maintain.read_maintained(spark, out)).items() if any(v)} == want
 
 
@@ -112,12 +113,54 @@ def test_reconcile_job_reports_and_repairs(spark, tmp_path):
     sinks.write_by_date(broken, stored, "appointment_date", "doctor_id")
     as_of = dt.date(2024, 1, 30)
     read = lambda: spark.read.parquet(stored)
-    report = jobs.run_reconcile(read(), visits, as_of=as_of, days=10)
+    run = lambda **kw: jobs.run_reconcile(read(), visits, as_of=as_of, report_to=str(tmp_path / "drift"), **{"days": 10, **kw})
+    report = run()
     assert report["drift_count"] > 0 and not report["repaired"]
-    assert all(r["field"] == "minutes" and r["actual"] - r["expected"] == 30 for r in report["drift"])
-    assert jobs.run_reconcile(read(), visits, as_of=as_of, days=10, repair_to=stored)["repaired"]
+    found = spark.read.json(report["report"]).collect()
+    assert len(found) == report["drift_count"] and all(r["field"] == "minutes" and r["actual"] - r["expected"] == 30 for r in found)
+    assert run(repair_to=stored)["repaired"]
     spark.catalog.refreshByPath(stored)
-    assert jobs.run_reconcile(read(), visits, as_of=as_of, days=10)["drift_count"] == 0
+    assert run()["drift_count"] == 0
     # older dates were not part of the job and stay as they were
-    assert jobs.run_reconcile(read(), visits, as_of=as_of, days=60)["drift_count"] > 0
+    assert run(days=60)["drift_count"] > 0
     assert read().count() == cells.select(*CELL).count()
+
+
+def start(spark, frame, folder, feed, mark, **settings):
+    frame.write.mode("append").parquet(feed)
+    maintain.maintain_utilization(spark.readStream.schema(frame.schema).parquet(feed), folder, mark, **settings).awaitTermination(120)
+
+
+def test_second_checkpoint_keeps_the_first_streams_counts(spark, tmp_path):
+    one = spark.createDataFrame([change("INSERT", None, (1, A, "scheduled", 30))], SCHEMA)
+    two = spark.createDataFrame([change("INSERT", None, (1, A, "completed", 20)), change("INSERT", None, (2, B, "no_show", 10))], SCHEMA)
+    out = str(tmp_path / "out")
+    start(spark, one, out, str(tmp_path / "f1"), str(tmp_path / "m1"))
+    start(spark, two, out, str(tmp_path / "f2"), str(tmp_path / "m2"))
+    want = {(1, A): (1, 1, 0, 0, 50), (2, B): (0, 0, 0, 1, 10)}
+    assert rows(maintain.read_maintained(spark, out)) == want
+    start(spark, one, out, str(tmp_path / "f3"), str(tmp_path / "m3"), stream_id="mine")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start(spark, one, out, str(tmp_path / "f3"), str(tmp_path / "m4"), stream_id="mine")
+    # compaction keeps the sums, and a stream goes on in the new folder
+    target = str(tmp_path / "compacted")
+    maintain.compact(spark, out, target)
+    assert rows(maintain.read_maintained(spark, target)) == rows(maintain.read_maintained(spark, out))
+    start(spark, one, target, str(tmp_path / "f1"), str(tmp_path / "m1"))
+    assert rows(maintain.read_maintained(spark, target))[1, A] == (3, 1, 0, 0, 110)
+
+
+def test_reconcile_repairs_a_streamed_table(spark, tmp_path):
+    visits = tables.visits(spark, "/root/testdata/sf0.001")
+    side = F.struct("doctor_id", "appointment_date", "status", "duration_minutes").cast(SIDE)
+    none = F.lit(None).cast(SIDE)
+    missed = visits.filter("visit_id % 7 <> 0").select(F.lit("INSERT").alias("op"), none.alias("old"), side.alias("new"))
+    twice = visits.filter("visit_id % 11 = 0").select(F.lit("DELETE").alias("op"), side.alias("old"), none.alias("new"))
+    out = str(tmp_path / "out")
+    start(spark, missed.unionByName(twice).unionByName(twice), out, str(tmp_path / "feed"), str(tmp_path / "mark"))
+    run = lambda repair: jobs.run_stream_reconcile(
+        spark, out, visits, as_of=dt.date(2024, 1, 30), report_to=str(tmp_path / "drift"), days=400, repair=repair
+    )
+    assert run(False)["drift_count"] > 0
+    assert run(True)["repaired"] and run(False)["drift_count"] == 0
+    assert {k: v for k, v in rows(maintain.read_maintained(spark, out)).items() if any(v)} == {k: v for k, v in rows(utilization_cells(visits)).items() if any(v)}

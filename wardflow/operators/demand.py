@@ -76,13 +76,10 @@ def seasonal_naive(train_grid: DataFrame, test_grid: DataFrame) -> DataFrame:
     ).withColumnRenamed("profile_mean", "prediction")
 
 
-def forecast_demand(profile: DataFrame, start, end, *, open_hour: int = 8, close_hour: int = 18,
-                    max_days: int = 90) -> DataFrame:
+def forecast_demand(profile: DataFrame, start, end, *, open_hour: int = 8, close_hour: int = 18) -> DataFrame:
     """Forecast cells of every specialty in the profile over a date range."""
     if start > end:
         raise ValueError("start must not be after end")
-    if (end - start).days + 1 > max_days:
-        raise ValueError(f"at most {max_days} days can be forecast")
     spine = calendar_spine(profile.select("specialty").distinct(), F.lit(start), F.lit(end), open_hour, close_hour)
     return with_profile(spine, profile).select(
         *GRID, X.half_even(F.greatest("profile_mean", F.lit(0.0)), 3, exact=True).alias("predicted_demand")

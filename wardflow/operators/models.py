@@ -31,8 +31,9 @@ SEED = 42
 NO_SHOW_PARAMS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 40}
 DURATION_PARAMS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "minInstancesPerNode": 40}
 DEMAND_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "minInstancesPerNode": 100}
-CALIBRATION_FOLDS, CALIBRATION_MIN_ROWS = 3, 500
+CALIBRATION_FOLDS = 3
 DEFAULT_DURATION_MINUTES = 30.0
+TRAINING_PARTITION_ROWS = 100_000
 SCORE_DECIMALS = 4  # isotonic input: at most 10,001 weighted score bins
 
 
@@ -51,6 +52,7 @@ class NoShowModel:
             raw = f"_raw{i}"
             out = _base_score(base, out, self.feature_names, raw)
             if calibrator is not None:
+                out = out.withColumn(raw, F.round(raw, SCORE_DECIMALS))  # as the calibrator was fitted
                 calibrator = calibrator.copy().setFeaturesCol(raw).setPredictionCol(f"_cal{i}")
                 out = calibrator.transform(out)
                 raw = f"_cal{i}"
@@ -121,8 +123,14 @@ def no_show_estimator(kind: str, names: list[str], n_rows: int, seed: int = SEED
     return Pipeline(stages=[_assembler(names), scaler, model])
 
 
+def _dealt(train: DataFrame, rows: int) -> DataFrame:
+    """Training rows in partitions of a fair size: boosting runs a job per level of every tree, over all partitions."""
+    return train.coalesce(max(1, -(-rows // TRAINING_PARTITION_ROWS)))
+
+
 def _fit_base(kind: str, train: DataFrame, names: list[str], seed: int, params: dict | None) -> PipelineModel:
-    return no_show_estimator(kind, names, train.count(), seed, params).fit(_ready(train, names))
+    rows = train.count()
+    return no_show_estimator(kind, names, rows, seed, params).fit(_ready(_dealt(train, rows), names))
 
 
 def _calibrate(base: PipelineModel, held_out: DataFrame, names: list[str]) -> IsotonicRegressionModel:
@@ -139,7 +147,9 @@ def fit_no_show(train: DataFrame, *, estimator: str = "logistic_regression", nam
     """Fit on a feature table that keeps ``day``. Calibration folds are contiguous in time."""
     names = list(names or FT.NO_SHOW_FEATURES)
     n, positives = train.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not (calibrate and n >= CALIBRATION_MIN_ROWS and 0 < positives < n):
+    if calibrate and not 0 < (positives or 0) < n:
+        raise ValueError("calibration needs visits with and without a no-show: ask for calibrate=False")
+    if not calibrate:
         return NoShowModel(estimator, names, [(_fit_base(estimator, train, names, seed, params), None)], params or {})
     blocks = splits.time_series_blocks(train, day, n_splits=CALIBRATION_FOLDS - 1).select(day, "block")
     tagged = materialize(train.join(blocks, day))
@@ -206,7 +216,7 @@ def fit_duration(train: DataFrame, *, seed: int = SEED, params: dict | None = No
     names = list(FT.DURATION_FEATURES)
     model = GBTRegressor(featuresCol="_features", labelCol="duration_minutes", predictionCol="_prediction", lossType="absolute",
                          seed=seed, **{**DURATION_PARAMS, **(params or {})})
-    return DurationModel(names, Pipeline(stages=[_assembler(names), model]).fit(_ready(train, names)))
+    return DurationModel(names, Pipeline(stages=[_assembler(names), model]).fit(_ready(_dealt(train, train.count()), names)))
 
 
 # --- serving ------------------------------------------------------------------------

@@ -203,20 +203,18 @@ def search_people(people: DataFrame, text: str, columns: Sequence[str] = ("first
     return people.filter(hit).orderBy("last_name", "patient_id").limit(limit)
 
 
-def my_upcoming(visits: DataFrame, as_of: dt.date, limit: int = 50) -> DataFrame:
-    return (
-        visits.filter((F.col("appointment_date") >= F.lit(as_of)) & F.col("status").isin("scheduled", "completed"))
-        .orderBy("appointment_date", "start_minute", "visit_id")
-        .limit(limit)
-    )
-
-
 def first_per_key(visits: DataFrame, key: str, order: Sequence[Column | str], n: int) -> DataFrame:
     """First ``n`` rows of each key. Spark keeps at most ``n`` per key before the shuffle."""
     position = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return visits.withColumn("position", position).filter(F.col("position") <= n)
 
 
+def my_upcoming(visits: DataFrame, as_of: dt.date, n: int = 50, caller: str = "patient_id") -> DataFrame:
+    """The next ``n`` visits of every caller: a top-N listing, for all callers at once."""
+    later = visits.filter((F.col("appointment_date") >= F.lit(as_of)) & F.col("status").isin("scheduled", "completed"))
+    return first_per_key(later, caller, ["appointment_date", "start_minute", "visit_id"], n)
+
+
 def doctor_today(visits: DataFrame, as_of: dt.date) -> DataFrame:
     return visits.filter((F.col("appointment_date") == F.lit(as_of)) & X.occupies())
 
@@ -237,11 +235,13 @@ def patient_recent(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame:
     )
 
 
-def doctor_day_card(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame:
+def doctor_day_card(visits: DataFrame, as_of: dt.date) -> DataFrame:
+    """Visits and hours of the day, and all visits scheduled later."""
     today = doctor_today(visits, as_of).groupBy("doctor_id").agg(
         F.count(F.lit(1)).alias("today"), F.sum("duration_minutes").alias("_minutes")
     )
-    later = doctor_upcoming(visits, as_of, n).groupBy("doctor_id").agg(F.count(F.lit(1)).alias("upcoming"))
+    ahead = visits.filter((F.col("appointment_date") > F.lit(as_of)) & (F.col("status") == "scheduled"))
+    later = ahead.groupBy("doctor_id").agg(F.count(F.lit(1)).alias("upcoming"))
     joined = today.join(later, "doctor_id", "full_outer")
     zero = F.lit(0).cast("long")
     return joined.select(
@@ -252,9 +252,9 @@ def doctor_day_card(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame
     )
 
 
-def patient_card(visits: DataFrame, as_of: dt.date, n: int = 20) -> DataFrame:
-    """Attended and missed among the last ``n`` past visits; NULL share without outcome."""
-    counted = patient_recent(visits, as_of, n).groupBy("patient_id").agg(
+def patient_card(visits: DataFrame, as_of: dt.date) -> DataFrame:
+    """Attended and missed among all past visits; NULL share without outcome."""
+    counted = visits.filter(F.col("appointment_date") < F.lit(as_of)).groupBy("patient_id").agg(
         F.count_if(F.col("status") == "completed").alias("attended"),
         F.count_if(F.col("status") == "no_show").alias("missed"),
     )

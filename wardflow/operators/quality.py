@@ -194,7 +194,7 @@ def refusal_reasons(entries: DataFrame, max_slots: int | None = None) -> DataFra
         F.count(F.lit(1)).alias("members")
     )
     per = slots.groupBy("schedule_id").agg(F.count_if(F.col("members") > 1).alias("shared_slots"))
-    text = F.format_string("this schedule overbooks %d slot(s)", "shared_slots")
+    text = F.format_string("shared_slots:%d", "shared_slots")
     out = per.withColumn("reason", F.when(F.col("shared_slots") > 0, text))
     if max_slots is not None:
         out = out.withColumn("over_daily_cap", F.col("shared_slots") > max_slots)

@@ -164,43 +164,18 @@ def reweighted(scores: DataFrame, policies: dict[str, dict[str, float]] | None =
 def queue_replay(visits: DataFrame, keys: Sequence[str] = ("doctor_id", "appointment_date"), *,
                  arrival: str = "start_minute", service: str = "duration_minutes", attends: str | None = None,
                  visit_id: str = "visit_id") -> DataFrame:
-    """Begin, finish and wait of every visit; absent patients take no time and wait 0."""
-    present = visits if attends is None else visits.filter(F.col(attends))
+    """Begin, finish and wait of every visit; absent patients, and those of whom it is not known, take no time and wait 0."""
+    came = F.lit(True) if attends is None else F.coalesce(F.col(attends), F.lit(False))
+    present = visits.filter(came)
     served = intervals.queue_scan(present, keys, arrival, service, visit_id).withColumn(
         "wait_minutes", F.col("begin_minute") - F.col(arrival)
     )
     if attends is None:
         return served
-    absent = visits.filter(~F.col(attends)).withColumn("wait_minutes", F.lit(0).cast("long"))
+    absent = visits.filter(~came).withColumn("wait_minutes", F.lit(0).cast("long"))
     return served.unionByName(absent, allowMissingColumns=True)
 
 
-def fcfs_starts(requests: DataFrame, windows: DataFrame, *, grid: int = X.GRID_MINUTES,
-                slack: float = X.SLACK_FRACTION, cap: int = X.SLACK_MAX_MINUTES) -> DataFrame:
-    """Earliest grid-aligned first-come-first-served start for a doctor with one window.
-
-    Order: requested time, more urgent first, id. Exact while every visit ends
-    inside the window; ``fits`` marks the visits that do.
-    """
-    keys = ["doctor_id", "appointment_date"]
-    rows = requests.join(
-        windows.select(*keys, F.col("start_minute").alias("_from"), F.col("end_minute").alias("_until")), keys
-    )
-    reserved = F.col("duration_minutes") + X.slack_buffer("duration_minutes", slack, cap)
-    rows = rows.withColumn("_ready", X.grid_up(F.greatest("requested_start_minute", "_from"), grid)).withColumn(
-        "_reserved", X.grid_up(reserved, grid)
-    )
-    order = [F.col("requested_start_minute"), -X.urgency_weight()]
-    placed = intervals.queue_scan(rows, keys, "_ready", "_reserved", "visit_id", order)
-    start = F.col("begin_minute")
-    return placed.select(
-        *requests.columns,
-        start.alias("assigned_start"),
-        (start + F.col("duration_minutes")).alias("assigned_end"),
-        (start + F.col("duration_minutes") <= F.col("_until")).alias("fits"),
-    )
-
-
 def doctor_sessions(replayed: DataFrame, clinics: DataFrame, service: str = "duration_minutes") -> DataFrame:
     """Overtime past the close and idle time (span minus busy) of each doctor-day."""
     day = replayed.groupBy("clinic_id", "doctor_id", "appointment_date").agg(
@@ -269,7 +244,7 @@ def moved_visit_impact(entries: DataFrame, moves: DataFrame, clinics: DataFrame,
 def improvement_rollup(days: DataFrame, by: Sequence[str] = (), metric: str = "objective_pct", minimum_days: int = 5) -> DataFrame:
     """Spread of an improvement over days, with days better / identical / worse.
 
-    Load points seen on fewer than ``minimum_days`` days are dropped.
+    ``enough_days`` marks the load points seen on at least ``minimum_days`` days.
     """
     by = list(by)
     tallies = days.groupBy(*by).agg(
@@ -279,7 +254,7 @@ def improvement_rollup(days: DataFrame, by: Sequence[str] = (), metric: str = "o
         F.count_if(F.col(metric) < -0.01).alias("days_worse"),
     )
     spread = spread_summary(days, metric, by).drop("n_values")
-    return attach_totals(tallies, spread, by).filter(F.col("days") >= minimum_days)
+    return attach_totals(tallies, spread, by).withColumn("enough_days", F.col("days") >= minimum_days)
 
 
 def enrich_with_predictions(requests: DataFrame, predictions: DataFrame) -> DataFrame:

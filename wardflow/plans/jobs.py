@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardflow.operators import operations, quality, splits
 from wardflow.plans import evaluate as ev
 from wardflow.plans.train import NotEnoughData, train
-from wardflow.session import tune
+from wardflow.session import materialize, tune
 from wardflow.sources import sinks, tables
 from wardflow.streaming import maintain
 
@@ -19,7 +19,7 @@ from wardflow.streaming import maintain
 def run_gate(frame: DataFrame, as_of: dt.date, out: str | None = None, **thresholds) -> bool:
     """Structure gate; True when every check passes."""
     past, every = tables.past_and_all(frame, as_of)
-    order = [c for c in ("visit_id", "start_minute", "no_show") if c in past.columns]
+    order = [c for c in ("start_minute", "no_show", "visit_id") if c in past.columns]
     result = quality.structure_gate(past, every, thresholds, order=order)
     if out:
         sinks.write_report(result, f"{out}/structure_gate")
@@ -47,36 +47,63 @@ def run_evaluation(frame: DataFrame, out: str, *, trees: int | None = None, mini
     return gate.sparkSession.read.json(f"{out}/gates").filter("NOT passed").isEmpty()
 
 
-def run_reconcile(summary: DataFrame, visits: DataFrame, *, as_of: dt.date, days: int = 30, repair_to: str | None = None) -> dict:
-    """Compare the stored summary with a recount of the last ``days`` days.
+def run_reconcile(summary: DataFrame, visits: DataFrame, *, as_of: dt.date, report_to: str, days: int = 30, repair_to: str | None = None) -> dict:
+    """Compare a stored summary with a recount of the last ``days`` days.
 
-    A repair writes the corrected dates only; the other date partitions stay.
+    The comparison is made once. All drifted fields are written to
+    ``report_to``. A repair writes the corrected dates only; the other date
+    partitions stay.
     """
     since = as_of - dt.timedelta(days=days)
-    compared = maintain.drift(summary, visits, since)
-    rows = maintain.drift_rows(compared)
-    checked = compared.count()
-    drifted = rows.select("doctor_id", "appointment_date").distinct().count()
-    report = [r.asDict() for r in rows.orderBy("appointment_date", "doctor_id", "field").limit(50).collect()]
+    compared = materialize(maintain.drift(summary, visits, since))
+    sinks.write_report(maintain.drift_rows(compared), report_to)
+    checked, drifted = compared.agg(F.count(F.lit(1)), F.count_if(maintain.differs())).first()
     if repair_to and drifted:
-        wrong = rows.select("appointment_date").distinct()
-        fixed = maintain.repaired(summary, visits, since).join(wrong, "appointment_date", "left_semi")
-        sinks.write_by_date(fixed, repair_to)
-    return {"checked_cells": checked, "drift_count": drifted, "repaired": bool(repair_to and drifted), "drift": report, "days": days}
+        wrong = compared.filter(maintain.differs()).select("appointment_date").distinct()
+        sinks.write_by_date(maintain.recounted(compared).join(wrong, "appointment_date", "left_semi"), repair_to)
+    return {"checked_cells": checked, "drift_count": drifted, "repaired": bool(repair_to and drifted), "report": report_to, "days": days}
+
+
+def run_stream_reconcile(spark: SparkSession, folder: str, visits: DataFrame, *, as_of: dt.date, report_to: str, days: int = 30,
+                         repair: bool = False) -> dict:
+    """The same for the summary that :func:`maintain.maintain_utilization` keeps.
+
+    A repair appends one correcting delta batch; what the streams wrote stays.
+    """
+    since = as_of - dt.timedelta(days=days)
+    compared = materialize(maintain.drift(maintain.read_deltas(spark, folder), visits, since))
+    floored = maintain.floored(compared)
+    sinks.write_report(maintain.drift_rows(floored), report_to)
+    checked, drifted = floored.agg(F.count(F.lit(1)), F.count_if(maintain.differs())).first()
+    if repair and drifted:
+        maintain.write_correction(compared.filter(maintain.differs()), folder)
+    return {"checked_cells": checked, "drift_count": drifted, "repaired": bool(repair and drifted), "report": report_to, "days": days}
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["gate", "train", "evaluate", "backfill"])
+    parser.add_argument("job", choices=["gate", "train", "evaluate", "backfill", "reconcile"])
     parser.add_argument("--data", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
+    parser.add_argument("--summary", help="reconcile: folder of the maintained summary")
+    parser.add_argument("--days", type=int, default=30, help="reconcile: days to look back")
+    parser.add_argument("--repair", action="store_true", help="reconcile: append a correcting batch")
     args = parser.parse_args(argv)
     spark = tune(SparkSession.builder.appName(f"wardflow-{args.job}").getOrCreate())
     if args.job == "backfill":
         cells = operations.utilization_cells(tables.visits(spark, args.data))
         sinks.write_by_date(cells.withColumn("updated_on", F.lit(args.as_of)), args.out, "appointment_date", "doctor_id")
         return 0
+    if args.job == "reconcile":
+        if not args.summary:
+            parser.error("reconcile needs --summary")
+        visits = tables.visits(spark, args.data)
+        found = run_stream_reconcile(
+            spark, args.summary, visits, as_of=args.as_of, report_to=f"{args.out}/drift", days=args.days, repair=args.repair
+        )
+        print(found)
+        return 0 if not found["drift_count"] or found["repaired"] else 1
     frame = tables.bookings(spark, args.data)
     if args.job == "gate":
         return 0 if run_gate(frame, args.as_of, args.out) else 1

@@ -11,20 +11,14 @@ from wardflow.operators import demand, features, metrics, running
 from wardflow.plans.catalog import register, with_views
 from wardflow.sources import tables as T
 
-SCORED_SQL = """SELECT year(appointment_date) % 4 AS fold, CAST(status = 'no_show' AS INT) AS label, round(1 / (1 + exp(-(-2.3 + 0.42 * ln(1 + greatest(date_diff('day', booked_at, appointment_date), 0))
-    + CASE isodow(appointment_date) WHEN 1 THEN 0.3 WHEN 2 THEN -0.05 WHEN 3 THEN -0.1 WHEN 4 THEN 0.0 WHEN 5 THEN 0.22 WHEN 6 THEN 0.15 ELSE 0.1 END
-    + CASE WHEN start_minute // 60 <= 12 THEN 0.34 + (start_minute // 60 - 8) * (-0.46 / 4.0) ELSE -0.12 + (start_minute // 60 - 12) * (0.52::DOUBLE / 6.0) END
-    + CASE WHEN is_new_patient THEN 0.45 ELSE 0 END + CASE urgency WHEN 'urgent' THEN -0.7 WHEN 'emergency' THEN -1.4 ELSE 0 END))), 6) AS score
-    FROM bookings WHERE status IN ('completed', 'no_show')"""
+SCORED_SQL = """SELECT dayofmonth(appointment_date) % 4 AS fold,
+    CAST(status = 'no_show' AS INT) AS label, CAST(no_show_probability AS DOUBLE) AS score FROM visits WHERE status IN ('completed', 'no_show')"""
 
 
 def scored(spark, folder):
-    """Resolved bookings with the scorecard probability (6 decimals)."""
-    rows = T.bookings(spark, folder).filter(X.resolved())
-    score = X.no_show_scorecard(X.lead_days(), X.iso_weekday(), X.hour_of(), "is_new_patient", "urgency")
-    return rows.select(
-        (F.year("appointment_date") % 4).alias("fold"), X.outcome().alias("label"), F.round(score, 6).alias("score")
-    )
+    """Visits with an outcome, and the probability that was stored with them."""
+    rows = T.visits(spark, folder).filter(X.resolved())
+    return rows.select((F.dayofmonth("appointment_date") % 4).alias("fold"), X.outcome().alias("label"), F.col("no_show_probability").alias("score"))
 
 
 def cuts_sql(n: int) -> str:
@@ -54,24 +48,9 @@ AP_SQL = """SELECT sum(pos / total * tp / flagged) AS pr_auc FROM (SELECT score,
     FROM (SELECT score, CAST(sum(label) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY 1))"""
 
 
-@register("no_show_scorecard", with_views("bookings", "SELECT fold, label, score, count(*) AS n FROM scored GROUP BY ALL", scored=SCORED_SQL))
-def no_show_scorecard(spark, folder):
-    return scored(spark, folder).groupBy("fold", "label", "score").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register(
-    "cancel_scorecard",
-    with_views("bookings", """SELECT lead, round(1 / (1 + exp(-(-2.6 + 0.3 * ln(1 + lead)))), 9) AS p, count(*) AS n
-        FROM (SELECT CAST(greatest(date_diff('day', booked_at, appointment_date), 0) AS INT) AS lead FROM bookings) GROUP BY lead"""),
-)
-def cancel_scorecard(spark, folder):
-    leads = T.bookings(spark, folder).select(X.lead_days().alias("lead")).groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    return leads.select("lead", F.round(X.cancel_scorecard("lead"), 9).alias("p"), "n")
-
-
 @register(
     "confusion_by_fold",
-    with_views("bookings", f"""SELECT fold, tp, fp, fn, tn, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy
+    with_views("visits", f"""SELECT fold, tp, fp, fn, tn, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy
         FROM (SELECT *, {RATES} FROM (SELECT fold, count(*) FILTER (WHERE score >= 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.3 AND label = 0) AS fp,
           count(*) FILTER (WHERE score < 0.3 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.3 AND label = 0) AS tn FROM scored GROUP BY 1))""", scored=SCORED_SQL),
 )
@@ -81,24 +60,24 @@ def confusion_by_fold(spark, folder):
     return out.select("fold", "tp", "fp", "fn", "tn", *rates)
 
 
-@register("roc_auc", with_views("bookings", f"SELECT round(roc_auc, 9) AS roc_auc FROM ({auc_sql()})", scored=SCORED_SQL))
+@register("roc_auc", with_views("visits", f"SELECT round(roc_auc, 9) AS roc_auc FROM ({auc_sql()})", scored=SCORED_SQL))
 def roc_auc(spark, folder):
     return metrics.roc_auc(scored(spark, folder)).select(F.round("roc_auc", 9).alias("roc_auc"))
 
 
-@register("average_precision", with_views("bookings", f"SELECT round(pr_auc, 9) AS pr_auc FROM ({AP_SQL})", scored=SCORED_SQL))
+@register("average_precision", with_views("visits", f"SELECT round(pr_auc, 9) AS pr_auc FROM ({AP_SQL})", scored=SCORED_SQL))
 def average_precision(spark, folder):
     return metrics.average_precision(scored(spark, folder)).select(F.round("pr_auc", 9).alias("pr_auc"))
 
 
-@register("brier_score", with_views("bookings", "SELECT fold, round(avg(pow(score - label, 2)), 9) AS brier FROM scored GROUP BY 1", scored=SCORED_SQL))
+@register("brier_score", with_views("visits", "SELECT fold, round(avg(pow(score - label, 2)), 9) AS brier FROM scored GROUP BY 1", scored=SCORED_SQL))
 def brier_score(spark, folder):
     return metrics.brier(scored(spark, folder), ["fold"]).select("fold", F.round("brier", 9).alias("brier"))
 
 
 @register(
     "fold_auc_summary",
-    with_views("bookings", f"SELECT round_even(round(avg(roc_auc), 9), 4) AS mean, round_even(round(stddev_pop(roc_auc), 9), 4) AS std FROM ({auc_sql('fold')})", scored=SCORED_SQL),
+    with_views("visits", f"SELECT round_even(round(avg(roc_auc), 9), 4) AS mean, round_even(round(stddev_pop(roc_auc), 9), 4) AS std FROM ({auc_sql('fold')})", scored=SCORED_SQL),
 )
 def fold_auc_summary(spark, folder):
     return metrics.mean_std(metrics.roc_auc(scored(spark, folder), ["fold"]), "roc_auc")
@@ -106,7 +85,7 @@ def fold_auc_summary(spark, folder):
 
 @register(
     "precision_recall_curve",
-    with_views("bookings", f"""SELECT round_even(round(threshold, 9), 4) AS threshold, round_even(round("precision", 9), 4) AS "precision",
+    with_views("visits", f"""SELECT round_even(round(threshold, 9), 4) AS threshold, round_even(round("precision", 9), 4) AS "precision",
         round_even(round(recall, 9), 4) AS recall, round_even(round(f1, 9), 4) AS f1 FROM (SELECT *, {RATES} FROM ({ZERO.format(table_sql(50))}))""",
                scored=SCORED_SQL, cuts=cuts_sql(50)),
 )
@@ -116,7 +95,7 @@ def precision_recall_curve(spark, folder):
 
 @register(
     "threshold_for_cost",
-    with_views("bookings", f"SELECT round(threshold, 9) AS threshold, CAST(fn * 3 + fp AS DOUBLE) AS cost, tp, fp, fn, tn FROM ({ZERO.format(table_sql(91))}) ORDER BY cost, threshold LIMIT 1",
+    with_views("visits", f"SELECT round(threshold, 9) AS threshold, CAST(fn * 3 + fp AS DOUBLE) AS cost, tp, fp, fn, tn FROM ({ZERO.format(table_sql(91))}) ORDER BY cost, threshold LIMIT 1",
                scored=SCORED_SQL, cuts=cuts_sql(91)),
 )
 def threshold_for_cost(spark, folder):
@@ -126,7 +105,7 @@ def threshold_for_cost(spark, folder):
 
 @register(
     "operating_points",
-    with_views("bookings", """SELECT fn_cost, round(threshold, 9) AS threshold, cost, tp, fp, fn, tn FROM (SELECT *, fn * fn_cost + fp AS cost,
+    with_views("visits", """SELECT fn_cost, round(threshold, 9) AS threshold, cost, tp, fp, fn, tn FROM (SELECT *, fn * fn_cost + fp AS cost,
           row_number() OVER (PARTITION BY fn_cost ORDER BY fn * fn_cost + fp, threshold) AS best
         FROM tab, (SELECT unnest([1.0::DOUBLE, 2.0, 3.0, 5.0]) AS fn_cost)) WHERE best = 1""",
                scored=SCORED_SQL, cuts=cuts_sql(91), tab=ZERO.format(table_sql(91))),
@@ -138,7 +117,7 @@ def operating_points(spark, folder):
 
 @register(
     "signal_captured",
-    with_views("bookings", f"""SELECT round(m.roc_auc, 9) AS measured, round(c.roc_auc, 9) AS ceiling, round((m.roc_auc - 0.5) / (c.roc_auc - 0.5), 6) AS captured
+    with_views("visits", f"""SELECT round(m.roc_auc, 9) AS measured, round(c.roc_auc, 9) AS ceiling, round((m.roc_auc - 0.5) / (c.roc_auc - 0.5), 6) AS captured
         FROM ({auc_sql(src='coarse')}) m, ({auc_sql()}) c""", scored=SCORED_SQL, coarse="SELECT label, CASE WHEN score >= 0.3 THEN 1.0 ELSE 0.0 END AS score FROM scored"),
 )
 def signal_captured(spark, folder):

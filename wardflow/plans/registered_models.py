@@ -10,8 +10,6 @@ from wardflow.plans.catalog import register, with_views
 from wardflow.session import materialize
 from wardflow.sources import tables as T
 
-TREES = {"maxIter": 10}
-
 
 def _holdout(spark, folder):
     """Feature tables of the last dates and of everything before them."""
@@ -40,7 +38,7 @@ def no_show_calibrated_metrics(spark, folder):
 @register("no_show_boosted_metrics")
 def no_show_boosted_metrics(spark, folder):
     train, test = _holdout(spark, folder)
-    model = models.fit_no_show(train, estimator="gradient_boosting", calibrate=False, params=TREES)
+    model = models.fit_no_show(train, estimator="gradient_boosting", calibrate=False)
     return metrics.classification_metrics(model.transform(test), 0.3)
 
 
@@ -67,7 +65,7 @@ def duration_boosted_metrics(spark, folder):
     frame = T.bookings(spark, folder)
     codes = FT.category_codes(frame)
     train, test = splits.final_holdout(frame)
-    model = models.fit_duration(materialize(FT.duration_features(train, codes=codes)), params=TREES)
+    model = models.fit_duration(materialize(FT.duration_features(train, codes=codes)))
     scored = model.transform(FT.duration_features(test, outcomes=frame, codes=codes)).withColumn("label", F.col("duration_minutes"))
     return metrics.regression_metrics(scored)
 

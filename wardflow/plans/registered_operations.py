@@ -151,11 +151,12 @@ def status_subsets(spark, folder):
 
 @register(
     "my_upcoming",
-    with_views("visits", f"""SELECT {VISIT_SQL} FROM visits WHERE appointment_date >= DATE '2024-01-20'
-        AND status IN ('scheduled', 'completed') ORDER BY visits.appointment_date, start_minute, visit_id LIMIT 50"""),
+    with_views("visits", f"""SELECT {VISIT_SQL}, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY patient_id
+        ORDER BY appointment_date, start_minute, visit_id) AS position FROM visits
+        WHERE appointment_date >= DATE '2024-01-20' AND status IN ('scheduled', 'completed')) WHERE position <= 50"""),
 )
 def my_upcoming(spark, folder):
-    return ops.my_upcoming(T.visits(spark, folder), AS_OF).select(*VISIT_COLUMNS)
+    return ops.my_upcoming(T.visits(spark, folder), AS_OF).select(*VISIT_COLUMNS, "position")
 
 
 @register(
@@ -200,7 +201,7 @@ def patient_upcoming(spark, folder):
           coalesce(upcoming, 0) AS upcoming
         FROM (SELECT doctor_id, count(*) AS today, sum(duration_minutes) AS m FROM visits
               WHERE appointment_date = DATE '2024-01-20' AND status <> 'cancelled' GROUP BY 1)
-        FULL JOIN (SELECT doctor_id, least(count(*), 20) AS upcoming FROM visits
+        FULL JOIN (SELECT doctor_id, count(*) AS upcoming FROM visits
               WHERE appointment_date > DATE '2024-01-20' AND status = 'scheduled' GROUP BY 1) USING (doctor_id)"""),
 )
 def doctor_day_card(spark, folder):
@@ -213,9 +214,7 @@ def doctor_day_card(spark, folder):
           THEN missed / (attended + missed) * 100 END, 0) AS missed_pct
         FROM (SELECT patient_id, count(*) FILTER (WHERE status = 'completed') AS attended,
                      count(*) FILTER (WHERE status = 'no_show') AS missed
-              FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY appointment_date DESC,
-                      start_minute DESC, visit_id DESC) AS position FROM visits WHERE appointment_date < DATE '2024-01-20')
-              WHERE position <= 20 GROUP BY 1)"""),
+              FROM visits WHERE appointment_date < DATE '2024-01-20' GROUP BY 1)"""),
 )
 def patient_card(spark, folder):
     return ops.patient_card(T.visits(spark, folder), AS_OF)
@@ -557,28 +556,6 @@ def seasonal_naive(spark, folder):
     return out.select("specialty", "appointment_date", "hour_of_day", "count", F.round("prediction", 9).alias("prediction"))
 
 
-@register(
-    "expected_volume",
-    with_views("visits grid", """SELECT grid.specialty, CAST(appointment_date AS VARCHAR) AS appointment_date, hour_of_day,
-          round(base * CASE isodow(appointment_date) WHEN 1 THEN 1.35 WHEN 2 THEN 1.05 WHEN 3 THEN 1.0 WHEN 4 THEN 1.02 WHEN 5 THEN 0.95
-            WHEN 6 THEN 0.45 ELSE 0.1 END * coalesce(share, 0.0) * (1 + 0.15 * sin(2 * pi() * (dayofyear(appointment_date) - 20) / 365)), 6) AS expected
-        FROM grid JOIN (SELECT specialty, count(*) / max(days) AS base FROM visits, (SELECT count(DISTINCT appointment_date) AS days FROM visits)
-             WHERE status <> 'cancelled' GROUP BY 1) USING (specialty)
-        LEFT JOIN (SELECT specialty, start_minute // 60 AS hour_of_day, count(*) / sum(count(*)) OVER (PARTITION BY specialty) AS share
-             FROM visits WHERE status <> 'cancelled' GROUP BY 1, 2) USING (specialty, hour_of_day)"""),
-)
-def expected_volume(spark, folder):
-    """Expected volume with the base volume and hour shares taken from the data."""
-    visits = T.visits(spark, folder)
-    grid = demand.demand_grid(visits)
-    share = demand.hour_profile(visits).select("specialty", F.col("hour").alias("hour_of_day"), "share", "n")
-    days = visits.select("appointment_date").distinct().agg(F.count("appointment_date").alias("d"))
-    base = share.groupBy("specialty").agg(F.sum("n").alias("_n")).withColumn("base", F.col("_n") / days.scalar()).drop("_n")
-    joined = grid.join(base, "specialty").join(share.drop("n"), ["specialty", "hour_of_day"], "left")
-    value = X.expected_volume("base", "appointment_date", F.coalesce("share", F.lit(0.0)))
-    return joined.select("specialty", "appointment_date", "hour_of_day", F.round(value, 6).alias("expected"))
-
-
 @register(
     "lead_time_buckets",
     with_views("past", """SELECT lead_bucket, round(avg(no_show), 9) AS mean, count(*) AS count FROM (SELECT no_show, CASE WHEN lead_days <= 0 THEN '0'

@@ -196,9 +196,9 @@ CAND2 = {"cand2": entry_sql(2, 2), "cscore2": SCORE_SQL.format(entries="cand2")}
 @register(
     "improvement_by_load",
     with_views("requests windays clinics", """SELECT factor, count(*) AS days, count(*) FILTER (WHERE objective_pct > 0.01) AS days_better,
-          count(*) FILTER (WHERE abs(objective_pct) <= 0.01) AS days_identical, count(*) FILTER (WHERE objective_pct < -0.01) AS days_worse, """
+          count(*) FILTER (WHERE abs(objective_pct) <= 0.01) AS days_identical, count(*) FILTER (WHERE objective_pct < -0.01) AS days_worse, count(*) >= 5 AS enough_days, """
                + SPREAD_SQL.format(m="objective_pct") + """ FROM (SELECT 0.6::DOUBLE AS factor, * FROM compared UNION ALL SELECT 0.45::DOUBLE, * FROM compared2)
-        GROUP BY factor HAVING count(*) >= 5""",
+        GROUP BY factor""",
                **BASE, **CAND, **CAND2, compared=COMPARE_SQL, compared2=COMPARE_SQL.replace("cscore", "cscore2")),
 )
 def improvement_by_load(spark, folder):
@@ -288,29 +288,6 @@ def moved_visit_impact(spark, folder):
     return schedule.moved_visit_impact(sessions, moves, T.clinics(spark, folder), attends="attends")
 
 
-FCFS_SQL = """SELECT doctor_id, appointment_date, rn, visit_id, duration_minutes, reserved, ready AS start FROM placed WHERE rn = 1
-    UNION ALL SELECT p.doctor_id, p.appointment_date, p.rn, p.visit_id, p.duration_minutes, p.reserved, greatest(p.ready, f.start + f.reserved)
-    FROM fcfs f JOIN placed p ON p.doctor_id = f.doctor_id AND p.appointment_date = f.appointment_date AND p.rn = f.rn + 1"""
-
-
-@register(
-    "fcfs_starts",
-    with_views("requests", """SELECT visit_id, CAST(start AS BIGINT) AS assigned_start, CAST(start + duration_minutes AS BIGINT) AS assigned_end,
-        start + duration_minutes <= 1140 AS fits FROM fcfs""",
-               placed="""SELECT *, CAST(ceil(greatest(requested_start_minute, 480) / 15) * 15 AS INT) AS ready,
-                   CAST(ceil((duration_minutes + CAST(least(round_even(duration_minutes * CAST(0.15 AS DOUBLE), 0), 15) AS INT)) / 15) * 15 AS INT) AS reserved,
-                   row_number() OVER (PARTITION BY doctor_id, appointment_date ORDER BY requested_start_minute,
-                     CASE urgency WHEN 'emergency' THEN 0 WHEN 'urgent' THEN 1 ELSE 2 END, visit_id) AS rn FROM requests""",
-               fcfs=FCFS_SQL),
-)
-def fcfs_starts(spark, folder):
-    requests = T.schedule_requests(spark, folder)
-    windows = requests.select("doctor_id", "appointment_date").distinct().select(
-        "*", F.lit(480).alias("start_minute"), F.lit(1140).alias("end_minute")
-    )
-    return schedule.fcfs_starts(requests, windows).select("visit_id", "assigned_start", "assigned_end", "fits")
-
-
 # --- assembly and sinks ----------------------------------------------------------------
 @register(
     "enriched_requests",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -29,6 +30,7 @@ class ModelCard:
     estimator: str | None = None
     n_parts: int = 1
     calibrated: bool = False
+    version: str = ""
     trained_at: str = field(default_factory=lambda: dt.datetime.now(dt.UTC).isoformat(timespec="seconds"))
 
 
@@ -42,9 +44,12 @@ def save_model(spark: SparkSession, model, card: ModelCard, folder: str, *, code
                profile: DataFrame | None = None) -> str:
     """Write the model stages, the lookup tables it was fitted with, and the card.
 
-    The card is written last: a model without a card is an unfinished save.
+    Each save has a folder of its own, and the card, which names it, is
+    switched last: until then the model saved before stays the current one.
     """
     root = f"{folder}/{card.name}"
+    card.version = uuid.uuid4().hex
+    place = f"{root}/{card.version}"
     pipelines = []
     if isinstance(model, NoShowModel):
         pipelines = model.parts
@@ -56,13 +61,13 @@ def save_model(spark: SparkSession, model, card: ModelCard, folder: str, *, code
         pipelines = [(model.model, None)]
     card.n_parts = len(pipelines)
     for i, (base, calibrator) in enumerate(pipelines):
-        base.write().overwrite().save(f"{root}/base-{i}")
+        base.write().save(f"{place}/base-{i}")
         if calibrator is not None:
-            calibrator.write().overwrite().save(f"{root}/calibrator-{i}")
+            calibrator.write().save(f"{place}/calibrator-{i}")
     if codes is not None:
-        codes.write.mode("overwrite").parquet(f"{root}/codes")
+        codes.write.parquet(f"{place}/codes")
     if profile is not None:
-        profile.write.mode("overwrite").parquet(f"{root}/profile")
+        profile.write.parquet(f"{place}/profile")
     line = json.dumps({**asdict(card), "params": json.dumps(card.params), "metrics": json.dumps(card.metrics)})
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/card")
     return root
@@ -75,18 +80,19 @@ def load_model(spark: SparkSession, name: str, folder: str):
         raise FileNotFoundError(f"no trained model {name!r} in {folder}: run the training job first")
     card = json.loads(spark.read.text(f"{root}/card").first()[0])
     card["params"], card["metrics"] = json.loads(card["params"]), json.loads(card["metrics"])
-    bases = [PipelineModel.load(f"{root}/base-{i}") for i in range(card["n_parts"])]
+    place = f"{root}/{card['version']}"
+    bases = [PipelineModel.load(f"{place}/base-{i}") for i in range(card["n_parts"])]
     names = card["feature_names"]
     if card["kind"] == "classifier":
         calibrators = [
-            IsotonicRegressionModel.load(f"{root}/calibrator-{i}") if card["calibrated"] else None for i in range(len(bases))
+            IsotonicRegressionModel.load(f"{place}/calibrator-{i}") if card["calibrated"] else None for i in range(len(bases))
         ]
         model = NoShowModel(card["estimator"], names, list(zip(bases, calibrators)), card["params"])
     elif name == "demand":
         model = DemandModel(card["estimator"], names, bases[0] if bases else None)
     else:
         model = DurationModel(names, bases[0])
-    tables = [spark.read.parquet(f"{root}/{t}") if _exists(spark, f"{root}/{t}") else None for t in ("codes", "profile")]
+    tables = [spark.read.parquet(f"{place}/{t}") if _exists(spark, f"{place}/{t}") else None for t in ("codes", "profile")]
     return model, card, *tables
 
 

@@ -7,6 +7,8 @@ status and duration_minutes on both sides.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,33 +51,68 @@ def accumulate(deltas: DataFrame) -> DataFrame:
     )
 
 
-def maintain_utilization(changes: DataFrame, folder: str, checkpoint: str, *, available_now: bool = True):
+def _has(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def maintain_utilization(changes: DataFrame, folder: str, checkpoint: str, *, stream_id: str | None = None, available_now: bool = True):
     """Start the maintenance stream: one aggregated delta file set per micro-batch.
 
-    A replayed batch overwrites its own ``batch=N`` partition, so a restart after
-    a lost driver or executor never counts a change twice.
+    A replayed batch overwrites its own ``stream_id=S/batch=N`` partition, so a
+    restart after a lost driver or executor never counts a change twice. The
+    id is that of the checkpoint folder if none is given; several streams may
+    write to one folder. A new checkpoint cannot take over an id that already
+    has batches there, as its batch numbers would start again.
     """
+    spark = changes.sparkSession
+    name = stream_id or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    if _has(spark, f"{folder}/stream_id={name}") and not _has(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"stream {name} has written to {folder} with another checkpoint: continue that one, or give a new stream_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            utilization_deltas(batch)
-            .groupBy(*CELL)
-            .agg(*[F.sum(c).alias(c) for c in MEASURES])
-            .withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(folder)
-        )
+        _write_deltas(utilization_deltas(batch).groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in MEASURES]), folder, name, batch_id)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
+def _write_deltas(deltas: DataFrame, folder: str, stream_id: str, batch: int) -> None:
+    (
+        deltas.select(*CELL, *MEASURES)
+        .withColumn("stream_id", F.lit(stream_id))
+        .withColumn("batch", F.lit(batch))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("stream_id", "batch")
+        .parquet(folder)
+    )
+
+
+def read_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """The sum of all batches per cell, not floored."""
+    return spark.read.parquet(folder).groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in MEASURES])
+
+
 def read_maintained(spark: SparkSession, folder: str) -> DataFrame:
     return accumulate(spark.read.parquet(folder))
 
 
+def write_correction(compared: DataFrame, folder: str) -> None:
+    """Append what is missing to the recount as a batch of its own."""
+    delta = compared.select(*CELL, *[(F.col(f"e_{c}") - F.col(f"a_{c}")).alias(c) for c in MEASURES])
+    _write_deltas(delta, folder, f"correction-{uuid.uuid4().hex}", 0)
+
+
+def compact(spark: SparkSession, folder: str, target: str) -> None:
+    """Sum all batches into one in a new folder.
+
+    Run it while no stream writes; the streams then go on with their own
+    checkpoints in ``target``, where their later batches are added to the sum.
+    """
+    _write_deltas(read_deltas(spark, folder), target, f"base-{uuid.uuid4().hex}", 0)
+
+
 def drift(summary: DataFrame, visits: DataFrame, since: dt.date | None = None) -> DataFrame:
     """Recount against the stored summary, both sides kept; expected/actual per field."""
     if since is not None:
@@ -90,6 +127,24 @@ def drift(summary: DataFrame, visits: DataFrame, since: dt.date | None = None) -
     return joined
 
 
+def differs() -> Column:
+    """True for a compared cell with any field that differs."""
+    out = F.lit(False)
+    for c in MEASURES:
+        out = out | (F.col(f"e_{c}") != F.col(f"a_{c}"))
+    return out
+
+
+def floored(compared: DataFrame) -> DataFrame:
+    """A comparison with the stored side floored at 0, as readers see it."""
+    return compared.withColumns({f"a_{c}": F.greatest(f"a_{c}", F.lit(0).cast("long")) for c in MEASURES})
+
+
+def recounted(compared: DataFrame) -> DataFrame:
+    """The cells of a comparison with their recounts."""
+    return compared.select(*CELL, *[F.col(f"e_{c}").alias(c) for c in MEASURES])
+
+
 def drift_rows(compared: DataFrame) -> DataFrame:
     """One row per (cell, field) that differs."""
     fields = F.array(
@@ -107,7 +162,7 @@ def repaired(summary: DataFrame, visits: DataFrame, since: dt.date | None = None
     As in the stored procedure, a summary cell without visits is set to zeros.
     """
     compared = drift(summary, visits, since)
-    fresh = compared.select(*CELL, *[F.col(f"e_{c}").alias(c) for c in MEASURES])
+    fresh = recounted(compared)
     if since is None:
         return fresh
     return summary.filter(F.col("appointment_date") < F.lit(since)).select(*CELL, *MEASURES).unionByName(fresh)
