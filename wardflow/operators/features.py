@@ -119,7 +119,7 @@ def no_show_features(visits: DataFrame, rate: float | None = None, *, outcomes:
 
 def demand_features(grid: DataFrame, profile: DataFrame | None = None, codes: DataFrame | None = None,
                     keep: tuple[str, ...] = ()) -> DataFrame:
-    """10 calendar features and ``count``. No lags: they do not exist weeks ahead."""
+    """10 calendar features, and ``count`` where the grid has it. No lags: they do not exist weeks ahead."""
     profile = demand.demand_profile(grid) if profile is None else profile
     rows = demand.with_profile(_with_codes(grid, codes), profile)
     derived = {
@@ -135,7 +135,9 @@ def demand_features(grid: DataFrame, profile: DataFrame | None = None, codes: Da
         "profile_mean": F.col("profile_mean"),
     }
     return rows.select(
-        *keep, *[derived[n].cast("double").alias(n) for n in DEMAND_FEATURES], F.col("count").cast("double").alias("count")
+        *keep,
+        *[derived[n].cast("double").alias(n) for n in DEMAND_FEATURES],
+        *[F.col("count").cast("double").alias("count")] * ("count" in grid.columns),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators import features as FT, metrics, splits
+from wardflow.operators import demand, features as FT, metrics, splits
 from wardflow.session import materialize
 
 DAY = "appointment_date"
@@ -248,6 +248,18 @@ def predict_duration(candidates: DataFrame, history: DataFrame, model: DurationM
     )
 
 
+def predict_demand(model: DemandModel, profile: DataFrame, start, end, *, codes: DataFrame | None, open_hour: int = 8,
+                   close_hour: int = 18) -> DataFrame:
+    """Forecast cells of every specialty in the profile over a date range, by a fitted model."""
+    if start > end:
+        raise ValueError("start must not be after end")
+    spine = demand.calendar_spine(profile.select("specialty").distinct(), F.lit(start), F.lit(end), open_hour, close_hour)
+    scored = model.transform(FT.demand_features(spine, profile, codes, keep=("specialty", DAY)), "_d")
+    return scored.select(
+        "specialty", DAY, F.col("hour_of_day").cast("int").alias("hour_of_day"), X.half_even("_d", 3, exact=True).alias("predicted_demand")
+    )
+
+
 # --- inspection ------------------------------------------------------------------------
 def _influence(pipeline: PipelineModel) -> list[float]:
     last = pipeline.stages[-1]

@@ -1,14 +1,22 @@
-"""Registered queries: fitted models. Iterative fits have no SQL form, so no oracle."""
+"""Registered queries: fitted models.
+
+Iterative fits have no SQL form. What a fit has to satisfy, and the keys and
+counts of what it scores, are stated in SQL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime as dt
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators import demand, features as FT, metrics, models, splits
+from wardflow.operators import demand, features as FT, metrics, models, quality, splits
 from wardflow.plans.catalog import register, with_views
 from wardflow.session import materialize
-from wardflow.sources import tables as T
+from wardflow.plans.registered_history import CUTOFF_SQL
+from wardflow.sources import sinks, tables as T
 
 
 def _holdout(spark, folder):
@@ -84,6 +92,113 @@ def candidate_scores(spark, folder):
     )
 
 
+RESOLVED_TRAIN = "status IN ('completed', 'no_show') AND appointment_date < cutoff"
+
+
+@register(
+    "no_show_score_equations",
+    with_views("bookings", f"""SELECT is_new_patient, count(*) AS n, sum(CAST(status = 'no_show' AS INT)) AS no_shows, true AS balanced
+        FROM bookings, cut WHERE {RESOLVED_TRAIN} GROUP BY 1""", cut=CUTOFF_SQL),
+)
+def no_show_score_equations(spark, folder):
+    """At the optimum of the logistic fit, expected and observed no-shows agree for both values of an indicator."""
+    train, _ = _holdout(spark, folder)
+    scored = models.fit_no_show(train, calibrate=False).transform(train)
+    sums = scored.groupBy((F.col("is_new_patient") == 1).alias("is_new_patient")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("no_shows"), F.sum("score").alias("_expected")
+    )
+    return sums.select("is_new_patient", "n", "no_shows", (F.abs(F.col("_expected") - F.col("no_shows")) < 0.002 * F.col("n")).alias("balanced"))
+
+
+@register(
+    "no_show_scored_rows",
+    with_views("bookings", """SELECT CAST(appointment_date AS VARCHAR) AS appointment_date, count(*) AS n, count(DISTINCT patient_id) AS patients,
+        sum(CAST(status = 'no_show' AS INT)) AS no_shows, true AS in_range FROM bookings, cut
+        WHERE status IN ('completed', 'no_show') AND appointment_date >= cutoff GROUP BY 1""", cut=CUTOFF_SQL),
+)
+def no_show_scored_rows(spark, folder):
+    """Every resolved booking of the last dates gets one probability."""
+    train, test = _holdout(spark, folder)
+    scored = models.fit_no_show(train, calibrate=False).transform(test)
+    return scored.groupBy("appointment_date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum("label").alias("no_shows"),
+        F.min(F.col("score").between(0, 1) & F.col("score").isNotNull()).alias("in_range"),
+    )
+
+
+@register(
+    "calibrator_facts",
+    with_views("bookings", f"""SELECT count(*) AS n, sum(CAST(status = 'no_show' AS INT)) AS no_shows, true AS mean_kept, true AS rising
+        FROM bookings, cut WHERE {RESOLVED_TRAIN}""", cut=CUTOFF_SQL),
+)
+def calibrator_facts(spark, folder):
+    """The isotonic map keeps the mean of the rows it was fitted on and never falls."""
+    train, _ = _holdout(spark, folder)
+    base = models.fit_no_show(train, calibrate=False).parts[0][0]
+    fitted = models.NoShowModel("logistic_regression", list(FT.NO_SHOW_FEATURES), [(base, models._calibrate(base, train, list(FT.NO_SHOW_FEATURES)))])
+    plain = models.NoShowModel("logistic_regression", list(FT.NO_SHOW_FEATURES), [(base, None)])
+    both = fitted.transform(plain.transform(train, "raw"), "score").withColumn("raw", F.round("raw", models.SCORE_DECIMALS))
+    steps = both.groupBy("raw").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    # Bounded by the decimals of a score: at most 10,001 rows.
+    falls = steps.select(F.lead("low").over(Window.partitionBy(F.lit(0)).orderBy("raw")).alias("next"), "high").agg(F.count_if(F.col("next") < F.col("high") - 1e-9).alias("n"))
+    sums = both.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("no_shows"), F.sum("score").alias("s"))
+    return sums.select("n", "no_shows", (F.abs(F.col("s") - F.col("no_shows")) < 1e-6 * F.col("n")).alias("mean_kept"), (falls.scalar() == 0).alias("rising"))
+
+
+@register(
+    "demand_score_equations",
+    with_views("grid", """SELECT isodow(appointment_date) >= 6 AS is_weekend, count(*) AS n, CAST(sum(count) AS BIGINT) AS visits, true AS balanced
+        FROM grid GROUP BY 1"""),
+)
+def demand_score_equations(spark, folder):
+    """At the optimum of the Poisson fit, expected and observed visits agree on weekends and on weekdays."""
+    grid = demand.demand_grid(T.visits(spark, folder))
+    rows = materialize(FT.demand_features(grid, None, FT.category_codes(grid)))
+    scored = models.fit_demand(rows, strategy="poisson").transform(rows)
+    sums = scored.groupBy((F.col("is_weekend") == 1).alias("is_weekend")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("count").cast("long").alias("visits"), F.sum("prediction").alias("_expected")
+    )
+    return sums.select("is_weekend", "n", "visits", (F.abs(F.col("_expected") - F.col("visits")) < 0.01 * F.col("visits") + 1).alias("balanced"))
+
+
+@register(
+    "importance_facts",
+    "SELECT CAST(17 AS BIGINT) AS features, true AS sums_to_one, true AS none_negative, count(*) AS orders FROM orders",
+)
+def importance_facts(spark, folder):
+    train, _ = _holdout(spark, folder)
+    pairs = spark.createDataFrame(models.fit_no_show(train, calibrate=False).importance(), "feature string, importance double")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.agg(
+        F.count_distinct("feature").alias("features"), (F.abs(F.sum("importance") - 1) < 0.002).alias("sums_to_one"), (F.min("importance") >= 0).alias("none_negative"),
+    ).withColumn("orders", orders.scalar())
+
+
+@register(
+    "fitted_demand_forecast",
+    with_views("grid", """SELECT specialty, CAST(14 * 11 AS BIGINT) AS cells, CAST(last + 1 AS VARCHAR) AS first_date, CAST(last + 14 AS VARCHAR) AS last_date,
+        CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS repeated
+        FROM (SELECT DISTINCT specialty FROM grid), (SELECT max(appointment_date) AS last FROM grid)"""),
+)
+def fitted_demand_forecast(spark, folder):
+    """Two weeks after the data, forecast by a fitted model, written as a model version, read back and checked."""
+    grid = demand.demand_grid(T.visits(spark, folder))
+    codes, profile = FT.category_codes(grid), demand.demand_profile(grid)
+    model = models.fit_demand(materialize(FT.demand_features(grid, profile, codes)), strategy="poisson")
+    last = grid.agg(F.max("appointment_date")).first()[0]
+    cells = models.predict_demand(model, profile, last + dt.timedelta(days=1), last + dt.timedelta(days=14), codes=codes)
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/forecast-{uuid.uuid4().hex}"
+    sinks.write_forecast(cells, place, "poisson")
+    stored = spark.read.parquet(place)
+    wrong = F.lit(False)
+    for rule in quality.FORECAST_RULES.values():
+        wrong = wrong | ~F.expr(rule)
+    return stored.groupBy("specialty").agg(
+        F.count(F.lit(1)).alias("cells"), F.min("appointment_date").alias("first_date"), F.max("appointment_date").alias("last_date"),
+        F.count_if(wrong).alias("violations"), (F.count(F.lit(1)) - F.count_distinct(*sinks.FORECAST_KEY)).alias("repeated"),
+    )
+
+
 @register(
     "duration_fallback",
     with_views("bookings", """SELECT patient_id, CAST(appointment_date AS VARCHAR) AS appointment_date,

@@ -229,23 +229,28 @@ def history_of(frame: DataFrame, keys: DataFrame, key: str = "patient_id") -> Da
 
 
 def training_summary(frame: DataFrame) -> DataFrame:
-    counted = frame.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(X.resolved()).alias("resolved_rows"),
-        X.half_even(F.avg(X.outcome()), 4, exact=True).alias("no_show_rate"),
-        F.min("appointment_date").alias("first_date"),
-        F.max("appointment_date").alias("last_date"),
-    )
-    # The exact distinct counts run as their own aggregates over distinct keys:
-    # together they would expand every row once per distinct column.
-    patients_n = frame.select("patient_id").distinct().agg(F.count("patient_id").alias("n"))
-    specialties_n = frame.select("specialty").distinct().agg(F.count("specialty").alias("n"))
-    return counted.withColumn("patients", patients_n.scalar()).withColumn("specialties", specialties_n.scalar())
-
-
+    """Size, dates and rates of a training frame, read once.
 
+    Rows are reduced to one per (patient, specialty) first; the two exact
+    distinct counts then run over those rows.
+    """
+    part = frame.groupBy("patient_id", "specialty").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(X.resolved()).alias("_resolved"),
+        F.sum(X.outcome()).alias("_missed"),
+        F.min("appointment_date").alias("_first"),
+        F.max("appointment_date").alias("_last"),
+    )
+    return part.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum("_resolved"), F.lit(0)).alias("resolved_rows"),
+        X.half_even(F.sum("_missed") / F.nullif(F.sum("_resolved"), F.lit(0)), 4, exact=True).alias("no_show_rate"),
+        F.min("_first").alias("first_date"),
+        F.max("_last").alias("last_date"),
+        F.count_distinct("patient_id").alias("patients"),
+        F.count_distinct("specialty").alias("specialties"),
+    )
 
-# --- schedules derived from the visits --------------------------------------------
 def schedule_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-cancelled visit as a request for the time it was booked at."""
     live = visits(spark, folder).filter(X.occupies())
