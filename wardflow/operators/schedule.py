@@ -97,7 +97,11 @@ def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, c
 
 def score_schedule(entries: DataFrame, requests: DataFrame, windows: DataFrame, clinics: DataFrame,
                    weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per schedule with every term and the weighted objective."""
+    """One row per schedule with every term and the weighted objective.
+
+    A clinic-day whose requests were all left out has a row, too, with zeros
+    and without a ``schedule_id``.
+    """
     per_doctor = doctor_scores(entries, requests, windows, clinics)
     rolled = per_doctor.groupBy(*SCHEDULE).agg(
         F.sum("delay_minutes").alias("total_delay_minutes"),
@@ -111,8 +115,11 @@ def score_schedule(entries: DataFrame, requests: DataFrame, windows: DataFrame,
         F.max("max_delay").alias("max_delay_minutes"),
     )
     asked = requests.groupBy(*DAY).agg(F.count(F.lit(1)).alias("_asked"))
+    terms = [(c, kind) for c, kind in rolled.dtypes if c not in (*SCHEDULE, *DAY)]
     return (
-        rolled.join(asked, DAY, "left")
+        rolled.join(asked, DAY, "full_outer")
+        .withColumns({c: F.coalesce(c, F.lit(0).cast(kind)) for c, kind in terms})
+        .select(*rolled.columns, "_asked")
         .withColumn("unscheduled_count", F.coalesce(F.col("_asked") - F.col("_matched"), F.lit(0).cast("long")))
         .withColumn("mean_delay_minutes", X.ratio("total_delay_minutes", "_matched"))
         .withColumn("objective", objective(weights or WEIGHTS["balanced"]))

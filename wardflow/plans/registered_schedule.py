@@ -69,6 +69,22 @@ def score_schedule(spark, folder):
     return schedule.rounded(_scores(spark, folder, 1, 4))
 
 
+@register(
+    "partial_schedule",
+    with_views("requests", """SELECT schedule_id, clinic_id, CAST(appointment_date AS VARCHAR) AS appointment_date, coalesce(placed, 0) AS scheduled_count,
+        asked - coalesce(placed, 0) AS unscheduled_count
+        FROM (SELECT clinic_id, appointment_date, count(*) AS asked FROM requests GROUP BY ALL)
+        LEFT JOIN (SELECT 1::BIGINT AS schedule_id, clinic_id, appointment_date, count(*) AS placed FROM requests
+                   WHERE visit_id % 5 <> 0 AND NOT (clinic_id = 3 AND day(appointment_date) % 2 = 0) GROUP BY ALL) USING (clinic_id, appointment_date)"""),
+)
+def partial_schedule(spark, folder):
+    """A schedule that leaves out some requests, and all of some clinic-days."""
+    entries, requests, windows, clinics = _schedule(spark, folder, 1, 4)
+    kept = entries.filter((F.col("visit_id") % 5 != 0) & ~((F.col("clinic_id") == 3) & (F.dayofmonth("appointment_date") % 2 == 0)))
+    scores = schedule.score_schedule(kept, requests, windows, clinics)
+    return scores.select("schedule_id", "clinic_id", "appointment_date", "scheduled_count", "unscheduled_count")
+
+
 @register(
     "doctor_scores",
     with_views("requests windays", """SELECT doctor_id, CAST(e.appointment_date AS VARCHAR) AS appointment_date, count(*) AS visits,
