@@ -88,7 +88,7 @@ VIEWS = {
           USING (specialty, appointment_date, hour_of_day)""",
     "windays": """
         SELECT doctor_id, CAST(d.day AS DATE) AS appointment_date, start_minute, end_minute
-        FROM availability JOIN (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS day) d
+        FROM availability JOIN (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS day) d
           ON isodow(d.day) = weekday AND effective_from <= d.day AND (effective_to IS NULL OR effective_to >= d.day)
         WHERE is_active""",
 }

@@ -11,7 +11,6 @@ from wardflow.operators import intervals, quality
 from wardflow.plans.catalog import register, with_views
 from wardflow.sources import tables as T
 
-MONTH = (dt.date(2024, 1, 1), dt.date(2024, 1, 30))
 
 
 @register(
@@ -103,7 +102,7 @@ def covered_by_availability(spark, folder):
               FROM (SELECT doctor_id, appointment_date, CAST(unnest(generate_series(start_minute, end_minute - 15, 15)) AS INT) AS slot_start FROM windays) w) w"""),
 )
 def free_slots(spark, folder):
-    return intervals.free_slots(T.availability(spark, folder), T.visits(spark, folder), *MONTH)
+    return intervals.free_slots(T.availability(spark, folder), T.visits(spark, folder), *T.visit_span(spark, folder))
 
 
 # --- booking verdicts --------------------------------------------------------------------
@@ -208,6 +207,6 @@ def schedule_request_problems(spark, folder):
                 AND w.start_minute <= requested_start_minute AND requested_start_minute < w.end_minute)"""),
 )
 def compressed_day(spark, folder):
-    windows = intervals.window_days(T.availability(spark, folder), *MONTH)
+    windows = intervals.window_days(T.availability(spark, folder), *T.visit_span(spark, folder))
     out = intervals.compress_day(windows, T.schedule_requests(spark, folder), 0.35)
     return out.select("visit_id", "compressed_start_minute", "compressed_window_end")

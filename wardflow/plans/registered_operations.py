@@ -14,7 +14,6 @@ from wardflow.streaming import maintain
 
 AS_OF = dt.date(2024, 1, 20)
 LO, HI = dt.date(2024, 1, 11), dt.date(2024, 1, 20)
-MONTH = (dt.date(2024, 1, 1), dt.date(2024, 1, 30))
 VISIT_COLUMNS = ["visit_id", "patient_id", "doctor_id", "appointment_date", "start_minute", "status"]
 VISIT_SQL = ("visit_id, patient_id, doctor_id, CAST(appointment_date AS VARCHAR) AS appointment_date, "
              "start_minute, status")
@@ -360,7 +359,7 @@ def demand_by_hour(spark, folder):
         CAST(sum(end_minute - start_minute) AS BIGINT) AS available_minutes FROM windays GROUP BY ALL"""),
 )
 def available_minutes(spark, folder):
-    return intervals.available_minutes(T.availability(spark, folder), *MONTH)
+    return intervals.available_minutes(T.availability(spark, folder), *T.visit_span(spark, folder))
 
 
 BY_DOCTOR_SQL = """SELECT doctor_id, 'Dr. ' || first_name || ' ' || last_name AS doctor_name, coalesce(b, 0) AS booked_minutes,
@@ -408,7 +407,7 @@ ACTIVE_DAYS = "SELECT windays.* FROM windays WHERE doctor_id IN (SELECT doctor_i
 )
 def utilization_trend(spark, folder):
     cells = ops.utilization_cells(T.visits(spark, folder))
-    return ops.utilization_trend(T.doctors(spark, folder), cells, T.availability(spark, folder), *MONTH)
+    return ops.utilization_trend(T.doctors(spark, folder), cells, T.availability(spark, folder), *T.visit_span(spark, folder))
 
 
 @register(
@@ -420,7 +419,7 @@ def utilization_trend(spark, folder):
 )
 def utilization_trend_exact(spark, folder):
     cells = ops.utilization_cells(T.visits(spark, folder))
-    return ops.utilization_trend(T.doctors(spark, folder), cells, T.availability(spark, folder), *MONTH, exact=True)
+    return ops.utilization_trend(T.doctors(spark, folder), cells, T.availability(spark, folder), *T.visit_span(spark, folder), exact=True)
 
 
 @register(
@@ -432,7 +431,7 @@ def utilization_trend_exact(spark, folder):
           USING (doctor_id, appointment_date) GROUP BY ALL"""),
 )
 def clinic_day_utilization(spark, folder):
-    return ops.clinic_day_utilization(T.visits(spark, folder), T.availability(spark, folder), *MONTH)
+    return ops.clinic_day_utilization(T.visits(spark, folder), T.availability(spark, folder), *T.visit_span(spark, folder))
 
 
 @register(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as X
@@ -11,7 +9,6 @@ from wardflow.operators import intervals, quality, running, schedule
 from wardflow.plans.catalog import register, with_views
 from wardflow.sources import sinks, tables as T
 
-MONTH = (dt.date(2024, 1, 1), dt.date(2024, 1, 30))
 
 
 def entry_sql(schedule_id: int, spread: int) -> str:
@@ -50,7 +47,7 @@ KEYS_SQL = "schedule_id, clinic_id, CAST(appointment_date AS VARCHAR) AS appoint
 def _schedule(spark, folder, schedule_id, spread):
     requests = T.schedule_requests(spark, folder)
     entries = T.schedule_entries(requests, schedule_id, spread)
-    windows = intervals.window_days(T.availability(spark, folder), *MONTH)
+    windows = intervals.window_days(T.availability(spark, folder), *T.visit_span(spark, folder))
     return entries, requests, windows, T.clinics(spark, folder)
 
 

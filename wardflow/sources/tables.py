@@ -185,6 +185,13 @@ def availability(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def visit_span(spark: SparkSession, folder: str) -> tuple[Column, Column]:
+    """First and last date of the visits, as scalars of one subquery."""
+    day = F.to_date(F.col("ts"))
+    bounds = spark.read.parquet(f"{folder}/events.parquet").agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi")).alias("b"))
+    return bounds.scalar()["lo"], bounds.scalar()["hi"]
+
+
 # --- readers over the contract --------------------------------------------------
 def load_visits(frame: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
                 day: str = "appointment_date") -> DataFrame:
