@@ -84,13 +84,12 @@ def no_show_features(visits: DataFrame, rate: float | None = None, *, outcomes:
     """
     require_columns(visits)
     frame = visits.withColumn("label", X.outcome())
-    known = frame if outcomes is None else outcomes.withColumn("label", X.outcome())
+    known = None if outcomes is None else outcomes.withColumn("label", X.outcome())
     prior_rate = F.lit(float(rate)) if rate is not None else base_rate(visits).scalar()
     rows = frame.filter(F.col("label").isNotNull()) if resolved_only else frame
     if "duration_minutes" not in rows.columns:
         rows = rows.withColumn("duration_minutes", F.lit(None).cast("double"))
-    rows = _with_codes(rows, codes)
-    rows = history.asof_history(rows, known).withColumn("_rate", prior_rate)
+    rows = _with_codes(history.asof_history(rows, known), codes).withColumn("_rate", prior_rate)
     hour, weekday = X.hour_of(), X.weekday0()
     flag = lambda c: c.cast("int")
     derived = {
@@ -145,9 +144,13 @@ def duration_features(visits: DataFrame, *, outcomes: DataFrame | None = None, c
                       keep: tuple[str, ...] = (), completed_only: bool = True) -> DataFrame:
     """6 features and ``duration_minutes``; only completed visits have a length."""
     frame = visits.withColumn("label", X.outcome())
-    known = frame if outcomes is None else outcomes.withColumn("label", X.outcome())
-    rows = frame.filter(F.col("status") == "completed") if completed_only else frame
-    rows = history.asof_history(_with_codes(rows, codes), known)
+    if outcomes is None:
+        rows = history.asof_history(frame)
+        rows = rows.filter(F.col("status") == "completed") if completed_only else rows
+    else:
+        rows = frame.filter(F.col("status") == "completed") if completed_only else frame
+        rows = history.asof_history(rows, outcomes.withColumn("label", X.outcome()))
+    rows = _with_codes(rows, codes)
     derived = {
         "specialty_code": F.col("specialty_code"),
         "is_new_patient": F.col("is_new_patient").cast("int"),

@@ -12,7 +12,7 @@ from wardflow.operators.running import id_chunk, prior_totals
 
 def asof_history(
     queries: DataFrame,
-    outcomes: DataFrame,
+    outcomes: DataFrame | None = None,
     *,
     key: str = "patient_id",
     query_day: str = "booked_at",
@@ -25,19 +25,21 @@ def asof_history(
     to one row per (key, day) before the shuffle; the running window then sees at
     most one row per calendar day of a key, however many visits the key has. With
     one row per day "all rows before this one" is exactly the strict comparison.
+    Without ``outcomes`` the rows themselves have them, and are read once for
+    both sides.
     """
     day = F.to_date(query_day)
-    known = outcomes.filter(F.col(label).isNotNull()).select(
-        F.col(key),
-        F.to_date(outcome_day).alias("_day"),
-        F.lit(1).alias("_n"),
-        F.col(label).cast("long").alias("_k"),
-        F.lit(False).alias("_asked"),
+    asked = F.struct(day.alias("_day"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_k"), F.lit(True).alias("_asked"))
+    seen = F.struct(
+        F.to_date(outcome_day).alias("_day"), F.lit(1).alias("_n"), F.col(label).cast("long").alias("_k"), F.lit(False).alias("_asked")
     )
-    asked = queries.select(
-        F.col(key), day.alias("_day"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_k"), F.lit(True).alias("_asked")
-    )
-    daily = known.unionByName(asked).groupBy(key, "_day").agg(
+    if outcomes is None:
+        both = F.when(F.col(label).isNotNull(), F.array(seen, asked)).otherwise(F.array(asked))
+        events = queries.select(key, F.inline(both))
+    else:
+        known = outcomes.filter(F.col(label).isNotNull()).select(key, seen.alias("e"))
+        events = known.unionByName(queries.select(key, asked.alias("e"))).select(key, "e.*")
+    daily = events.groupBy(key, "_day").agg(
         F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.bool_or("_asked").alias("_asked")
     )
     before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +103,7 @@ def expanding_prior_rate(
 
 
 def split_half_rates(
-    outcomes: DataFrame,
+    outcomes: DataFrame | None = None,
     *,
     key: str = "patient_id",
     day: str = "appointment_date",

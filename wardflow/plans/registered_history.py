@@ -33,7 +33,7 @@ ASOF_SQL = """SELECT b.*, coalesce(h.n, 0) AS prior_n, coalesce(h.k, 0) AS prior
 )
 def asof_history(spark, folder):
     rows = T.bookings(spark, folder).withColumn("label", X.outcome())
-    out = history.asof_history(rows, rows)
+    out = history.asof_history(rows)
     return out.select("patient_id", "booked_at", "appointment_date", "status", "prior_n", "prior_k", "days_since_last")
 
 
