@@ -81,7 +81,22 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(table(spark, folder, "pages"))
 
 
-@register("op10_suffix_dedup")
+OP10_SQL = """
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+    sized AS (SELECT doc_id, hx, length(hx) // 2 AS n FROM docs),
+    strings AS (SELECT doc_id, i, substr(hx, CAST(2 * i + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, hx, unnest(range(n - 99)) AS i FROM sized WHERE n >= 100)),
+    again AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+    marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 100 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY ALL),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+    cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+            string_agg(substr(hx, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+           sha256(unhex(coalesce(head || substr(hx, CAST(2 * last + 1 AS BIGINT)), hx))) AS kept_sha256
+    FROM sized LEFT JOIN cut USING (doc_id)"""
+
+
+@register("op10_suffix_dedup", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
 
