@@ -54,14 +54,16 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
     unseen = list(set().union(*(w for w in split if w)).difference(known))
     encoded = tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
     fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(unseen, encoded)}
-    table = known if len(known) + len(fresh) <= REMEMBERED else known | fresh
-    if table is known:
-        known.update(fresh)
+    known.update(fresh)
     end = END_ID.to_bytes(4, "little")
-    return [
-        (b"".join(map(table.__getitem__, words)) if words is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + end
+    packed = [
+        (b"".join(map(known.__getitem__, words)) if words is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + end
         for t, words in zip(texts, split)
     ]
+    if len(known) > REMEMBERED:
+        for word in fresh:
+            del known[word]
+    return packed
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
