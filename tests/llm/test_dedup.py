@@ -1,11 +1,13 @@
 import hashlib
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, LONG, SCHEMA, awkward, empty, linked_components, rows
-from wardflow.llm import substring_dedup
+from corpus_pipeline import drop_near_copies
+from wardflow.llm import near_copies as near, substring_dedup
 from wardflow.llm.common import connected, ranks
 from wardflow.llm.exact_dedup import exact_dedup
 from wardflow.llm.simhash_dedup import fingerprints, simhash, simhash_dedup
@@ -86,6 +88,57 @@ def test_ranks_number_a_hot_key_in_blocks(spark):
     assert all(r[1] == 0 and r[2] + 1 == r[3] == r[4] for r in got)
 
 
+# --- near copies by shingles ------------------------------------------------------------------------------------------
+
+
+def near_components(docs: list[tuple]) -> dict:
+    """The smallest id linked with each id, by the Jaccard similarity of all pairs."""
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [(d, shingles(t)) for d, t in docs], {d: d for d, _ in docs}
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if len(a & b) >= 0.8 * len(a | b):
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def near_documents() -> list[tuple]:
+    rng = random.Random(8)
+    line = "this common line stands in all of the documents"
+    texts = []
+    for _ in range(12):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) for _ in range(rng.choice([6, 20, 60, 200]))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 20)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(w) + (f" {line}" if rng.random() < 0.7 else ""))
+    return list(enumerate([*texts, line, "one two", "One  TWO", "one three"]))
+
+
+@pytest.mark.parametrize("pairs_a_row, common_docs", [(4, 4), (0, 10**9)])
+def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, pairs_a_row, common_docs):
+    monkeypatch.setattr(near, "PAIRS_A_ROW", pairs_a_row)
+    monkeypatch.setattr(near, "COMMON_DOCS", common_docs)
+    docs = near_documents()
+    want = near_components(docs)
+    got = near.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+    assert 20 < len(set(want.values())) < len(want) - 20
+
+
+def test_near_stage_keeps_one_of_a_component(spark):
+    docs = near_documents()
+    table = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], SCHEMA)
+    assert sorted(r["doc_id"] for r in drop_near_copies(spark, table, "").collect()) == sorted(set(near_components(docs).values()))
+    odd = drop_near_copies(spark, spark.createDataFrame(AWKWARD, SCHEMA), "")
+    assert {r["doc_id"] for r in odd.collect()} == {None, 1, 3, 6, 7, 8, 9, -3}
+    assert near.near_copies(empty(spark)).count() == 0
+
+
 # --- repeated byte strings --------------------------------------------------------------------------------------------
 
 
