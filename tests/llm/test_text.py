@@ -125,6 +125,17 @@ def test_main_text_without_an_article_element():
     assert text.count("\n") == 4 and "Link" not in text
 
 
+LINES = [f"Paragraph {i} has a sentence, and another one. It goes on for a while, as text does, and so on; then it ends." for i in range(6)]
+
+
+@pytest.mark.parametrize("names", ["content no-sidebar", "site has-sidebar", "main with-comments", "menu-open", "page ad-free", "widget", "sidebar-left layout"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_layout_names_do_not_drop_the_article(names, tag):
+    text = "".join(f"<p>{x}</p>" for x in LINES)
+    page = f"<body><div class='cookie-notice'>We use cookies.</div><div class='{names}'><{tag}>{text}</{tag}></div><div class='site-footer'>Imprint</div></body>"
+    assert main_text(page).split("\n") == LINES
+
+
 @pytest.mark.parametrize("source, want", [
     ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>cut of", "cut of"), ("<p>a &am", "a &am"), ("<p>5 < 6", "5 < 6"), ("<script>x", ""),
     ("<!-- open", ""), ("<p title='a > b'>in</p>", "in"), ("<p>one</p></div></p><p>two", "one\ntwo"),

@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ APART_WORDS = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say of a class token that something is there, is not, or how it is: the element itself is not that thing.
+MODIFIERS = frozenset("no not has have with without is free open opened closed hidden enabled disabled active".split())
+#: A header of these is the heading of an article.
+OF_ARTICLES = frozenset("entry post article content page story section title".split())
 BODY = frozenset("html body article main".split())
 CONTAINERS = frozenset("article main".split())
 
@@ -52,32 +57,65 @@ KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SHARE = 0.5
 
 
-def _apart(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in APART or (tag == "header" and not inside):
-        return True
-    if tag in BODY or not attributes:
-        return False
-    words = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    if inside:
-        words -= {"header"}
-    return not APART_WORDS.isdisjoint(words)
+def _named(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role names a part that is not of an article: by the first or the last word of a token."""
+    for found in NAMES.finditer(attributes):
+        for token in (found[1] or found[2] or found[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if not words or not MODIFIERS.isdisjoint(words):
+                continue
+            ends = {words[0], words[-1]} & APART_WORDS
+            if inside or not OF_ARTICLES.isdisjoint(words):
+                ends -= {"header"}
+            if ends:
+                return True
+    return False
 
 
-def nodes(source: str) -> list[tuple[tuple[str, ...], str]]:
-    """The blocks of text of a page in order, each with its path of block elements; what is apart from an article is left out."""
-    found: list[tuple[tuple[str, ...], str]] = []
-    opened: list[tuple[str, bool]] = []  # block elements, and whether each is apart
+class Element:
+    """An open block element; ``apart`` if its tag, ``named`` if a name of it says that it is not part of an article."""
+
+    def __init__(self, tag: str, apart: bool, named: bool) -> None:
+        self.tag, self.apart, self.named = tag, apart, named
+        self.holds, self.chars = False, 0  # an article or main element; characters of text
+
+
+@dataclass(frozen=True)
+class Node:
+    """A block of text with its path of block elements, and whether most of it is the text of links."""
+
+    path: tuple[str, ...]
+    text: str
+    elements: tuple[Element, ...]
+    linked: bool
+
+
+def nodes(source: str) -> list[Node]:
+    """The blocks of text of a page in order; what is apart from an article is left out.
+
+    An element that is apart by name alone stays if it holds an article or
+    main element that is not, or, on a page without one, over half the text.
+    """
+    found: list[Node] = []
+    opened: list[Element] = []
     pieces: list[str] = []
+    total, links, in_link = 0, 0, False
+    articles = False
 
     def flush() -> None:
+        nonlocal total, links
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
-            if text and not (opened and opened[-1][1]):
-                found.append((tuple(t for t, _ in opened), text))
+            if text and not any(e.apart for e in opened):
+                found.append(Node(tuple(e.tag for e in opened), text, tuple(opened), 2 * links > len(text)))
+                total += len(text)
+                for e in opened:
+                    e.chars += len(text)
+        links = 0
 
     def close(tag: str) -> None:
-        while opened and opened.pop()[0] != tag:
+        while opened and opened.pop().tag != tag:
             pass
 
     for token in TOKEN.finditer(source):
@@ -86,30 +124,42 @@ def nodes(source: str) -> list[tuple[tuple[str, ...], str]]:
             said = token[0]
             if said[0] != "<" or said == "<":
                 pieces.append(said)
+                links += len(said.strip()) if in_link else 0
             continue
         tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "br":
                 pieces.append(" ")
+            elif tag == "a":
+                in_link = not token[2]
             continue
         flush()
         if token[2]:
-            if any(t == tag for t, _ in opened):
+            if any(e.tag == tag for e in opened):
                 close(tag)
             continue
         if tag in VOID or token[4].endswith("/"):
             continue
-        if opened and (opened[-1][0] == "p" or opened[-1][0] in HEADINGS and tag in HEADINGS):
+        if opened and (opened[-1].tag == "p" or opened[-1].tag in HEADINGS and tag in HEADINGS):
             opened.pop()
-        while opened and tag in ENDED_BY.get(opened[-1][0], ()):
+        while opened and tag in ENDED_BY.get(opened[-1].tag, ()):
             opened.pop()
-        inside = any(t in CONTAINERS for t, _ in opened)
-        opened.append((tag, bool(opened and opened[-1][1]) or _apart(tag, token[4], inside)))
+        inside = any(e.tag in CONTAINERS for e in opened)
+        named = _named(token[4], inside)
+        if tag in CONTAINERS and not named and not any(e.apart for e in opened):
+            articles = True
+            for e in opened:
+                e.holds = True
+        opened.append(Element(tag, tag in APART or (tag == "header" and not inside), named and tag not in BODY))
     flush()
-    return found
+
+    def dropped(e: Element) -> bool:
+        return e.named and not e.holds and (articles or 2 * e.chars <= total)
+
+    return [n for n in found if not any(dropped(e) for e in n.elements)]
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
+def path_scores(found: list[Node]) -> np.ndarray:
     """A score for each node: mean text length times mean punctuation of its tag path, each smoothed over the page.
 
     A node inside an article or main element has at least the mean ratios of
@@ -118,7 +168,7 @@ def path_scores(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
     """
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     owners = []
-    for path, text in found:
+    for path, text in ((x.path, x.text) for x in found):
         outer = next((path[: i + 1] for i, t in enumerate(path) if t in CONTAINERS), None)
         owners.append(outer)
         n, m = len(text), len(PUNCTUATION.findall(text))
@@ -129,7 +179,7 @@ def path_scores(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
                 count[key] += weight
 
     def ratio(total: dict) -> np.ndarray:
-        own = [max(total[k] / count[k] for k in (path, ("in", *outer) if outer else path)) for (path, _), outer in zip(found, owners)]
+        own = [max(total[k] / count[k] for k in (path, ("in", *outer) if outer else path)) for path, outer in zip((x.path for x in found), owners)]
         values = np.array(own, float)
         reach = len(KERNEL) // 2
         padded = np.pad(values, reach, mode="edge")
@@ -144,16 +194,16 @@ def main_text(source: str) -> str:
     if not found:
         return ""
     scores = path_scores(found)
-    weights = np.array([len(text) for _, text in found], float)
+    weights = np.array([len(x.text) for x in found], float)
     mean = float(np.average(scores, weights=weights))
     spread = float(np.sqrt(np.average((scores - mean) ** 2, weights=weights)))
     of_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
-    for (path, _), value in zip(found, scores):
-        of_path[path].append(value)
+    for x, value in zip(found, scores):
+        of_path[x.path].append(value)
     least = min(mean - spread, SHARE * mean)
     kept_paths = {path for path, values in of_path.items() if sum(values) / len(values) >= least}
     parents = {path[:-1] for path in kept_paths}
-    return "\n".join(t for path, t in found if path in kept_paths or (path and path[-1] in HEADINGS and path[:-1] in parents))
+    return "\n".join(x.text for x in found if x.path in kept_paths or (x.path and x.path[-1] in HEADINGS and x.path[:-1] in parents))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +218,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     The length and the punctuation of the text blocks are added up per path of
     block elements; the two ratios of a path are smoothed over the page and
-    multiplied, and paths well below the page's mean are left out, as are
-    elements that are not part of an article (menus, forms, comments, ...).
+    multiplied, and paths well below the page's mean are left out unless they
+    stand inside the text, as are elements that are not part of an article
+    (menus, forms, comments, ...).
 
     * null or empty html gives an empty text; a null url or id stays null.
     * a page without any tag is one block; broken markup is read as it comes.
