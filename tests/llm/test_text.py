@@ -136,6 +136,26 @@ def test_layout_names_do_not_drop_the_article(names, tag):
     assert main_text(page).split("\n") == LINES
 
 
+def test_heading_of_an_article_outside_of_it():
+    text = "".join(f"<p>{x}</p>" for x in LINES)
+    page = "<body><div class='site-header'>Site</div><div class='entry-header'><h1>A title</h1></div>{}<ol class='comment-list'><li><article class='comment-body'><p>{}</p></article></li></ol></body>"
+    for body in (f"<article>{text}</article>", f"<div class='entry-content'>{text}</div>"):
+        assert main_text(page.format(body, LINES[0])).split("\n") == ["A title", *LINES]
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<div><div>{}</div></div>", "{}"])
+def test_lists_and_tables_inside_the_text_of_a_div_page_stay(wrap):
+    long = [f"Number {i}. " + "This is a long sentence, with a comma and a stop. " * 9 for i in range(6)]
+    paragraphs = [f"<p>{x}</p>" for x in long]
+    items = [f"item number {i} of a list of short items." for i in range(6)]
+    cells = [f"cell {i}" for i in range(8)]
+    listed, table = "".join(f"<li>{x}</li>" for x in items), "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2]))
+    body = "".join([*paragraphs[:2], f"<ul>{listed}</ul>", *paragraphs[2:4], "<div><h3>A heading</h3></div>", f"<table>{table}</table>", *paragraphs[4:]])
+    menu = "<div>" + "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(12)) + "</div>"
+    want = [" ".join(x.split()) for x in [*long[:2], *items, *long[2:4], "A heading", *cells, *long[4:]]]
+    assert main_text(f"<html><body>{menu}{wrap.format(body)}{menu}</body></html>").split("\n") == want
+
+
 @pytest.mark.parametrize("source, want", [
     ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>cut of", "cut of"), ("<p>a &am", "a &am"), ("<p>5 < 6", "5 < 6"), ("<script>x", ""),
     ("<!-- open", ""), ("<p title='a > b'>in</p>", "in"), ("<p>one</p></div></p><p>two", "one\ntwo"),

@@ -55,6 +55,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·¿¡]")
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 #: A path is left out if its score is under this share of the page's mean, and more than a deviation below it.
 SHARE = 0.5
+#: Share of the kept text that the container of an article has.
+CONTAINED = 0.8
 
 
 def _named(attributes: str, inside: bool) -> bool:
@@ -203,7 +205,38 @@ def main_text(source: str) -> str:
     least = min(mean - spread, SHARE * mean)
     kept_paths = {path for path, values in of_path.items() if sum(values) / len(values) >= least}
     parents = {path[:-1] for path in kept_paths}
-    return "\n".join(x.text for x in found if x.path in kept_paths or (x.path and x.path[-1] in HEADINGS and x.path[:-1] in parents))
+    kept = [x.path in kept_paths or (x.path and x.path[-1] in HEADINGS and x.path[:-1] in parents) for x in found]
+    return "\n".join(x.text for x, k in zip(found, _with_inner(found, kept)) if k)
+
+
+def _with_inner(found: list[Node], kept: list[bool]) -> list[bool]:
+    """Also what the ratios leave out inside the text: lists, tables and short lines of the container of the kept blocks, and its heading.
+
+    On a page without article or main the container is the deepest element
+    with CONTAINED of the kept text. All between its first and last kept block
+    stays; what stands before or after those stays unless it is made of links,
+    or the container is the body itself, where menus and imprints stand.
+    """
+    kept = list(kept)
+    if not any(t in CONTAINERS for x in found for t in x.path):
+        chars: dict[Element, int] = defaultdict(int)
+        for x, k in zip(found, kept):
+            for e in x.elements if k else ():
+                chars[e] += len(x.text)
+        whole = sum(len(x.text) for x, k in zip(found, kept) if k)
+        at_best = max(((len(x.elements[: i + 1]), e) for x in found for i, e in enumerate(x.elements) if chars.get(e, 0) >= CONTAINED * whole), key=lambda c: c[0], default=None)
+        inside = [i for i, x in enumerate(found) if at_best is None or at_best[1] in x.elements]
+        text = [i for i in inside if kept[i]]
+        for i in inside:
+            closed = at_best is not None and at_best[1].tag not in BODY and not found[i].linked
+            kept[i] = kept[i] or text[0] < i < text[-1] or closed
+    first = kept.index(True) if True in kept else 0
+    for i in range(first):
+        kept[i] = found[i].path[-1:] == ("h1",)
+    while first and found[first - 1].path[-1:] and found[first - 1].path[-1] in HEADINGS:
+        first -= 1
+        kept[first] = True
+    return kept
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
