@@ -48,6 +48,11 @@ def test_rows_without_a_language_go_with_all_columns_kept(spark):
     assert rows(keep_identified(docs, fit_languages(docs))) == [(1, "hello there", "en", "x")]
 
 
+def test_unlabelled_rows_go_only_without_a_letter(spark):
+    docs = spark.createDataFrame([(1, "hello there", None), (2, "123 !!", None), (3, None, None), (4, "", None), (5, "été", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in keep_identified(docs, fit_languages(docs)).orderBy("doc_id").collect()] == [1, 5]
+
+
 def test_trigrams_of_blocks_add_up(monkeypatch):
     from wardflow.llm import language_id as module
 

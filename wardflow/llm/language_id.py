@@ -169,14 +169,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; those that are ``und`` go."""
+    """The rows of ``docs``, all columns, whose text has a language; those that are ``und`` go.
+
+    If nothing was learned no text can be told, and only texts without a letter go.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([predict(shared.value, t)[0] != UNDETERMINED for t in byte_values(batch.column("text"))], pa.bool_()))
+            texts, known = byte_values(batch.column("text")), shared.value.languages
+            stay = [predict(shared.value, t)[0] != UNDETERMINED if known else bool(t) and has_letter(t) for t in texts]
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
