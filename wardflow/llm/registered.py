@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardflow.llm.decontamination import find_leaks
 from wardflow.llm.exact_dedup import exact_dedup
+from wardflow.llm.filter_audit import audit_filters
+from wardflow.llm.hard_negatives import hard_negatives
 from wardflow.llm.html_text import extract_pages
 from wardflow.llm.language_id import language_id
 from wardflow.llm.licences import DICE, TEMPLATES, scan_licences
 from wardflow.llm.packing import pack
 from wardflow.llm.quality import quality_scores
+from wardflow.llm.secrets import find_secrets, secret_digests
 from wardflow.llm.simhash_dedup import simhash_dedup
 from wardflow.llm.substring_dedup import remove_repeats
 from wardflow.llm.warc import warc_round_trip
@@ -168,3 +171,65 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP11_SQL = """
+    WITH base AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+                  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+               FROM base a JOIN base b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+    positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+    QUALIFY row_number() OVER w <= 3"""
+
+
+@register("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
+@register("op12_secret_scan")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(find_secrets(table(spark, folder, "documents")))
+
+
+OP13_SQL = """
+    WITH base AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    split AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM base),
+    judged AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+                + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT)
+                + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+                + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS INT) AS mask
+              FROM split LEFT JOIN judged USING (doc_id)),
+    cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+               WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    steps AS (SELECT filter_order, step, substr(filter_order, CAST(step AS INT), 1) AS l,
+                list_sum(list_transform(range(1, step), lambda i: 1 << CAST(ord(substr(filter_order, CAST(i AS INT), 1)) - 65 AS BIGINT))) AS before
+              FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    known AS (SELECT filter_order, step, l, CAST(coalesce(before, 0) AS BIGINT) AS before, 1 << CAST(ord(l) - 65 AS BIGINT) AS bit FROM steps),
+    counted AS (SELECT part, filter_order, step, l,
+                  sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+                FROM cells, known GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+    FROM counted"""
+
+
+@register("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
