@@ -90,12 +90,12 @@ def test_a_cover_tree_covers_its_rows_and_skips_what_is_outside_a_window():
     leaves = sum(1 for _, n in tree["below"] if n == 0)
     table = pa.table({"block": [1] * 4000, "vec_id": range(4000), "label": pa.array([i % 5 for i in range(4000)], pa.int32()), "q": vectors.tolist()})
     tree = Tree(_builder(16, top)(table).to_pylist()[0])
-    lower, upper = tree.bounds(vectors[:50])
+    scores = vectors @ vectors[:50].T
+    lows, highs = (0.4 * np.diag(scores[:50])).astype(np.int64)[:, None].astype(float), (0.8 * np.diag(scores[:50])).astype(np.int64)[:, None].astype(float)
+    got, ids, found = tree.search(vectors[:50], lows, highs, 3, lambda part, ids, labels: np.ones((len(part), len(ids)), bool))
     for i in range(50):
-        scores = vectors @ vectors[i]
-        low, high = int(scores[i] * 0.4), int(scores[i] * 0.8)
-        want = sorted((-s, j) for j, s in enumerate(scores.tolist()) if low <= s <= high)[:3]
-        assert tree.search(vectors[i], lower[i], upper[i], [low], [high], 3, lambda ids, labels: np.ones(len(ids), bool))[0] == [(-s, j) for s, j in want]
+        want = sorted((-s, j) for j, s in enumerate(scores[:, i].tolist()) if lows[i, 0] <= s <= highs[i, 0])[:3]
+        assert [(-s, j) for s, j in zip(got[i, 0, : found[i, 0]].tolist(), ids[i, 0].tolist())] == want
     assert tree.visited < 50 * leaves / 3 and BLOCK_ROWS >= 4000
 
 

@@ -8,11 +8,11 @@ that the positives' scores define.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wardflow.llm.common import pick, stored
@@ -27,6 +27,9 @@ CHILDREN = 16
 LARGEST_SHARE = 0.75
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 52)
+#: Scores held at once when a leaf is verified, and the score of no row.
+SCORED_CELLS = 1 << 20
+LEAST = -(1 << 62)
 
 TREE = "block long, dim int, ids binary, labels binary, vectors binary, wide boolean, centres binary, radii binary, begins binary, ends binary, below binary, top double"
 HIT = "anchor_id long, variant long, label int, query long, other_id long, score long"
@@ -107,7 +110,7 @@ def cover_tree(points: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Tree:
-    """A block's tree, with its rows in tree order."""
+    """A block's tree, with its rows in tree order, those of a leaf by id."""
 
     def __init__(self, row: dict) -> None:
         self.ids, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int32)
@@ -116,62 +119,82 @@ class Tree:
         self.centres = np.frombuffer(row["centres"], np.float64).reshape(len(self.radii), row["dim"] + 1)
         self.begins, self.ends = np.frombuffer(row["begins"], np.int64), np.frombuffer(row["ends"], np.int64)
         self.below = np.frombuffer(row["below"], np.int64).reshape(-1, 2)
+        self.leaves = np.flatnonzero(self.below[:, 1] == 0)
         self.visited = 0
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the largest inner product of each query with the rows of each node, by the nodes' covering radii."""
+        """The least and the largest inner product of each query with the rows of each node.
+
+        They come from the covering radius of the node and, level by level, of those above it.
+        """
         q = queries.astype(np.float64)
         square = np.einsum("ij,ij->i", q, q)[:, None] + self.top * self.top
         away = np.sqrt(np.maximum(square - 2 * q @ self.centres[:, :-1].T, 0))
         # Room for rounding: scores are integers, and an unsafe magnitude opens all nodes.
         room = 0.5 + 1e-9 * square if square.size and square.max() < EXACT else np.full_like(square, np.inf)
-        return (square - (away + self.radii) ** 2) / 2 - room, (square - np.maximum(away - self.radii, 0) ** 2) / 2 + room
-
-    def scores(self, query: np.ndarray, begin: int, end: int) -> np.ndarray:
-        rows = self.vectors[begin:end]
-        if float(np.abs(query).max(initial=0)) * self.top * max(1, len(query)) < EXACT:
-            return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-        return rows.astype(np.int64) @ query.astype(np.int64)
-
-    def search(self, query: np.ndarray, lower: np.ndarray, upper: np.ndarray, lows: list[float], highs: list[float], most: int, fits) -> list[list[tuple[int, int]]]:
-        """For each window [low, high] the ``most`` best rows in it that fit, as (score, id), best first, ties by the smaller id.
-
-        Nodes are opened from the largest possible score down. One is skipped
-        if every window lies outside its bounds or is filled by scores that
-        it cannot reach any more; the rows of a leaf are scored exactly.
-        """
-        best: list[list[tuple[int, int]]] = [[] for _ in lows]
-        reach = max(highs)
-
-        def wanted(node: int) -> bool:
-            lo, hi = lower[node], upper[node]
-            return any(hi >= a and lo <= b and (len(kept) < most or min(hi, b) >= kept[-1][0]) for a, b, kept in zip(lows, highs, best))
-
-        heap = [(-min(upper[0], reach), 0)]
-        while heap:
-            _, node = heapq.heappop(heap)
-            if not wanted(node):
-                continue
-            first, children = self.below[node]
+        lower, upper = (square - (away + self.radii) ** 2) / 2 - room, (square - np.maximum(away - self.radii, 0) ** 2) / 2 + room
+        for node, (first, children) in enumerate(self.below.tolist()):
             if children:
-                for child in range(first, first + children):
-                    if wanted(child):
-                        heapq.heappush(heap, (-min(upper[child], reach), child))
-                continue
-            self.visited += 1
-            a, b = int(self.begins[node]), int(self.ends[node])
-            points = self.scores(query, a, b)
-            fit = fits(self.ids[a:b], self.labels[a:b])
-            for w, (low, high) in enumerate(zip(lows, highs)):
-                inside = fit & (points >= low) & (points <= high)
-                if len(best[w]) == most:
-                    inside &= points >= best[w][-1][0]
-                at = np.flatnonzero(inside)
-                if len(at) > most:  # the best of the leaf, ties by id
-                    at = at[np.lexsort((self.ids[a:b][at], -points[at]))[:most]]
-                if len(at):
-                    best[w] = sorted([*best[w], *zip(points[at].tolist(), self.ids[a:b][at].tolist())], key=lambda r: (-r[0], r[1]))[:most]
-        return best
+                part = slice(first, first + children)
+                np.minimum(upper[:, part], upper[:, node, None], out=upper[:, part])
+                np.maximum(lower[:, part], lower[:, node, None], out=lower[:, part])
+        return lower, upper
+
+    def scores(self, queries: np.ndarray, leaf: int) -> np.ndarray:
+        rows = self.vectors[self.begins[leaf] : self.ends[leaf]]
+        if float(np.abs(queries).max(initial=0)) * self.top * max(1, rows.shape[1]) < EXACT:
+            return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+
+    def search(self, queries: np.ndarray, lows: np.ndarray, highs: np.ndarray, most: int, fits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query and window [low, high] the ``most`` best rows in it that fit: scores, ids (best first, ties by id) and how many there are.
+
+        All queries descend at once, each from its largest possible score
+        down. A query skips a leaf if every window lies outside the leaf's
+        bounds or is filled by scores that the leaf cannot reach any more;
+        the rows of the others are scored exactly.
+        """
+        lower, upper = (x[:, self.leaves] for x in self.bounds(queries))
+        n, windows = lows.shape
+        score, ids = np.full((n, windows, most), LEAST), np.full((n, windows, most), np.iinfo(np.int64).max)
+        order = np.argsort(-np.minimum(upper, highs.max(1, initial=-np.inf)[:, None]), axis=1, kind="stable")
+        each = np.arange(n)
+        for step in range(len(self.leaves)):
+            leaf = order[:, step]
+            lo, hi = lower[each, leaf][:, None], upper[each, leaf][:, None]
+            wanted = np.flatnonzero(((hi >= lows) & (lo <= highs) & (np.minimum(hi, highs) >= score[:, :, -1])).any(1))
+            wanted = wanted[np.argsort(leaf[wanted], kind="stable")]
+            for group in np.split(wanted, np.flatnonzero(np.diff(leaf[wanted])) + 1):
+                if not len(group):
+                    continue
+                self.visited += len(group)
+                node = int(self.leaves[leaf[group[0]]])
+                cells = len(group) * int(self.ends[node] - self.begins[node])
+                for part in np.array_split(group, max(1, -(-cells // SCORED_CELLS))):
+                    self._verify(queries, part, node, lows, highs, fits, score, ids)
+        return score, ids, (score > LEAST).sum(2)
+
+    def _verify(self, queries: np.ndarray, part: np.ndarray, leaf: int, lows: np.ndarray, highs: np.ndarray, fits, score: np.ndarray, ids: np.ndarray) -> None:
+        """Score the rows of a leaf for some queries and merge what is better into their results."""
+        a, b, most = int(self.begins[leaf]), int(self.ends[leaf]), score.shape[2]
+        points = self.scores(queries[part], leaf)
+        fit = fits(part, self.ids[a:b], self.labels[a:b])
+        take = min(most, b - a)
+        sort_all = b - a <= 2 * most or max(abs(int(points.min())), abs(int(points.max()))) >= 1 << 46
+        for w in range(lows.shape[1]):
+            inside = np.where(fit & (points >= lows[part, w, None]) & (points <= highs[part, w, None]), points, LEAST)
+            best = np.argsort(-inside, axis=1, kind="stable")[:, :take] if sort_all else _first(inside, take)
+            found, names = np.take_along_axis(inside, best, 1), self.ids[a:b][best]
+            both, whose = np.concatenate((score[part, w], found), 1), np.concatenate((ids[part, w], names), 1)
+            kept = np.lexsort((whose, -both), axis=1)[:, :most]
+            score[part, w], ids[part, w] = np.take_along_axis(both, kept, 1), np.take_along_axis(whose, kept, 1)
+
+
+def _first(values: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the largest values of each row, ties by the first column."""
+    width = values.shape[1]
+    key = np.where(values > LEAST, values * width, LEAST) - np.arange(width)
+    return np.argpartition(-key, most - 1, axis=1)[:, :most]
 
 
 def _pivots(rows: DataFrame, dim: int) -> np.ndarray:
@@ -182,12 +205,19 @@ def _pivots(rows: DataFrame, dim: int) -> np.ndarray:
     return np.array(found, np.float64).reshape(len(found), dim)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int64()))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), dim)
+
+
 def _dealer(pivots):
     """Rows with the cell of their nearest pivot."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("q").to_pylist(), np.float64).reshape(batch.num_rows, pivots.value.shape[1])
+            x = _matrix(batch.column("q"), pivots.value.shape[1]).astype(np.float64)
             p = pivots.value
             cell = ((p * p).sum(1)[None, :] - 2 * x @ p.T).argmin(1) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), batch.column("q"), pa.array(cell.astype(np.int64))], ["vec_id", "label", "q", "cell"])
@@ -199,7 +229,8 @@ def _builder(dim: int, top: float):
     """The rows of a block to its tree, packed into one row."""
 
     def build(table: pa.Table) -> pa.Table:
-        vectors = np.array(table["q"].to_pylist(), np.int64).reshape(table.num_rows, dim)
+        table = table.take(pa.compute.sort_indices(table, [("vec_id", "ascending")]))  # the rows of a leaf keep this order
+        vectors = _matrix(table["q"].combine_chunks(), dim)
         tree = cover_tree(augmented(vectors, top))
         order, wide = tree["order"], bool(vectors.size and np.abs(vectors).max() >= 1 << 15)
         column = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
@@ -263,31 +294,37 @@ def _meet(trees: DataFrame, anchors: DataFrame, work) -> DataFrame:
     return spread.mapInArrow(run, HIT)
 
 
+def _queries(tree: Tree, anchors: list[dict]) -> np.ndarray:
+    return np.array([a["q"] for a in anchors], np.int64).reshape(len(anchors), tree.vectors.shape[1])
+
+
 def _positives(most: int):
     def work(tree: Tree, anchors: list[dict]):
-        queries = np.array([a["q"] for a in anchors], np.int64).reshape(len(anchors), tree.vectors.shape[1])
-        lower, upper = tree.bounds(queries)
+        name, label = np.array([a["anchor_id"] for a in anchors]), np.array([a["label"] for a in anchors])
+        fits = lambda part, ids, labels: (labels == label[part, None]) & (ids != name[part, None])
+        everything = np.full((len(anchors), 1), np.inf)
+        score, ids, found = tree.search(_queries(tree, anchors), -everything, everything, most, fits)
         for i, a in enumerate(anchors):
-            fits = lambda ids, labels, a=a: (labels == a["label"]) & (ids != a["anchor_id"])
-            for score, other in tree.search(queries[i], lower[i], upper[i], [-np.inf], [np.inf], most, fits)[0]:
-                yield a["anchor_id"], a["variant"], a["label"], 0, other, score
+            for k in range(found[i, 0]):
+                yield a["anchor_id"], a["variant"], a["label"], 0, int(ids[i, 0, k]), int(score[i, 0, k])
 
     return work
 
 
 def _negatives(most: int):
     def work(tree: Tree, anchors: list[dict]):
-        queries = np.array([a["q"] for a in anchors], np.int64).reshape(len(anchors), tree.vectors.shape[1])
-        lower, upper = tree.bounds(queries)
+        label = np.array([a["label"] for a in anchors])
+        fits = lambda part, ids, labels: labels != label[part, None]
+        asked = [[s for s in sorted(set(a["windows"])) if s >= 0] for a in anchors]  # below zero a window is empty
+        shape = (len(anchors), max(1, max(map(len, asked))))
+        lows, highs = np.full(shape, np.inf), np.full(shape, -np.inf)
+        for i, scores in enumerate(asked):
+            lows[i, : len(scores)], highs[i, : len(scores)] = [-(-s // 2) for s in scores], [95 * s // 100 for s in scores]
+        score, ids, found = tree.search(_queries(tree, anchors), lows, highs, most, fits)
         for i, a in enumerate(anchors):
-            scores = [s for s in sorted(set(a["windows"])) if s >= 0]  # below zero a window is empty
-            if not scores:
-                continue
-            fits = lambda ids, labels, a=a: labels != a["label"]
-            lows, highs = [-(-s // 2) for s in scores], [95 * s // 100 for s in scores]
-            for s, found in zip(scores, tree.search(queries[i], lower[i], upper[i], lows, highs, most, fits)):
-                for score, other in found:
-                    yield a["anchor_id"], a["variant"], a["label"], s, other, score
+            for w, s in enumerate(asked[i]):
+                for k in range(found[i, w]):
+                    yield a["anchor_id"], a["variant"], a["label"], s, int(ids[i, w, k]), int(score[i, w, k])
 
     return work
 
