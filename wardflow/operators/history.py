@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators.running import id_chunk, prior_totals
+from wardflow.operators.running import ID_DIGITS, ID_LEVELS, prior_totals, with_id_digits
 
 
 def asof_history(
@@ -92,12 +92,12 @@ def expanding_prior_rate(
 ) -> DataFrame:
     """Running no-show rate of all earlier rows, shrunk to ``base_rate``."""
     counted = prior_totals(
-        visits.withColumn("_chunk", id_chunk(visit_id)),
+        with_id_digits(visits, visit_id),
         [key],
-        [day, "_chunk"],
+        [day, *ID_LEVELS],
         [visit_id],
         {"prior_n": F.lit(1), "prior_k": F.col(label)},
-    ).drop("_chunk")
+    ).drop(*ID_DIGITS)
     rate = X.shrunk_rate("prior_k", "prior_n", F.lit(base_rate))
     return counted.withColumn("prior_rate", F.least(F.greatest(rate, F.lit(low)), F.lit(high)))
 
@@ -115,7 +115,7 @@ def split_half_rates(
 
     Days that lie wholly in one half count as day totals. Only the day that the
     middle of a patient's history falls into is put in order row by row. The last
-    column of ``order`` may be a unique id; it is then blocked by id range.
+    column of ``order`` may be the unique id; it is then blocked by its digits.
     """
     daily = outcomes.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_k"))
     history = Window.partitionBy(key)  # one row per calendar day
@@ -133,11 +133,13 @@ def split_half_rates(
     )
     middle = days.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_n"))).select(key, day, "_take", "n_outcomes", "_all_k")
     lead, last = list(order[:-1]), order[-1]
-    block = [*lead, "_chunk"]
-    rows = outcomes.join(middle, [key, day]).withColumn(
-        "_chunk", id_chunk(last) if last == "visit_id" else F.col(last)
-    )
-    placed = prior_totals(rows, [key, day], block, list(order), {"_position": F.lit(1)})
+    rows = outcomes.join(middle, [key, day])
+    levels = lead
+    if last == "visit_id":
+        rows, levels = with_id_digits(rows, last), levels + ID_LEVELS
+    else:
+        levels = levels + [last]
+    placed = prior_totals(rows, [key, day], levels, list(order), {"_position": F.lit(1)})
     split = placed.filter(F.col("_position") < F.col("_take")).select(
         key, "n_outcomes", "_all_k", F.col(label).cast("long").alias("_early_k")
     )

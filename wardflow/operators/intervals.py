@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators.running import id_chunk
+from wardflow.operators.running import ID_LEVELS, carried_totals, with_id_digits
 
 RESOURCE_DAY = ("doctor_id", "appointment_date")
 
@@ -340,31 +340,28 @@ def queue_scan(
     """Single-server queue: start = max(arrival, previous finish).
 
     Closed form: with S the running service total,
-    ``finish_k = S_k + max over j <= k of (arrival_j - S_(j-1))``. Rows are blocked
-    by arrival minute and id range: the running total and the running maximum are
-    carried over blocks, the rest is a sum inside one block.
+    ``finish_k = S_k + max over j <= k of (arrival_j - S_(j-1))``. Totals of the
+    arrival minutes carry the running total and the running maximum, which a
+    minute reaches with its first visit; inside a minute, totals are carried over
+    the order columns and the digits of the id, and the rest is a sum inside one block.
     """
     keys = list(keys)
-    order = list(order)
     names = [f"_o{i}" for i in range(len(order))]
-    staged = attending.withColumn("_chunk", id_chunk(visit_id))
-    for name, expr in zip(names, order):
-        staged = staged.withColumn(name, expr)
-    block = [arrival, *names, "_chunk"]
-    blocks = staged.groupBy(*keys, *block).agg(F.sum(service).alias("_total"))
-    scan = Window.partitionBy(*keys).orderBy(*block)
+    staged = with_id_digits(attending, visit_id).withColumns({"_service": F.col(service), **dict(zip(names, order))})
+    minutes = staged.groupBy(*keys, arrival).agg(F.sum("_service").alias("_total"))
+    scan = Window.partitionBy(*keys).orderBy(arrival)  # minutes of a day
     before = F.coalesce(F.sum("_total").over(scan.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = blocks.withColumn("_before", before).withColumn(
-        "_lead",
-        F.max(F.col(arrival) - F.col("_before")).over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    ).drop("_total")
-    inside = Window.partitionBy(*keys, *block).orderBy(visit_id).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    lead = F.max(F.col(arrival) - F.col("_before")).over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    minutes = minutes.withColumn("_before", before).withColumn("_lead", lead).drop("_total")
+    levels = [*names, *ID_LEVELS]
+    block = [*keys, arrival, *levels]
+    carried = carried_totals(staged, [*keys, arrival], levels, ["_service"])
+    inside = Window.partitionBy(*block).orderBy(visit_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     finished = (
-        staged.withColumn("_served", F.sum(service).over(inside))
-        .join(carried, keys + block)
-        .withColumn("finish_minute", F.col("_before") + F.col("_served") + F.col("_lead"))
+        staged.withColumn("_served", F.sum("_service").over(inside))
+        .join(carried, block)
+        .join(minutes, [*keys, arrival])
+        .withColumn("finish_minute", F.col("_before") + F.col("_c__service") + F.col("_served") + F.col("_lead"))
         .withColumn("begin_minute", F.col("finish_minute") - F.col(service))
     )
     return finished.select(*attending.columns, "begin_minute", "finish_minute")

@@ -1,49 +1,58 @@
-"""No-show, demand and duration models on ``pyspark.ml``.
+"""No-show, demand and duration models: linear ones on ``pyspark.ml``, boosted ones on :mod:`boosting`.
 
-The data stay in Spark; the driver holds coefficients, split points, fold dates
-and one number per fold and metric.
+The data stay in Spark; the driver holds coefficients, trees, fold dates and
+one number per fold and metric. Fits that do not depend on each other run as
+concurrent jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressor,
-    GeneralizedLinearRegression,
-    IsotonicRegression,
-    IsotonicRegressionModel,
-)
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.functions import scalar as X
 from wardflow.operators import demand, features as FT, metrics, splits
+from wardflow.operators.boosting import Boosted, fit_boosted
 from wardflow.session import materialize
 
 DAY = "appointment_date"
 KINDS = ("logistic_regression", "gradient_boosting")
 # Model settings and gates.
 SEED = 42
-NO_SHOW_PARAMS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 40}
-DURATION_PARAMS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "minInstancesPerNode": 40}
-DEMAND_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "minInstancesPerNode": 100}
+NO_SHOW_PARAMS = {"maxIter": 400, "maxDepth": 6, "numLeaves": 31, "stepSize": 0.05, "subsamplingRate": 0.8, "featureFraction": 0.8, "minInstancesPerNode": 40}
+DURATION_PARAMS = {"maxIter": 400, "maxDepth": 6, "numLeaves": 31, "stepSize": 0.05, "subsamplingRate": 0.9, "featureFraction": 0.9, "minInstancesPerNode": 40}
+DEMAND_PARAMS = {"maxIter": 300, "maxDepth": 6, "numLeaves": 24, "stepSize": 0.05, "subsamplingRate": 0.9, "featureFraction": 0.9, "minInstancesPerNode": 100}
 CALIBRATION_FOLDS = 3
 DEFAULT_DURATION_MINUTES = 30.0
-TRAINING_PARTITION_ROWS = 100_000
 SCORE_DECIMALS = 4  # isotonic input: at most 10,001 weighted score bins
+#: Fits submitted at once; each is a sequence of small jobs that leaves most of a cluster idle.
+CONCURRENT_FITS = 4
+
+Base = PipelineModel | Boosted
+
+
+def concurrently(tasks: Iterable[Callable[[], object]]) -> list:
+    """Results of independent fits, in order. Their jobs are submitted from several threads, which Spark runs side by side."""
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
 
 
 @dataclass
 class NoShowModel:
-    """Base pipelines with their calibrators; the probability is their mean."""
+    """Base models with their calibrators; the probability is their mean."""
 
     estimator: str
     feature_names: list[str]
-    parts: list[tuple[PipelineModel, IsotonicRegressionModel | None]]
+    parts: list[tuple[Base, IsotonicRegressionModel | None]]
     params: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, name: str = "score") -> DataFrame:
@@ -67,12 +76,14 @@ class NoShowModel:
 class DemandModel:
     strategy: str
     feature_names: list[str]
-    model: PipelineModel | None
+    model: Base | None
     selection_scores: dict[str, float] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         if self.model is None:
             return df.withColumn(name, F.greatest("profile_mean", F.lit(0.0)))
+        if isinstance(self.model, Boosted):
+            return self.model.transform(df, name).withColumn(name, F.greatest(name, F.lit(0.0)))
         out = self.model.transform(_ready(df, self.feature_names))
         return out.withColumn(name, F.greatest("_prediction", F.lit(0.0))).select(*df.columns, name)
 
@@ -83,11 +94,10 @@ class DemandModel:
 @dataclass
 class DurationModel:
     feature_names: list[str]
-    model: PipelineModel
+    model: Boosted
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        out = self.model.transform(_ready(df, self.feature_names))
-        return out.withColumn(name, X.clip_duration("_prediction")).select(*df.columns, name)
+        return self.model.transform(df, name).withColumn(name, X.clip_duration(name))
 
     def importance(self) -> list[tuple[str, float]]:
         return _importance([self.model], self.feature_names)
@@ -102,38 +112,25 @@ def _assembler(names: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"_x_{n}" for n in names], outputCol="_features")
 
 
-def _base_score(base: PipelineModel, df: DataFrame, names: list[str], name: str) -> DataFrame:
+def _base_score(base: Base, df: DataFrame, names: list[str], name: str) -> DataFrame:
+    if isinstance(base, Boosted):
+        return base.transform(df, name)
     out = base.transform(_ready(df, names))
     return out.withColumn(name, vector_to_array("_probability")[1]).select(*df.columns, name)
 
 
-def no_show_estimator(kind: str, names: list[str], n_rows: int, seed: int = SEED, params: dict | None = None) -> Pipeline:
-    """Standardised logistic regression (C = 1) or boosted trees."""
-    def named(stage):
-        return stage.setLabelCol("label").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_class")
-
+def _fit_base(kind: str, train: DataFrame, names: list[str], seed: int, params: dict | None) -> Base:
+    """Standardised logistic regression (C = 1) or boosted trees under log loss."""
     if kind == "gradient_boosting":
-        settings = {**NO_SHOW_PARAMS, **(params or {})}
-        return Pipeline(stages=[_assembler(names), named(GBTClassifier(featuresCol="_features", seed=seed, **settings))])
+        return fit_boosted(train, names, "label", "log", seed=seed, params={**NO_SHOW_PARAMS, **(params or {})})
     scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     # an L2 penalty of 1/(2C) on the summed loss is 1/(C n) on the mean loss
-    model = named(
-        LogisticRegression(featuresCol="_scaled", maxIter=200, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
-    )
-    return Pipeline(stages=[_assembler(names), scaler, model])
-
-
-def _dealt(train: DataFrame, rows: int) -> DataFrame:
-    """Training rows in partitions of a fair size: boosting runs a job per level of every tree, over all partitions."""
-    return train.coalesce(max(1, -(-rows // TRAINING_PARTITION_ROWS)))
-
-
-def _fit_base(kind: str, train: DataFrame, names: list[str], seed: int, params: dict | None) -> PipelineModel:
-    rows = train.count()
-    return no_show_estimator(kind, names, rows, seed, params).fit(_ready(_dealt(train, rows), names))
+    model = LogisticRegression(featuresCol="_scaled", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class",
+                               maxIter=200, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False)
+    return Pipeline(stages=[_assembler(names), scaler, model]).fit(_ready(train, names))
 
 
-def _calibrate(base: PipelineModel, held_out: DataFrame, names: list[str]) -> IsotonicRegressionModel:
+def _calibrate(base: Base, held_out: DataFrame, names: list[str]) -> IsotonicRegressionModel:
     """Isotonic map from score bins to outcome means; the bins bound what is collected."""
     scored = _base_score(base, held_out, names, "_s")
     bins = scored.groupBy(F.round("_s", SCORE_DECIMALS).alias("_s")).agg(
@@ -153,11 +150,12 @@ def fit_no_show(train: DataFrame, *, estimator: str = "logistic_regression", nam
         return NoShowModel(estimator, names, [(_fit_base(estimator, train, names, seed, params), None)], params or {})
     blocks = splits.time_series_blocks(train, day, n_splits=CALIBRATION_FOLDS - 1).select(day, "block")
     tagged = materialize(train.join(blocks, day))
-    parts = []
-    for i in range(CALIBRATION_FOLDS):
+
+    def part(i: int):
         base = _fit_base(estimator, tagged.filter(F.col("block") != i), names, seed, params)
-        parts.append((base, _calibrate(base, tagged.filter(F.col("block") == i), names)))
-    return NoShowModel(estimator, names, parts, params or {})
+        return base, _calibrate(base, tagged.filter(F.col("block") == i), names)
+
+    return NoShowModel(estimator, names, concurrently(lambda i=i: part(i) for i in range(CALIBRATION_FOLDS)), params or {})
 
 
 def select_estimator(train: DataFrame, *, seed: int = SEED, n_splits: int = 3, params: dict | None = None,
@@ -165,28 +163,24 @@ def select_estimator(train: DataFrame, *, seed: int = SEED, n_splits: int = 3, p
     """Better mean average precision over expanding date splits of the training rows."""
     names = list(names or FT.NO_SHOW_FEATURES)
     tagged = materialize(train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day))
-    scores = {}
-    for kind in KINDS:
-        values = []
-        for i in range(1, n_splits + 1):
-            base = _fit_base(kind, tagged.filter(F.col("block") < i), names, seed, params if kind == "gradient_boosting" else None)
-            held = _base_score(base, tagged.filter(F.col("block") == i), names, "score")
-            values.append(metrics.average_precision(held).first()[0])
-        scores[kind] = sum(values) / len(values)
+
+    def score(kind: str, i: int) -> float:
+        base = _fit_base(kind, tagged.filter(F.col("block") < i), names, seed, params if kind == "gradient_boosting" else None)
+        return metrics.average_precision(_base_score(base, tagged.filter(F.col("block") == i), names, "score")).first()[0]
+
+    found = iter(concurrently(lambda k=k, i=i: score(k, i) for k in KINDS for i in range(1, n_splits + 1)))
+    scores = {kind: sum(next(found) for _ in range(n_splits)) / n_splits for kind in KINDS}
     winner = max(KINDS, key=lambda k: scores[k])
     return winner, {k: round(v, 4) for k, v in scores.items()}
 
 
 # --- demand ------------------------------------------------------------------------
-def _demand_pipeline(strategy: str, names: list[str], seed: int, params: dict | None) -> Pipeline:
-    if strategy == "poisson":
-        model = GeneralizedLinearRegression(
-            family="poisson", link="log", featuresCol="_features", labelCol="count", predictionCol="_prediction", regParam=1e-4
-        )
-    else:
-        model = GBTRegressor(featuresCol="_features", labelCol="count", predictionCol="_prediction", seed=seed,
-                             **{**DEMAND_PARAMS, **(params or {})})
-    return Pipeline(stages=[_assembler(names), model])
+def _fit_demand_base(strategy: str, train: DataFrame, names: list[str], seed: int, params: dict | None) -> Base:
+    """Boosted trees under Poisson loss, or a Poisson regression."""
+    if strategy == "gbm":
+        return fit_boosted(train, names, "count", "poisson", seed=seed, params={**DEMAND_PARAMS, **(params or {})})
+    model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_features", labelCol="count", predictionCol="_prediction", regParam=1e-4)
+    return Pipeline(stages=[_assembler(names), model]).fit(_ready(train, names))
 
 
 def fit_demand(train: DataFrame, *, strategy: str = "auto", candidates: tuple[str, ...] = ("poisson", "gbm"), seed: int = SEED,
@@ -196,27 +190,27 @@ def fit_demand(train: DataFrame, *, strategy: str = "auto", candidates: tuple[st
     chosen, scores = strategy, {}
     if strategy == "auto":
         tagged = materialize(train.join(splits.time_series_blocks(train, day, n_splits).select(day, "block"), day))
-        errors: dict[str, list[float]] = {s: [] for s in ("profile", *candidates)}
-        for i in range(1, n_splits + 1):
+
+        def error(s: str, i: int) -> float:
             part, test = tagged.filter(F.col("block") < i), tagged.filter(F.col("block") == i)
-            for s in errors:
-                fitted = None if s == "profile" else _demand_pipeline(s, names, seed, params).fit(_ready(part, names))
-                scored = DemandModel(s, names, fitted).transform(test)
-                errors[s].append(scored.agg(F.avg(F.abs(F.col("prediction") - F.col("count")))).first()[0])
-        means = {s: sum(v) / len(v) for s, v in errors.items()}
+            fitted = None if s == "profile" else _fit_demand_base(s, part, names, seed, params)
+            return DemandModel(s, names, fitted).transform(test).agg(F.avg(F.abs(F.col("prediction") - F.col("count")))).first()[0]
+
+        every = ("profile", *candidates)
+        found = iter(concurrently(lambda s=s, i=i: error(s, i) for s in every for i in range(1, n_splits + 1)))
+        means = {s: sum(next(found) for _ in range(n_splits)) / n_splits for s in every}
         scores = {f"{s}_mae": round(v, 4) for s, v in means.items()}
         best = min(candidates, key=lambda s: means[s])
         chosen = best if means[best] < means["profile"] else "profile"
-    fitted = None if chosen == "profile" else _demand_pipeline(chosen, names, seed, params).fit(_ready(train, names))
+    fitted = None if chosen == "profile" else _fit_demand_base(chosen, train, names, seed, params)
     return DemandModel(chosen, names, fitted, scores)
 
 
 # --- duration ------------------------------------------------------------------------
 def fit_duration(train: DataFrame, *, seed: int = SEED, params: dict | None = None) -> DurationModel:
+    """Boosted trees under absolute loss: the median length."""
     names = list(FT.DURATION_FEATURES)
-    model = GBTRegressor(featuresCol="_features", labelCol="duration_minutes", predictionCol="_prediction", lossType="absolute",
-                         seed=seed, **{**DURATION_PARAMS, **(params or {})})
-    return DurationModel(names, Pipeline(stages=[_assembler(names), model]).fit(_ready(_dealt(train, train.count()), names)))
+    return DurationModel(names, fit_boosted(train, names, "duration_minutes", "absolute", seed=seed, params={**DURATION_PARAMS, **(params or {})}))
 
 
 # --- serving ------------------------------------------------------------------------
@@ -261,14 +255,14 @@ def predict_demand(model: DemandModel, profile: DataFrame, start, end, *, codes:
 
 
 # --- inspection ------------------------------------------------------------------------
-def _influence(pipeline: PipelineModel) -> list[float]:
-    last = pipeline.stages[-1]
-    if hasattr(last, "featureImportances"):
-        return [float(v) for v in last.featureImportances.toArray()]
-    return [abs(float(v)) for v in last.coefficients.toArray()]
+def _influence(base: Base) -> list[float]:
+    """Gain of the splits on each feature, or sizes of the coefficients."""
+    if isinstance(base, Boosted):
+        return base.influence()
+    return [abs(float(v)) for v in base.stages[-1].coefficients.toArray()]
 
 
-def _importance(bases: list[PipelineModel], names: list[str]) -> list[tuple[str, float]]:
+def _importance(bases: list[Base], names: list[str]) -> list[tuple[str, float]]:
     """Mean influence over the base models, normalised to 1, largest first."""
     sums = [sum(column) for column in zip(*[_influence(b) for b in bases])]
     total = sum(sums) or 1.0
@@ -282,9 +276,9 @@ def ablation(train: DataFrame, test: DataFrame, *, seed: int = SEED) -> list[dic
         "without patient history": [c for c in FT.NO_SHOW_FEATURES if c not in FT.HISTORY_FEATURES],
         "patient history only": FT.HISTORY_FEATURES,
     }
-    out = []
-    for label, names in groups.items():
-        model = fit_no_show(train, names=names, seed=seed)
-        auc, ap = metrics.ranking_metrics(model.transform(test)).first()
-        out.append({"features": label, "roc_auc": auc, "pr_auc": ap})
-    return out
+
+    def ranked(label: str, names: list[str]) -> dict:
+        auc, ap = metrics.ranking_metrics(fit_no_show(train, names=names, seed=seed).transform(test)).first()
+        return {"features": label, "roc_auc": auc, "pr_auc": ap}
+
+    return concurrently(lambda p=p: ranked(*p) for p in groups.items())

@@ -250,7 +250,7 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
             (F.sum(F.col("w") * F.col("no_show")) / F.sum("w")).alias("rate"), F.sum("w").alias("w")
         )
 
-    lead = spearman(cube, "lead_days", "no_show", "w", depth=0).select(F.struct("rho", "n"))
+    lead = spearman(cube, "lead_days", "no_show", "w", small=True).select(F.struct("rho", "n"))
     by_lead = rates("lead_days").withColumn("no_show", F.col("rate"))
     edges = demand.LEAD_EDGES[1:]
     bucket = None
@@ -263,7 +263,7 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
         .agg((F.sum(F.col("rate") * F.col("w")) / F.sum("w")).alias("mean"))
     )
     ends = buckets.agg(F.struct(F.min_by("mean", "bucket").alias("first"), F.max_by("mean", "bucket").alias("last")))
-    trend = spearman(buckets, "bucket", "mean", depth=0).select("rho")
+    trend = spearman(buckets, "bucket", "mean", small=True).select("rho")
     by_day = rates("weekday").agg(
         F.struct(
             F.max(F.when(F.col("weekday") == 0, F.col("rate"))).alias("monday"),

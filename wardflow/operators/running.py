@@ -3,8 +3,9 @@
 A window over ``partitionBy(key)`` puts every row of a key into one task, which
 fails when one key holds a large share of the table. The functions here split an
 ordered group into consecutive blocks: totals per block are pre-aggregated before
-the shuffle, a window over the (few) block rows carries the running value from
-block to block, and a second window works inside one block only.
+the shuffle, windows over blocks carry the running value from block to block, and
+a last window works inside one block only. Blocks of blocks keep every window
+small: ids are read digit by digit, values are dealt to range partitions.
 """
 
 from __future__ import annotations
@@ -14,43 +15,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.functions.scalar import half_even
+from wardflow.session import stored
 
-ID_CHUNK_BITS = 20  # at most 2**20 unique ids in one block
+#: The digits of a 64-bit id begin at these bits. Each has at most 2**22 values, so a window over one is bounded whatever the ids are.
+ID_DIGITS = {"_high": 42, "_low": 21}
+ID_LEVELS = list(ID_DIGITS)
 
 
-def id_chunk(identifier: str, bits: int = ID_CHUNK_BITS) -> Column:
-    """Order-preserving block number of a unique integer id."""
-    return F.shiftright(F.col(identifier), bits)
+def with_id_digits(df: DataFrame, identifier: str) -> DataFrame:
+    """Add the upper digits of a unique integer id; they keep its order."""
+    return df.withColumns({name: F.shiftright(F.col(identifier).cast("long"), bits) for name, bits in ID_DIGITS.items()})
+
+
+def _level_columns(levels: Sequence[str | Sequence[str]]) -> list[list[str]]:
+    return [[level] if isinstance(level, str) else list(level) for level in levels]
+
+
+def carried_totals(rows: DataFrame, keys: Sequence[str], levels: Sequence[str | Sequence[str]], sums: Sequence[str]) -> DataFrame:
+    """Totals of all earlier blocks of the same key, for each block.
+
+    ``levels`` are the leading sort columns (one or several to a level), from
+    the coarsest level to the finest. A window sees the blocks of one level inside one block
+    of the level above; what lies before that one is carried down by a join.
+    """
+    levels = _level_columns(levels)
+    keys, flat = list(keys), [c for level in levels for c in level]
+    above = keys + flat[: len(flat) - len(levels[-1])]
+    totals = rows.groupBy(*keys, *flat).agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(*above).orderBy(*levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, *flat, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    if len(levels) == 1:
+        return carried
+    higher = carried_totals(totals, keys, levels[:-1], sums).select(*above, *[F.col(f"_c_{n}").alias(f"_h_{n}") for n in sums])
+    return carried.join(higher, above).select(*keys, *flat, *[(F.col(f"_c_{n}") + F.col(f"_h_{n}")).alias(f"_c_{n}") for n in sums])
 
 
 def prior_totals(
     df: DataFrame,
     keys: Sequence[str],
-    block: Sequence[str],
+    levels: Sequence[str | Sequence[str]],
     order: Sequence[str],
     sums: dict[str, Column],
 ) -> DataFrame:
     """Add ``name`` = sum over all earlier rows of the same key, current row excluded.
 
-    ``block`` columns must be the leading sort columns, ``order`` the rest.
+    ``levels`` are the leading sort columns, see :func:`carried_totals`; ``order`` is the rest.
     """
-    keys, block, order = list(keys), list(block), list(order)
-    staged = df
-    for name, value in sums.items():
-        staged = staged.withColumn(f"_v_{name}", value)
-
-    totals = staged.groupBy(*keys, *block).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    across = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, *block, *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_c_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*keys, *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for name in sums:
-        staged = staged.withColumn(f"_i_{name}", F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)))
-    out = staged.join(carried, keys + block)
-    return out.select(
-        *df.columns, *[(F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums]
-    )
+    block = [*keys, *[c for level in _level_columns(levels) for c in level]]
+    staged = df.withColumns({f"_v_{name}": value for name, value in sums.items()})
+    carried = carried_totals(staged, keys, levels, [f"_v_{n}" for n in sums])
+    inside = Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    staged = staged.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
+    return staged.join(carried, block).select(*df.columns, *[(F.col(f"_c__v_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
 
 
 def ordered_counts(
@@ -58,16 +74,17 @@ def ordered_counts(
     value: str,
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
-    depth: int = 7,
+    small: bool = False,
 ) -> DataFrame:
     """One row per distinct (by, value): row count, running totals below, group totals.
 
     Returns ``by..., value``, ``n, n_before, n_total`` and the same three columns
     for every extra sum. Rows are first reduced to distinct values (partial
-    aggregation). The distinct values are cut into ``2**depth`` blocks at
-    approximate percentiles, so even one group with very many distinct values is
-    scanned by several tasks; any cut points give the same result. ``depth=0``
-    skips the blocks, for values from a small domain (hours, days, labels).
+    aggregation). The distinct values are dealt to range partitions, as many as
+    their size asks for, and written with the number of their partition, so even
+    one group with very many distinct values is scanned by several tasks; any cut
+    points give the same result. ``small`` skips the partitions, for values from
+    a small domain (hours, days, labels).
     """
     by = list(by)
     sums = {"n": F.lit(1), **(sums or {})}
@@ -76,8 +93,8 @@ def ordered_counts(
         .groupBy(*by, value)
         .agg(*[F.sum(v).cast("double" if n != "n" else "long").alias(n) for n, v in sums.items()])
     )
-    if depth == 0:
-        group = Window.partitionBy(*(by or [F.lit(0)]))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    if small:
         below = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(
             *by,
@@ -86,26 +103,8 @@ def ordered_counts(
             *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_before") for n in sums],
             *[F.sum(n).over(group).alias(f"{n}_total") for n in sums],
         )
-    blocks = 2**depth
-    # The sums are carried along only to keep this plan equal to the main one: its
-    # shuffle is then reused and the input is read once.
-    probe = counts.agg(
-        F.struct(
-            F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("cuts"),
-            *[F.max(n).alias(n) for n in sums],
-            *[F.max(k).alias(k) for k in by],
-        ).alias("probe")
-    )
-    # Runs on distinct values only. The coalesce makes the block non-nullable, so no
-    # derived null filter drags the expression down to the raw rows.
-    below = F.size(F.filter("_probe.cuts", lambda c: c < F.col(value)))
-    cut = (
-        counts.withColumn("_probe", probe.scalar())
-        .withColumn("_block", F.coalesce(below, F.lit(0)))
-        .drop("_probe")
-    )
+    cut = stored(counts.repartitionByRange(*by, value).withColumn("_block", F.spark_partition_id()))
     totals = cut.groupBy(*by, "_block").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    group = Window.partitionBy(*(by or [F.lit(0)]))
     across = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *by,
@@ -127,9 +126,9 @@ def ordered_counts(
     )
 
 
-def average_ranks(df: DataFrame, value: str, rank: str = "rank", weight: Column | None = None, depth: int = 7) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rank: str = "rank", weight: Column | None = None, small: bool = False) -> DataFrame:
     """Rank of every distinct value, ties sharing the mean of their positions."""
-    return ordered_counts(df, value, sums={"n": F.lit(1) if weight is None else weight}, depth=depth).select(
+    return ordered_counts(df, value, sums={"n": F.lit(1) if weight is None else weight}, small=small).select(
         value, "n", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(rank)
     )
 
@@ -171,7 +170,7 @@ def spread_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, depth: int = 7) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, small: bool = False) -> DataFrame:
     """Rank correlation with ties, one row ``rho, n``.
 
     Rows are reduced to distinct (x, y) pairs first, so a hot value costs one row.
@@ -180,8 +179,8 @@ def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, depth: in
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
         F.sum(weight if weight else F.lit(1)).alias("_w")
     )
-    rx = average_ranks(pairs, x, "_rx", F.col("_w"), depth).drop("n")
-    ry = average_ranks(pairs, y, "_ry", F.col("_w"), depth).drop("n")
+    rx = average_ranks(pairs, x, "_rx", F.col("_w"), small).drop("n")
+    ry = average_ranks(pairs, y, "_ry", F.col("_w"), small).drop("n")
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = (
         pairs.join(rx, x)

@@ -15,7 +15,8 @@ from wardflow.functions import scalar as X
 from wardflow.operators import demand, features as FT, metrics, models, quality, splits
 from wardflow.plans.catalog import register, with_views
 from wardflow.session import materialize
-from wardflow.plans.registered_history import CUTOFF_SQL
+from wardflow.operators.boosting import fit_boosted
+from wardflow.plans.registered_history import CODES_SQL, CUTOFF_SQL
 from wardflow.sources import sinks, tables as T
 
 
@@ -68,6 +69,17 @@ def demand_poisson_metrics(spark, folder):
     return metrics.regression_metrics(scored)
 
 
+@register("demand_boosted_metrics")
+def demand_boosted_metrics(spark, folder):
+    grid = demand.demand_grid(T.visits(spark, folder))
+    codes = FT.category_codes(grid)
+    train, test = splits.final_holdout(grid)
+    profile = demand.demand_profile(train)
+    model = models.fit_demand(materialize(FT.demand_features(train, profile, codes, keep=("appointment_date",))), strategy="gbm")
+    scored = model.transform(FT.demand_features(test, profile, codes)).withColumn("label", F.col("count"))
+    return metrics.regression_metrics(scored)
+
+
 @register("duration_boosted_metrics")
 def duration_boosted_metrics(spark, folder):
     frame = T.bookings(spark, folder)
@@ -208,3 +220,71 @@ def duration_fallback(spark, folder):
     """Without a model every candidate gets the default length, marked as a fallback."""
     frame = T.bookings(spark, folder)
     return models.predict_duration(frame, frame, None, codes=None, keep=("patient_id", "appointment_date"))
+
+
+# --- boosted trees ----------------------------------------------------------------------
+# The first split of an ensemble is a closed expression of the data, so SQL can state it for every loss.
+SPLIT_SQL = """SELECT feature, v AS threshold, round(gain, 3) AS gain, {left} AS left_value, {right} AS right_value
+    FROM (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM sides WHERE nl >= {least} AND n - nl >= {least})
+    WHERE gain > 1e-9 ORDER BY round(gain, 6) DESC, place, v LIMIT 1"""
+SIDES_SQL = """SELECT place, feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+      sum(g) OVER (PARTITION BY place) AS g, sum(h) OVER (PARTITION BY place) AS h, sum(n) OVER (PARTITION BY place) AS n
+    FROM (SELECT place, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM long GROUP BY ALL) WINDOW w AS (PARTITION BY place ORDER BY v)"""
+NEWTON = {"left": "round(-gl / (hl + 1), 6)", "right": "round(-(g - gl) / (h - hl + 1), 6)"}
+MEDIANS = {"left": "(SELECT quantile_disc(y - start, 0.5) FROM long l WHERE l.place = b.place AND l.v <= b.threshold)",
+           "right": "(SELECT quantile_disc(y - start, 0.5) FROM long l WHERE l.place = b.place AND l.v > b.threshold)"}
+DATE_SQL = {"weekday": "isodow(appointment_date) - 1", "month": "month(appointment_date)", "week_of_year": "weekofyear(appointment_date)",
+            "is_weekend": "CAST(isodow(appointment_date) >= 6 AS INT)", "hour_of_day": "{hour}", "specialty_code": "code",
+            "lead_time_days": "greatest(date_diff('day', booked_at, appointment_date), 0)", "is_new_patient": "CAST(is_new_patient AS INT)",
+            "urgency_ordinal": "CASE urgency WHEN 'urgent' THEN 1 WHEN 'emergency' THEN 2 ELSE 0 END"}
+NO_SHOW_SMALL = ["lead_time_days", "weekday", "hour_of_day", "month", "is_new_patient", "urgency_ordinal", "specialty_code"]
+DEMAND_SMALL = ["weekday", "hour_of_day", "month", "specialty_code", "is_weekend", "week_of_year"]
+DURATION_SMALL = ["specialty_code", "is_new_patient", "urgency_ordinal", "weekday", "hour_of_day"]
+
+
+def _split_sql(source: str, where: str, names: list[str], y: str, g: str, h: str, least: int, hour: str = "start_minute // 60", median: bool = False) -> str:
+    """Best first split over all distinct values of the named features."""
+    values = ", ".join(f"{{'place': {i}, 'feature': '{n}', 'v': CAST({DATE_SQL[n].format(hour=hour)} AS DOUBLE)}}" for i, n in enumerate(names))
+    start = "median(y)" if median else "avg(y)"
+    body = SPLIT_SQL.format(least=least, **({"left": "place", "right": "place"} if median else NEWTON))
+    if median:
+        body = f"SELECT feature, threshold, gain, {MEDIANS['left']} AS left_value, {MEDIANS['right']} AS right_value FROM (" + body.replace(
+            "place AS left_value, place AS right_value", "place") + ") b"
+    return with_views(
+        source, body, codes=CODES_SQL.replace("FROM bookings", f"FROM {source}"), cut=CUTOFF_SQL.replace("FROM bookings", f"FROM {source}"),
+        chosen=f"SELECT *, CAST({y} AS DOUBLE) AS y FROM {source} JOIN codes USING (specialty), cut WHERE {where}",
+        begun=f"SELECT {start} AS start FROM chosen",
+        long=f"""SELECT y, start, {g} AS g, {h} AS h, x.place AS place, x.feature AS feature, x.v AS v
+                 FROM (SELECT y, start, unnest([{values}]) AS x FROM chosen, begun)""",
+        sides=SIDES_SQL)
+
+
+def _root_split(spark, rows, names, label, loss, least):
+    settings = {"maxIter": 1, "maxDepth": 1, "stepSize": 1.0, "minInstancesPerNode": least}
+    model = fit_boosted(rows, names, label, loss, params=settings)
+    found = [(names[t.feature[0]], float(model.edges[t.feature[0]][t.cut[0]]), float(t.gain[0]), float(t.value[1]), float(t.value[2])) for t in model.trees]
+    out = spark.createDataFrame(found, "feature string, threshold double, gain double, left_value double, right_value double")
+    return out.select("feature", "threshold", F.round("gain", 3).alias("gain"), F.round("left_value", 6).alias("left_value"), F.round("right_value", 6).alias("right_value"))
+
+
+@register("no_show_root_split", _split_sql("bookings", RESOLVED_TRAIN, NO_SHOW_SMALL, "status = 'no_show'", "start - y", "start * (1 - start)", 40))
+def no_show_root_split(spark, folder):
+    """Log loss: the first split of the boosted no-show model and the Newton steps of its sides."""
+    train, _ = _holdout(spark, folder)
+    return _root_split(spark, train, NO_SHOW_SMALL, "label", "log", 40)
+
+
+@register("demand_root_split", _split_sql("grid", "appointment_date < cutoff", DEMAND_SMALL, "count", "start - y", "start", 100, "hour_of_day"))
+def demand_root_split(spark, folder):
+    """Poisson loss: the first split of the boosted demand model and the Newton steps of its sides."""
+    grid = demand.demand_grid(T.visits(spark, folder))
+    rows = FT.demand_features(splits.final_holdout(grid)[0], None, FT.category_codes(grid))
+    return _root_split(spark, rows, DEMAND_SMALL, "count", "poisson", 100)
+
+
+@register("duration_root_split", _split_sql("bookings", "status = 'completed' AND appointment_date < cutoff", DURATION_SMALL, "duration_minutes", "sign(start - y)", "1.0", 40, median=True))
+def duration_root_split(spark, folder):
+    """Absolute loss: the first split of the boosted duration model and the medians of its sides."""
+    frame = T.bookings(spark, folder)
+    rows = FT.duration_features(splits.final_holdout(frame)[0], codes=FT.category_codes(frame))
+    return _root_split(spark, rows, DURATION_SMALL, "duration_minutes", "absolute", 40)

@@ -168,7 +168,7 @@ def overbooking_audit(spark, folder):
 
 @register(
     "overbooking_refusals",
-    with_views("requests", f"""SELECT schedule_id, shared_slots, CASE WHEN shared_slots > 0 THEN 'this schedule overbooks ' || shared_slots || ' slot(s)' END AS reason,
+    with_views("requests", f"""SELECT schedule_id, shared_slots, CASE WHEN shared_slots > 0 THEN 'shared_slots:' || shared_slots END AS reason,
           shared_slots > 10 AS over_daily_cap
         FROM (SELECT CAST(1 AS BIGINT) AS schedule_id, count(*) AS shared_slots FROM ({AUDIT_SQL}))""", base=BASE["base"]),
 )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only behaviour, never sizes: executor memory and the number of shuffle
 # partitions belong to the cluster. AQE picks the partition count at run time,
@@ -40,17 +41,45 @@ def local_session(cores: int = 8, name: str = "wardflow", memory: str = "16g") -
     return spark
 
 
-def materialize(df):
-    """Cut a lineage that is read many times (model fitting, iterative jobs).
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables.
 
-    Uses the reliable checkpoint in the shared folder the cluster names, so a
-    lost executor costs a re-read and not a recomputation. A folder of this
-    machine is taken only where driver and executors are one process.
+    It is the one the cluster names, which driver and executors share. A
+    folder of this machine is taken only where they are one process.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardflow-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df):
+    """Cut a lineage that is read many times (model fitting, iterative jobs).
+
+    Uses the reliable checkpoint in the shared folder, so a lost executor costs
+    a re-read and not a recomputation.
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back; :func:`drop_stored` deletes it when it is of no more use."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folder behind a table that :func:`stored` returned."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if not folder.getName().startswith("table-"):
+        raise ValueError(f"{folder.getName()} is no stored table")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

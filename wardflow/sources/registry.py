@@ -11,7 +11,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardflow.operators.models import DemandModel, DurationModel, NoShowModel
+from wardflow.operators.boosting import Boosted
+from wardflow.operators.models import Base, DemandModel, DurationModel, NoShowModel
 
 
 @dataclass
@@ -40,6 +41,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _save_base(spark: SparkSession, base: Base, path: str) -> None:
+    """A pipeline in Spark's own format, boosted trees as one line of JSON."""
+    if isinstance(base, Boosted):
+        spark.createDataFrame([(base.to_json(),)], "value string").coalesce(1).write.text(f"{path}/trees")
+    else:
+        base.write().save(path)
+
+
+def _load_base(spark: SparkSession, path: str) -> Base:
+    if _exists(spark, f"{path}/trees"):
+        return Boosted.from_json(spark.read.text(f"{path}/trees").first()[0])
+    return PipelineModel.load(path)
+
+
 def save_model(spark: SparkSession, model, card: ModelCard, folder: str, *, codes: DataFrame | None = None,
                profile: DataFrame | None = None) -> str:
     """Write the model stages, the lookup tables it was fitted with, and the card.
@@ -61,7 +76,7 @@ def save_model(spark: SparkSession, model, card: ModelCard, folder: str, *, code
         pipelines = [(model.model, None)]
     card.n_parts = len(pipelines)
     for i, (base, calibrator) in enumerate(pipelines):
-        base.write().save(f"{place}/base-{i}")
+        _save_base(spark, base, f"{place}/base-{i}")
         if calibrator is not None:
             calibrator.write().save(f"{place}/calibrator-{i}")
     if codes is not None:
@@ -81,7 +96,7 @@ def load_model(spark: SparkSession, name: str, folder: str):
     card = json.loads(spark.read.text(f"{root}/card").first()[0])
     card["params"], card["metrics"] = json.loads(card["params"]), json.loads(card["metrics"])
     place = f"{root}/{card['version']}"
-    bases = [PipelineModel.load(f"{place}/base-{i}") for i in range(card["n_parts"])]
+    bases = [_load_base(spark, f"{place}/base-{i}") for i in range(card["n_parts"])]
     names = card["feature_names"]
     if card["kind"] == "classifier":
         calibrators = [
