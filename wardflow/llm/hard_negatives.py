@@ -181,13 +181,18 @@ class Tree:
         fit = fits(part, self.ids[a:b], self.labels[a:b])
         take = min(most, b - a)
         sort_all = b - a <= 2 * most or max(abs(int(points.min())), abs(int(points.max()))) >= 1 << 46
+        points = np.where(fit, points, LEAST)
         for w in range(lows.shape[1]):
-            inside = np.where(fit & (points >= lows[part, w, None]) & (points <= highs[part, w, None]), points, LEAST)
+            inside = np.where((points >= lows[part, w, None]) & (points <= highs[part, w, None]), points, LEAST)
+            better = np.flatnonzero(inside.max(1) >= np.maximum(score[part, w, -1], LEAST + 1))
+            if not len(better):
+                continue
+            inside, rows = inside[better], part[better]
             best = np.argsort(-inside, axis=1, kind="stable")[:, :take] if sort_all else _first(inside, take)
             found, names = np.take_along_axis(inside, best, 1), self.ids[a:b][best]
-            both, whose = np.concatenate((score[part, w], found), 1), np.concatenate((ids[part, w], names), 1)
+            both, whose = np.concatenate((score[rows, w], found), 1), np.concatenate((ids[rows, w], names), 1)
             kept = np.lexsort((whose, -both), axis=1)[:, :most]
-            score[part, w], ids[part, w] = np.take_along_axis(both, kept, 1), np.take_along_axis(whose, kept, 1)
+            score[rows, w], ids[rows, w] = np.take_along_axis(both, kept, 1), np.take_along_axis(whose, kept, 1)
 
 
 def _first(values: np.ndarray, most: int) -> np.ndarray:
