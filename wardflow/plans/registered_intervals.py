@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as X
-from wardflow.operators import intervals, quality
+from wardflow.operators import booking, intervals, operations as ops, quality
 from wardflow.plans.catalog import register, with_views
 from wardflow.sources import tables as T
 
@@ -172,6 +172,114 @@ def booking_verdicts(spark, folder):
     return out.select("request_id", "verdict")
 
 
+# --- a batch of bookings -------------------------------------------------------------------
+BATCH_SQL = f"""SELECT 2 * request_id AS request_id, doctor_id, patient_id, specialty, appointment_date, start_minute, duration_minutes, room_id,
+      CAST(NULL AS BIGINT) AS moves_visit_id FROM ({REQUESTS_SQL})
+    UNION ALL SELECT 2 * visit_id + 1, doctor_id, (patient_id * 37) % 100 + 1, CASE visit_id % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' ELSE 'LARGE' END,
+      CASE visit_id % 2 WHEN 0 THEN appointment_date ELSE appointment_date + 7 END, CASE visit_id % 2 WHEN 0 THEN start_minute + 15 ELSE 600 END,
+      duration_minutes, room_id, visit_id FROM visits WHERE status IN ('scheduled', 'completed') AND visit_id % 4 < 2"""
+STATIC_SQL = """SELECT *, CASE WHEN moves_visit_id IS NOT NULL AND old_status <> 'scheduled' THEN 'only_scheduled_can_move'
+      WHEN appointment_date < DATE '2024-01-05' THEN 'past_date' WHEN doctor_active IS NULL THEN 'unknown_doctor'
+      WHEN length IS NULL THEN 'unknown_specialty' WHEN length <= 0 THEN 'duration_not_positive' WHEN start_minute + length >= 1440 THEN 'past_midnight'
+      WHEN NOT doctor_active THEN 'inactive_doctor' WHEN NOT known_patient THEN 'unknown_patient' WHEN open_minute IS NULL THEN 'unknown_clinic'
+      WHEN start_minute < open_minute OR start_minute + length > close_minute THEN 'outside_clinic_hours'
+      WHEN NOT holds THEN 'specialty_mismatch' WHEN NOT covered THEN 'doctor_unavailable'
+      WHEN room_id IS NOT NULL AND capacity IS NULL THEN 'unknown_room' END AS refused
+    FROM (SELECT r.*, r.patient_id IN (SELECT patient_id FROM patients) AS known_patient,
+        EXISTS (SELECT 1 FROM bridge b WHERE b.doctor_id = r.doctor_id AND b.specialty = r.specialty) AS holds,
+        EXISTS (SELECT 1 FROM availability a WHERE a.doctor_id = r.doctor_id AND a.is_active AND a.weekday = isodow(r.appointment_date)
+          AND a.start_minute <= r.start_minute AND r.start_minute + r.length <= a.end_minute AND a.effective_from <= r.appointment_date
+          AND (a.effective_to IS NULL OR a.effective_to >= r.appointment_date)) AS covered
+      FROM (SELECT r.*, d.is_active AS doctor_active, coalesce(r.duration_minutes, s.default_duration_minutes) AS length, c.open_minute, c.close_minute, ro.capacity,
+              o.status AS old_status
+            FROM batch r LEFT JOIN doctors d USING (doctor_id) LEFT JOIN specialties s USING (specialty) LEFT JOIN clinics c ON c.clinic_id = d.clinic_id
+            LEFT JOIN rooms ro ON ro.room_id = r.room_id LEFT JOIN visits o ON o.visit_id = r.moves_visit_id) r)"""
+# One request after the other: what was accepted and which visits were moved away is carried from step to step.
+FOLD_SQL = """SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(d BIGINT, r BIGINT, day DATE, s INT, e INT)[]) AS taken, CAST([] AS BIGINT[]) AS freed,
+      CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS verdict
+    UNION ALL SELECT k, CASE WHEN verdict = 'ok' THEN list_append(taken, slot) ELSE taken END,
+      CASE WHEN verdict = 'ok' AND moves_visit_id IS NOT NULL THEN list_append(freed, moves_visit_id) ELSE freed END, request_id, verdict
+    FROM (SELECT c.k, taken, freed, c.request_id, c.moves_visit_id, c.slot,
+            CASE WHEN c.moves_visit_id IS NOT NULL AND list_contains(freed, c.moves_visit_id) THEN 'only_scheduled_can_move'
+              WHEN c.room_id IS NOT NULL AND len(list_filter(c.in_room, lambda v: NOT list_contains(freed, v)))
+                + len(list_filter(taken, lambda t: t.r = c.slot.r AND t.day = c.slot.day AND t.s < c.slot.e AND c.slot.s < t.e)) >= c.capacity THEN 'room_full'
+              WHEN len(list_filter(c.with_doctor, lambda v: NOT list_contains(freed, v)))
+                + len(list_filter(taken, lambda t: t.d = c.slot.d AND t.day = c.slot.day AND t.s < c.slot.e AND c.slot.s < t.e)) > 0 THEN 'slot_taken'
+              ELSE 'ok' END AS verdict
+          FROM fold f JOIN queue c ON c.k = f.k + 1)"""
+QUEUE_SQL = """SELECT row_number() OVER (ORDER BY request_id) AS k, request_id, moves_visit_id, room_id, capacity,
+      {'d': doctor_id, 'r': room_id, 'day': appointment_date, 's': CAST(start_minute AS INT), 'e': CAST(start_minute + length AS INT)} AS slot,
+      coalesce((SELECT list(v.visit_id) FROM live v WHERE v.room_id = r.room_id AND v.appointment_date = r.appointment_date
+        AND v.start_minute < r.start_minute + r.length AND r.start_minute < v.end_minute AND v.visit_id IS DISTINCT FROM r.moves_visit_id), []) AS in_room,
+      coalesce((SELECT list(v.visit_id) FROM live v WHERE v.doctor_id = r.doctor_id AND v.appointment_date = r.appointment_date
+        AND v.start_minute < r.start_minute + r.length AND r.start_minute < v.end_minute AND v.visit_id IS DISTINCT FROM r.moves_visit_id), []) AS with_doctor
+    FROM static r WHERE refused IS NULL"""
+BATCH_VIEWS = {"batch": BATCH_SQL, "static": STATIC_SQL, "live": "SELECT * FROM visits WHERE status <> 'cancelled'", "queue": QUEUE_SQL, "fold": FOLD_SQL,
+               "verdicts": """SELECT request_id, refused AS verdict FROM static WHERE refused IS NOT NULL UNION ALL SELECT request_id, verdict FROM fold WHERE request_id IS NOT NULL"""}
+BATCH_TABLES = "visits doctors patients clinics rooms bridge availability specialties"
+
+
+def batch_requests(visits):
+    """New bookings and moves in turn: every visit asks for one, some scheduled and completed ones also ask to be moved."""
+    v = F.col("visit_id")
+    asked = booking_requests(visits).withColumn("request_id", F.col("request_id") * 2).withColumn("moves_visit_id", F.lit(None).cast("long"))
+    same_day = v % 2 == 0
+    moves = visits.filter(F.col("status").isin("scheduled", "completed") & (v % 4 < 2)).select(
+        (v * 2 + 1).alias("request_id"),
+        "doctor_id",
+        (F.col("patient_id") * 37 % 100 + 1).alias("patient_id"),
+        F.when(v % 3 == 0, "ECONOMY").when(v % 3 == 1, "PROMO").otherwise("LARGE").alias("specialty"),
+        F.when(same_day, F.col("appointment_date")).otherwise(F.date_add("appointment_date", 7)).alias("appointment_date"),
+        F.when(same_day, F.col("start_minute") + 15).otherwise(600).alias("start_minute"),
+        "duration_minutes",
+        "room_id",
+        v.alias("moves_visit_id"),
+    )
+    return asked.unionByName(moves)
+
+
+def _batch(spark, folder):
+    visits = T.visits(spark, folder)
+    requests = batch_requests(visits)
+    verdicts = booking.book_batch(
+        requests,
+        visits,
+        doctors=T.doctors(spark, folder),
+        patients=T.patients(spark, folder),
+        clinics=T.clinics(spark, folder),
+        rooms=T.rooms(spark, folder),
+        bridge=T.specialty_bridge(spark, folder),
+        availability=T.availability(spark, folder),
+        specialties=T.specialties(spark, folder),
+        as_of=dt.date(2024, 1, 5),
+    )
+    return visits, requests, verdicts
+
+
+@register("booking_batch", with_views(BATCH_TABLES, "SELECT request_id, verdict FROM verdicts", **BATCH_VIEWS))
+def booking_batch(spark, folder):
+    """Bookings and moves that compete for slots, rooms and visits, decided as if one came after the other."""
+    return _batch(spark, folder)[2]
+
+
+@register(
+    "batch_schedule",
+    with_views(BATCH_TABLES, """SELECT visit_id, status, CAST(appointment_date AS VARCHAR) AS appointment_date, start_minute, end_minute FROM (
+          SELECT v.visit_id, CASE WHEN m.moves_visit_id IS NOT NULL THEN 'cancelled' ELSE status END AS status, v.appointment_date, v.start_minute, v.end_minute
+            FROM visits v LEFT JOIN moved m ON v.visit_id = m.moves_visit_id
+          UNION ALL SELECT m.request_id + 1000000000, 'scheduled', m.appointment_date, CAST(m.start_minute AS INT), CAST(m.start_minute + m.duration_minutes AS INT) FROM moved m)""",
+        **BATCH_VIEWS, moved="SELECT b.* FROM batch b JOIN verdicts USING (request_id) WHERE verdict = 'ok' AND moves_visit_id IS NOT NULL"),
+)
+def batch_schedule(spark, folder):
+    """The visits after the accepted moves of the batch: the old rows cancelled, the new ones added."""
+    visits, requests, verdicts = _batch(spark, folder)
+    moves = requests.filter("moves_visit_id IS NOT NULL").select(
+        F.col("moves_visit_id").alias("visit_id"), (F.col("request_id") + 1_000_000_000).alias("new_visit_id"), F.col("appointment_date").alias("new_date"),
+        F.col("start_minute").alias("new_start"), F.col("duration_minutes").alias("new_duration"), "request_id")
+    of_visit = moves.join(verdicts, "request_id").select("visit_id", "verdict")
+    return ops.apply_moves(visits, moves.drop("request_id"), of_visit).select("visit_id", "status", "appointment_date", "start_minute", "end_minute")
+
+
 PROBLEM_SQL = """
     SELECT visit_id, 'no_availability' AS problem FROM tagged WHERE longest IS NULL
     UNION ALL SELECT visit_id, 'specialty_not_held' FROM tagged WHERE longest IS NOT NULL AND any_held AND NOT holds
