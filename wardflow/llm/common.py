@@ -91,6 +91,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`stored` wrote, once nothing reads it any more. Frames that are no stored table are left alone."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        return
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if folder.getName().startswith("corpus-"):
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

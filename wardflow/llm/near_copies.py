@@ -1,28 +1,37 @@
-"""Near-copies: documents whose sets of word shingles have a Jaccard similarity of a threshold or more, without misses."""
+"""Near-copies: documents whose sets of word shingles have a Jaccard similarity of a threshold or more, without misses.
+
+SimHash proposes first: fingerprints of the sets meet by ball hashing, and what
+meets is compared exactly. A SimHash radius cannot be made to hold for every pair
+of that similarity, so a prefix filter completes the links: similar sets share a
+shingle of their prefixes, whatever the order of shingles is.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardflow.llm.common import bounded_batches, byte_values, connected, pick, stored
+from wardflow.llm.common import bounded_batches, byte_values, connected, forget, pick, stored
+from wardflow.llm.simhash_dedup import ball_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 HASH_SEED = 42
-#: Documents looked at for shingles that are common, and in how many of them a common one is. This orders shingles and leaves none out.
+#: Documents looked at for shingles that are common, in how many of them a common one is, and how many are put last in the order. This leaves none out.
 SAMPLE_DOCS = 4000
 COMMON_DOCS = 4
+COMMON_SHINGLES = 500_000
 #: Pairs listed for each row of a shared shingle before stars are tried first, and stars tried at most.
 PAIRS_A_ROW = 4
 STARS = 8
 #: The columns of parities.
-BITS = ["bits0", "bits1", "bits2", "bits3"]
+BITS = [f"bits{i}" for i in range(16)]
 
 
 def shingle_set(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -55,11 +64,17 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """256 bits in four words: how many shingles of a set fall to a bit, modulo two. Sets differ in at least as many shingles as bits."""
-    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1,024 bits in 16 words: how many shingles of a set fall to a bit, modulo two. Sets differ in at least as many shingles as bits."""
+    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set: a bit is set if it is set in over half of the hashes."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), HASH_SEED)
 
@@ -87,37 +102,68 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of several documents of a sample; they come last in the order of shingles, whatever their number."""
+    """Shingles of several documents of a sample; they come last in the order of shingles, the rest keeps the order of hashes."""
     n = docs.count()
     ways = max(1, n // SAMPLE_DOCS)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ways)) == 0)
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ways)) == 0)
     often = _sets(some, width).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_DOCS)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+    first = often.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES)
+    return np.sort(np.array([r["h"] for r in first.select("h").collect()], np.int64).view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``doc_id, node, n`` (the size of the set) and ``first``, its prefix in order."""
-    spark: SparkSession = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, node, n`` (the size of the set), its SimHash ``print`` and its parities."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in byte_values(batch.column("text"))]
+            columns = [batch.column("doc_id").cast(pa.int64()), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _signed([set_print(s) for s in sets])]
+            bits = np.array([parities(s) for s in sets], np.uint64).reshape(-1, len(BITS))
+            columns += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(len(BITS))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", *BITS])
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(mark, "doc_id long, node long, n int, print long, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def _prefix_rows(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
+    """``h, node, n, place``: a row for every shingle of a prefix."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in byte_values(batch.column("text"))]
-            columns = [batch.column("doc_id").cast(pa.int64()), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32())]
-            bits = np.array([parities(s) for s in sets], np.uint64).reshape(-1, 4)
-            columns += [_lists([prefix(s, common.value, similarity) for s in sets]), *[_signed(bits[:, i].tolist()) for i in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "first", *BITS])
+            firsts = [prefix(s, common.value, similarity) for s in sets]
+            sizes = [len(f) for f in firsts]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64), np.repeat(np.array([_node(s) for s in sets], np.uint64).view(np.int64), sizes),
+                       np.repeat(np.array([len(s) for s in sets], np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "n", "place"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(cut, "h long, node long, n int, place int")
 
-    bounded_batches(spark)
-    return docs.mapInArrow(cut, "doc_id long, node long, n int, first array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
+def _shared(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The prefix rows whose shingle is in the prefixes of several nodes.
 
-def _labelled(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+    A shingle has several nodes if the smallest and the largest differ; that
+    is an aggregate with partial sums, and the join back may be split where a
+    shingle is hot. Rows that repeat a node are merged.
+    """
+    spark: SparkSession = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+    rows = _prefix_rows(docs, width, similarity, common)
+    several = stored(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("h"))
+    kept = stored(rows.join(several, "h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")))
+    forget(several)
+    return kept
+
+
+def _labelled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The shared shingles with the component of each node so far."""
-    if links is None:
+    if roots is None:
         return shared.withColumn("root", F.col("node"))
-    roots = connected(links).withColumnRenamed("root", "_root")
-    return stored(shared.join(roots, "node", "left").select(*shared.columns, F.coalesce("_root", "node").alias("root")))
+    names = roots.withColumnRenamed("root", "_root")
+    return stored(shared.join(names, "node", "left").select(*shared.columns, F.coalesce("_root", "node").alias("root")))
 
 
 def _crossing(labelled: DataFrame) -> int:
@@ -127,56 +173,108 @@ def _crossing(labelled: DataFrame) -> int:
     return (of_shingle.agg(F.sum("x")).first()[0] or 0) // 2
 
 
+class _Verifier:
+    """Exact comparison of pairs of nodes; the sets that were read once are kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, width: int, similarity: float, nodes: DataFrame) -> None:
+        self.docs, self.width, self.similarity, self.nodes = docs, width, similarity, nodes
+        self.sets: list[DataFrame] = []
+
+    def least(self, x, y):
+        """How many shingles two similar sets of these sizes share at least."""
+        return F.ceil((x + y) * (self.similarity / (1 + self.similarity)) - 1e-9)
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs ``a``, ``b`` whose sizes and parities do not rule the similarity out."""
+        side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(b).alias(f"{s}_{b}") for b in BITS])
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b")
+        return both.filter(self.may_be("a_", "b_")).select("a", "b")
+
+    def may_be(self, left: str, right: str):
+        n, m = F.col(f"{left}n"), F.col(f"{right}n")
+        differ = sum(F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in BITS)
+        return (F.least(n, m) >= self.similarity * F.greatest(n, m) - 1e-9) & (differ <= n + m - 2 * self.least(n, m))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity, by their whole sets."""
+        pairs = stored(pairs)
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for known in self.sets:
+            asked = asked.join(known.select("node"), "node", "left_anti")
+        asked = stored(asked)
+        # One document stands for a node; that of a null id is met by its null.
+        ids = stored(asked.join(self.nodes, "node").select(F.col("doc_id").alias("_id")).distinct())
+        if not ids.isEmpty():
+            again = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+            self.sets.append(stored(_sets(again, self.width).join(asked, "node", "left_semi").dropDuplicates(["node"])))
+        forget(ids), forget(asked)
+        if not self.sets:
+            return pairs
+        every = reduce(DataFrame.unionByName, self.sets)
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(every.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
+        same = F.size(F.array_intersect("a_set", "b_set"))
+        union = F.size("a_set") + F.size("b_set") - same
+        found = stored(both.filter(same >= F.lit(self.similarity) * union - 1e-9).select("a", "b"))
+        forget(pairs)
+        return found
+
+    def close(self) -> None:
+        for table in self.sets:
+            forget(table)
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that ball hashing proposes: of equal fingerprints with the first of them, and the first ones of linked fingerprints."""
+    first = nodes.groupBy("print").agg(F.min("node").alias("first"))
+    alike = nodes.join(first, "print").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = ball_links(first.select("print"))
+    of = lambda side: first.select(F.col("print").alias(side), F.col("first").alias(f"{side}_node"))
+    near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return alike.unionByName(near)
+
+
 def near_links(docs: DataFrame, width: int, similarity: float, marked: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` that connect exactly the nodes whose sets have the similarity or more.
 
-    Similar sets share a shingle of their prefixes, so the pairs that share one
-    are all there is to compare. Where that is many pairs, the nodes of a
-    shingle are first compared with one of them alone, in turn by several
-    orders; what is connected by then need not be compared again. All pairs
-    that are left are, by their whole sets.
+    The pairs that SimHash proposes are compared first. Of the pairs that share
+    a shingle of their prefixes, those inside one component need no comparison.
+    Where many are left, the nodes of a shingle are compared with one of them
+    alone, in turn by several orders; then all pairs that still cross
+    components are. Sizes, places and parities, which lose no similar pair,
+    rule pairs out before any set is read.
     """
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "first", *BITS)])
-    spread = nodes.select("node", "n", *BITS, F.posexplode("first").alias("place", "h"))
-    counted = spread.withColumn("m", F.count("*").over(Window.partitionBy("h")))
-    shared = stored(counted.filter("m > 1").drop("m"))
-    ids = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
-    again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    sets = stored(_sets(again, width).dropDuplicates(["node"]))
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "print", *BITS)]))
+    verifier = _Verifier(docs, width, similarity, nodes)
+    links = verifier.similar(verifier.possible(simhash_pairs(nodes)))
+    shared = _shared(docs, width, similarity)
     rows = shared.count()
-
-    least = lambda x, y: F.ceil((x + y) * (similarity / (1 + similarity)) - 1e-9)  # noqa: E731  shingles two similar sets share
-    a_set = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_set"))
-    b_set = sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_set"))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(a_set, "a").join(b_set, "b")
-        same = F.size(F.array_intersect("a_set", "b_set"))
-        union = F.size("a_set") + F.size("b_set") - same
-        return stored(both.filter(same >= F.lit(similarity) * union - 1e-9).select("a", "b"))
-
-    # A pair is met at the first shingle it shares, where the rest of either set holds all that can be shared.
-    met = lambda left, right: F.least(F.col(f"{left}.n") - F.col(f"{left}.place"), F.col(f"{right}.n") - F.col(f"{right}.place")) >= least(F.col(f"{left}.n"), F.col(f"{right}.n"))
-    differ = lambda left, right: sum(F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in BITS)
-    may_be = lambda left, right: differ(left, right) <= F.col(f"{left}n") + F.col(f"{right}n") - 2 * least(F.col(f"{left}n"), F.col(f"{right}n"))
-    links, labelled = None, _labelled(shared, None)
+    labelled = _labelled(shared, connected(links))
     left = _crossing(labelled)
     for turn in range(STARS):
         if left <= PAIRS_A_ROW * rows:
             break
-        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "root", *BITS)).over(Window.partitionBy("h"))
-        star = labelled.withColumn("centre", chosen).filter("root <> centre.root")
-        star = star.filter(F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n") - 1e-9).filter(may_be("", "centre."))
-        found = similar(star.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct())
-        links = found if links is None else links.union(found)
-        before, labelled = left, _labelled(shared, links)
+        centre = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "root")).alias("centre"))
+        star = labelled.join(centre, "h").filter("root <> centre.root").filter(F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n") - 1e-9)
+        links = links.union(verifier.similar(verifier.possible(star.select(F.col("node").alias("a"), F.col("centre.node").alias("b")))))
+        before, last = left, labelled
+        labelled = _labelled(shared, connected(links))
+        forget(last)
         left = _crossing(labelled)
         if left > 0.9 * before:
             break
-    x, y = labelled.alias("x"), labelled.alias("y")
-    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter("x.node < y.node AND x.root <> y.root").filter(met("x", "y") & may_be("x.", "y."))
-    found = similar(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    return found if links is None else links.union(found)
+    # A pair is met at the first shingle it shares, where the rest of either set holds all that can be shared.
+    crossing = labelled.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("h")
+    rest = labelled.join(crossing, "h").join(nodes.select("node", *BITS), "node")
+    x, y = (rest.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "place", "root", *BITS)]) for side in "xy")
+    met = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= verifier.least(F.col("x_n"), F.col("y_n"))
+    pairs = x.join(y, "h").filter("x_node < y_node AND x_root <> y_root").filter(met & verifier.may_be("x_", "y_"))
+    found = verifier.similar(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    links = stored(links.union(found))
+    verifier.close()
+    forget(labelled), forget(shared), forget(nodes)
+    return links
 
 
 def near_copies(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -191,7 +289,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float =
     * repeated rows give repeated rows; an empty table gives an empty result.
     """
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = stored(_prefixes(base, width, similarity))
+    marked = stored(_marked(base, width))
     roots = connected(near_links(base, width, similarity, marked))
     member = marked.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, marked["node"] == roots["node"], "left")
     member = member.select(marked["node"], "first_id", F.coalesce("root", marked["node"]).alias("root"))
