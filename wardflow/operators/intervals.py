@@ -265,15 +265,15 @@ def free_slots(availability: DataFrame, visits: DataFrame, start, end, step: int
     )
 
 
-def idle_minutes(entries: DataFrame, windows: DataFrame, keys: Sequence[str], visit_id: str = "visit_id") -> DataFrame:
+def idle_minutes(entries: DataFrame, windows: DataFrame, keys: Sequence[str], visit_id: str = "visit_id", by: Sequence[str] = ()) -> DataFrame:
     """Positive gaps between consecutive visits inside the same window.
 
     ``windows`` holds ``keys``-compatible (doctor_id, appointment_date,
-    start_minute, end_minute) rows. Only the last visit of each start minute can
+    start_minute, end_minute) rows, and the columns ``by`` if windows differ by them. Only the last visit of each start minute can
     open a gap, so a window is scanned minute by minute.
     """
-    keys = list(keys)
-    arrays = windows.groupBy(*RESOURCE_DAY).agg(
+    keys, of_windows = list(keys), [*RESOURCE_DAY, *by]
+    arrays = windows.groupBy(*of_windows).agg(
         F.collect_set(F.struct("start_minute", "end_minute")).alias("_windows")
     )
     inside = F.filter(
@@ -282,7 +282,7 @@ def idle_minutes(entries: DataFrame, windows: DataFrame, keys: Sequence[str], vi
     )
     # A visit inside several (overlapping) windows counts in each of them.
     placed = (
-        entries.join(arrays, list(RESOURCE_DAY))
+        entries.join(arrays, of_windows)
         .select(*keys, "start_minute", "end_minute", visit_id, F.explode(inside).alias("_w"))
         .groupBy(*keys, "_w", "start_minute")
         .agg(F.max_by("end_minute", visit_id).alias("_leaves"))
@@ -296,8 +296,14 @@ def idle_minutes(entries: DataFrame, windows: DataFrame, keys: Sequence[str], vi
     )
 
 
-def compress_day(windows: DataFrame, requests: DataFrame, factor: float, grid: int = X.GRID_MINUTES) -> DataFrame:
-    """Squeeze each working window to ``factor`` and remap the requested times.
+def compressed_end(start, end, factor, longest) -> Column:
+    """Where a working window ends that is squeezed to ``factor``, but holds the longest visit of the clinic-day."""
+    start, end = X.col(start), X.col(end)
+    return F.least(end, start + F.greatest(F.floor((end - start) * factor).cast("int"), X.col(longest)))
+
+
+def compress_day(windows: DataFrame, requests: DataFrame, factor: float | Column, grid: int = X.GRID_MINUTES) -> DataFrame:
+    """Squeeze each working window to ``factor`` (which may be a column of the requests) and remap the requested times.
 
     Windows never become shorter than the longest visit of the clinic-day; each
     request keeps its relative position, floored to the grid.
@@ -314,11 +320,7 @@ def compress_day(windows: DataFrame, requests: DataFrame, factor: float, grid: i
     )
     staged = joined.withColumn("_w", holder)
     o_start, o_end = F.col("_w.start_minute"), F.col("_w.end_minute")
-    c_end = F.least(
-        o_end,
-        o_start + F.greatest(F.floor((o_end - o_start) * F.lit(factor)).cast("int"), F.col("_longest")),
-    )
-    staged = staged.withColumn("_c_end", c_end)
+    staged = staged.withColumn("_c_end", compressed_end(o_start, o_end, F.lit(factor), "_longest"))
     position = (asked - o_start) / F.greatest(o_end - o_start, F.lit(1))
     room = F.greatest(F.col("_c_end") - o_start - F.col("duration_minutes"), F.lit(0))
     target = o_start + position * room

@@ -38,10 +38,10 @@ def objective(w: dict[str, float] | None = None, weight: str | None = None) -> C
     )
 
 
-def shared_slots(entries: DataFrame) -> DataFrame:
+def shared_slots(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Slots held by several visits: (schedule, doctor, start) with the member count."""
     return (
-        entries.groupBy(*SCHEDULE, "doctor_id", "start_minute")
+        entries.groupBy(*SCHEDULE, *by, "doctor_id", "start_minute")
         .agg(F.count(F.lit(1)).alias("slot_size"))
         .filter("slot_size > 1")
     )
@@ -55,22 +55,24 @@ def shared_slot_members(entries: DataFrame) -> DataFrame:
     )
 
 
-def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, clinics: DataFrame) -> DataFrame:
-    """All score terms per (schedule, doctor)."""
+def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, clinics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All score terms per (schedule, doctor). ``by`` are further keys of all three tables, such as a load."""
+    by = list(by)
     asked = requests.select(
         "visit_id",
+        *by,
         "requested_start_minute",
         F.col("duration_minutes").alias("_length"),
         "urgency",
         "no_show_probability",
     )
-    placed = entries.select(*SCHEDULE, "visit_id", "doctor_id", "start_minute", "end_minute")
-    rows = placed.join(asked, "visit_id", "left").join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
+    placed = entries.select(*SCHEDULE, *by, "visit_id", "doctor_id", "start_minute", "end_minute")
+    rows = placed.join(asked, ["visit_id", *by], "left").join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
     known = F.col("requested_start_minute").isNotNull()
     delay = F.when(known, F.greatest(F.col("start_minute") - F.col("requested_start_minute"), F.lit(0)))
     risk = F.when(known, F.col("no_show_probability") * F.col("_length")).otherwise(F.lit(0.0))
     rows = rows.withColumn("_delay", delay).withColumn("_risk", risk)
-    keys = [*SCHEDULE, "doctor_id"]
+    keys = [*SCHEDULE, *by, "doctor_id"]
     terms = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("visits"),
         F.sum(F.col("end_minute") - F.col("start_minute")).alias("booked_minutes"),
@@ -84,8 +86,8 @@ def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, c
         # everyone but the last visit leaves work behind that a no-show would idle
         (F.sum("_risk") - F.max_by("_risk", F.struct("start_minute", "visit_id"))).alias("expected_idle_minutes"),
     )
-    idle = intervals.idle_minutes(entries, windows, keys)
-    slots = shared_slots(entries).groupBy(*keys).agg(F.count(F.lit(1)).alias("overbooked_slots"))
+    idle = intervals.idle_minutes(entries, windows, keys, by=by)
+    slots = shared_slots(entries, by).groupBy(*keys).agg(F.count(F.lit(1)).alias("overbooked_slots"))
     zero = F.lit(0).cast("long")
     return (
         terms.join(idle, keys, "left")
@@ -96,14 +98,15 @@ def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, c
 
 
 def score_schedule(entries: DataFrame, requests: DataFrame, windows: DataFrame, clinics: DataFrame,
-                   weights: dict[str, float] | None = None) -> DataFrame:
+                   weights: dict[str, float] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row per schedule with every term and the weighted objective.
 
-    A clinic-day whose requests were all left out has a row, too, with zeros
+    ``entries`` may hold any number of schedules; all are scored in one pass.
+    ``by`` are further keys of entries, requests and windows. A clinic-day whose requests were all left out has a row, too, with zeros
     and without a ``schedule_id``.
     """
-    per_doctor = doctor_scores(entries, requests, windows, clinics)
-    rolled = per_doctor.groupBy(*SCHEDULE).agg(
+    per_doctor = doctor_scores(entries, requests, windows, clinics, by)
+    rolled = per_doctor.groupBy(*SCHEDULE, *by).agg(
         F.sum("delay_minutes").alias("total_delay_minutes"),
         F.sum("idle_minutes").alias("total_idle_minutes"),
         F.sum("overtime_minutes").alias("total_overtime_minutes"),
@@ -114,10 +117,10 @@ def score_schedule(entries: DataFrame, requests: DataFrame, windows: DataFrame,
         F.sum("matched").alias("_matched"),
         F.max("max_delay").alias("max_delay_minutes"),
     )
-    asked = requests.groupBy(*DAY).agg(F.count(F.lit(1)).alias("_asked"))
-    terms = [(c, kind) for c, kind in rolled.dtypes if c not in (*SCHEDULE, *DAY)]
+    asked = requests.groupBy(*DAY, *by).agg(F.count(F.lit(1)).alias("_asked"))
+    terms = [(c, kind) for c, kind in rolled.dtypes if c not in (*SCHEDULE, *DAY, *by)]
     return (
-        rolled.join(asked, DAY, "full_outer")
+        rolled.join(asked, [*DAY, *by], "full_outer")
         .withColumns({c: F.coalesce(c, F.lit(0).cast(kind)) for c, kind in terms})
         .select(*rolled.columns, "_asked")
         .withColumn("unscheduled_count", F.coalesce(F.col("_asked") - F.col("_matched"), F.lit(0).cast("long")))
@@ -133,23 +136,37 @@ def rounded(scores: DataFrame) -> DataFrame:
     return scores
 
 
+# Percent reductions of a comparison and the terms they are of.
+REDUCTIONS = {
+    "delay_pct": "total_delay_minutes",
+    "idle_pct": "total_idle_minutes",
+    "overtime_pct": "total_overtime_minutes",
+    "expected_idle_pct": "expected_idle_minutes",
+    "objective_pct": "objective",
+    "mean_delay_pct": "mean_delay_minutes",
+}
+
+
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Percent reduction per term of the candidate against the baseline of the same clinic-day."""
-    terms = {
-        "delay_pct": "total_delay_minutes",
-        "idle_pct": "total_idle_minutes",
-        "overtime_pct": "total_overtime_minutes",
-        "expected_idle_pct": "expected_idle_minutes",
-        "objective_pct": "objective",
-        "mean_delay_pct": "mean_delay_minutes",
-    }
-    b = baseline.select(*DAY, *[F.col(c).alias(f"_b_{c}") for c in terms.values()])
+    b = baseline.select(*DAY, *[F.col(c).alias(f"_b_{c}") for c in REDUCTIONS.values()])
     joined = candidate.join(b, DAY)
     return joined.select(
-        *DAY, *[X.reduction_pct(f"_b_{c}", c).alias(name) for name, c in terms.items()]
+        *DAY, *[X.reduction_pct(f"_b_{c}", c).alias(name) for name, c in REDUCTIONS.items()]
     )
 
 
+def compare_within(scores: DataFrame, baseline: int, candidate: int, by: Sequence[str] = ()) -> DataFrame:
+    """The same for two schedules scored in one frame: one aggregate by clinic-day, no join."""
+    of = lambda schedule, c: F.max(F.when(F.col("schedule_id") == schedule, F.col(c)))
+    sides = scores.groupBy(*by, *DAY).agg(
+        *[F.count_if(F.col("schedule_id") == i).alias(f"_has{i}") for i in (baseline, candidate)],
+        *[of(i, c).alias(f"_{tag}_{c}") for tag, i in (("b", baseline), ("c", candidate)) for c in REDUCTIONS.values()],
+    )
+    both = sides.filter((F.col(f"_has{baseline}") > 0) & (F.col(f"_has{candidate}") > 0))
+    return both.select(*by, *DAY, *[X.reduction_pct(f"_b_{c}", f"_c_{c}").alias(name) for name, c in REDUCTIONS.items()])
+
+
 def reweighted(scores: DataFrame, policies: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The objective under each weight policy, without scoring again."""
     policies = policies or WEIGHTS
@@ -264,6 +281,39 @@ def improvement_rollup(days: DataFrame, by: Sequence[str] = (), metric: str = "o
     return attach_totals(tallies, spread, by).withColumn("enough_days", F.col("days") >= minimum_days)
 
 
+def compressed_loads(requests: DataFrame, windows: DataFrame, factors: Sequence[float] = LOAD_FACTORS) -> tuple[DataFrame, DataFrame]:
+    """Requests and windows of the same days squeezed by every ``factor``, all in one frame each.
+
+    Demand keeps its shape and order while the working windows get shorter.
+    """
+    exploded = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
+    asked = intervals.compress_day(windows, requests.withColumn("factor", exploded), F.col("factor"))
+    asked = asked.drop("requested_start_minute", "compressed_window_end").withColumnRenamed("compressed_start_minute", "requested_start_minute")
+    longest = requests.groupBy(*DAY).agg(F.max("duration_minutes").alias("_longest"))
+    of_doctor = requests.select("doctor_id", *DAY).distinct().join(longest, DAY).groupBy("doctor_id", "appointment_date").agg(F.max("_longest").alias("_longest"))
+    squeezed = windows.join(of_doctor, ["doctor_id", "appointment_date"]).withColumn("factor", exploded)
+    return asked, squeezed.withColumn("end_minute", intervals.compressed_end("start_minute", "end_minute", F.col("factor"), "_longest")).drop("_longest")
+
+
+def load_sweep(requests: DataFrame, windows: DataFrame, clinics: DataFrame, plan, baseline: int, candidate: int,
+               factors: Sequence[float] = LOAD_FACTORS, minimum_days: int = 5) -> DataFrame:
+    """Improvement of a schedule over another at every load, with the load as mean utilisation.
+
+    ``plan(requests)`` gives the entries of both schedules. All loads and both
+    schedules are scored in one pass and compared in one aggregate.
+    """
+    asked, squeezed = compressed_loads(requests, windows, factors)
+    entries = plan(asked)
+    scores = score_schedule(entries, asked, squeezed, clinics, by=["factor"])
+    rollup = improvement_rollup(compare_within(scores, baseline, candidate, ["factor"]), ["factor"], minimum_days=minimum_days)
+    keys = ["factor", "doctor_id", "appointment_date"]
+    busy = entries.filter(F.col("schedule_id") == baseline).groupBy(*keys).agg(F.sum("duration_minutes").alias("_busy"))
+    room = squeezed.groupBy(*keys).agg(F.sum(F.col("end_minute") - F.col("start_minute")).alias("_room"))
+    share = F.coalesce(F.col("_busy"), F.lit(0)) / F.col("_room") * 100
+    used = room.filter("_room > 0").join(busy, keys, "left").groupBy("factor").agg(X.half_even(F.avg(share), 1).alias("mean_utilization_pct"))
+    return rollup.join(used, "factor")
+
+
 def enrich_with_predictions(requests: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predicted length and risk where present, booked length and 0.0 otherwise."""
     p = predictions.select("visit_id", "predicted_duration_minutes", F.col("no_show_probability").alias("_risk"))

@@ -120,8 +120,11 @@ COMPARE_SQL = "SELECT b.clinic_id, b.appointment_date, " + ", ".join(
     ON b.clinic_id = c.clinic_id AND b.appointment_date = c.appointment_date""".format(o=OBJECTIVE.format(idle=0.8))
 
 
-def _comparison(spark, folder, spread=3):
-    return schedule.compare(_scores(spark, folder, 1, 4), _scores(spark, folder, 2, spread))
+def _comparison(spark, folder):
+    """Both schedules are scored in one frame and compared by one aggregate."""
+    _, requests, windows, clinics = _schedule(spark, folder, 1, 4)
+    scores = schedule.score_schedule(T.schedule_plans(requests, {1: 4, 2: 3}), requests, windows, clinics)
+    return schedule.compare_within(scores, 1, 2)
 
 
 @register(
@@ -203,22 +206,45 @@ def improvement_spread(spark, folder):
     return running.spread_summary(_comparison(spark, folder), "objective_pct")
 
 
-CAND2 = {"cand2": entry_sql(2, 2), "cscore2": SCORE_SQL.format(entries="cand2")}
+def _load_views() -> dict[str, str]:
+    """The compressed requests and windows of every factor, and both schedules of them scored and compared."""
+    views = {
+        "longest": "SELECT clinic_id, appointment_date, max(duration_minutes) AS longest FROM requests GROUP BY ALL",
+        "ofdoctor": """SELECT doctor_id, appointment_date, max(longest) AS longest FROM (SELECT DISTINCT doctor_id, clinic_id, appointment_date FROM requests)
+            JOIN longest USING (clinic_id, appointment_date) GROUP BY ALL""",
+    }
+    for i, factor in enumerate(schedule.LOAD_FACTORS):
+        end = f"least({{e}}, {{s}} + greatest(CAST(floor(({{e}} - {{s}}) * CAST({factor} AS DOUBLE)) AS INT), longest))"
+        views[f"windays{i}"] = f"""SELECT doctor_id, appointment_date, start_minute, {end.format(s='start_minute', e='end_minute')} AS end_minute
+            FROM windays JOIN ofdoctor USING (doctor_id, appointment_date)"""
+        views[f"requests{i}"] = f"""SELECT r.* EXCLUDE (s, e, longest) REPLACE (CAST(coalesce(floor((s + (requested_start_minute - s) / greatest(e - s, 1)
+                * greatest({end.format(s='s', e='e')} - s - duration_minutes, 0)) / 15) * 15, requested_start_minute) AS INT) AS requested_start_minute)
+            FROM (SELECT r.*, w.start_minute AS s, w.end_minute AS e, l.longest FROM requests r JOIN longest l USING (clinic_id, appointment_date)
+              LEFT JOIN windays w ON w.doctor_id = r.doctor_id AND w.appointment_date = r.appointment_date
+                AND w.start_minute <= requested_start_minute AND requested_start_minute < w.end_minute) r"""
+        for side, spread in ((1, 4), (2, 3)):
+            views[f"plan{side}_{i}"] = entry_sql(side, spread).replace("FROM requests", f"FROM requests{i}")
+            views[f"score{side}_{i}"] = SCORE_SQL.format(entries=f"plan{side}_{i}").replace("FROM requests)", f"FROM requests{i})").replace("JOIN windays w", f"JOIN windays{i} w")
+        views[f"compared{i}"] = COMPARE_SQL.replace("bscore", f"score1_{i}").replace("cscore", f"score2_{i}")
+        views[f"used{i}"] = f"""SELECT round_even(round(avg(coalesce(busy, 0) / room * 100), 9), 1) AS used FROM
+            (SELECT doctor_id, appointment_date, sum(end_minute - start_minute) AS room FROM windays{i} GROUP BY ALL HAVING sum(end_minute - start_minute) > 0)
+            LEFT JOIN (SELECT doctor_id, appointment_date, sum(duration_minutes) AS busy FROM plan1_{i} GROUP BY ALL) USING (doctor_id, appointment_date)"""
+    return views
 
 
 @register(
     "improvement_by_load",
     with_views("requests windays clinics", """SELECT factor, count(*) AS days, count(*) FILTER (WHERE objective_pct > 0.01) AS days_better,
           count(*) FILTER (WHERE abs(objective_pct) <= 0.01) AS days_identical, count(*) FILTER (WHERE objective_pct < -0.01) AS days_worse, count(*) >= 5 AS enough_days, """
-               + SPREAD_SQL.format(m="objective_pct") + """ FROM (SELECT 0.6::DOUBLE AS factor, * FROM compared UNION ALL SELECT 0.45::DOUBLE, * FROM compared2)
-        GROUP BY factor""",
-               **BASE, **CAND, **CAND2, compared=COMPARE_SQL, compared2=COMPARE_SQL.replace("cscore", "cscore2")),
+               + SPREAD_SQL.format(m="objective_pct") + ", max(used) AS mean_utilization_pct FROM ("
+               + " UNION ALL ".join(f"SELECT CAST({f} AS DOUBLE) AS factor, c.*, used FROM compared{i} c, used{i}" for i, f in enumerate(schedule.LOAD_FACTORS))
+               + ") GROUP BY factor", **_load_views()),
 )
 def improvement_by_load(spark, folder):
-    days = _comparison(spark, folder, 3).withColumn("factor", F.lit(0.6)).unionByName(
-        _comparison(spark, folder, 2).withColumn("factor", F.lit(0.45))
-    )
-    return schedule.improvement_rollup(days, ["factor"])
+    """Days squeezed to every load factor: windows and requested times compressed, both schedules scored again and compared."""
+    _, requests, windows, clinics = _schedule(spark, folder, 1, 4)
+    plan = lambda asked: T.schedule_plans(asked, {1: 4, 2: 3}, keep=("factor",))
+    return schedule.load_sweep(requests, windows, clinics, plan, 1, 2)
 
 
 # --- replay ------------------------------------------------------------------------------

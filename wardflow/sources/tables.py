@@ -275,11 +275,13 @@ def schedule_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def schedule_entries(requests: DataFrame, schedule_id: int, spread: int) -> DataFrame:
-    """A schedule that delays each request by 0..spread-1 grid steps."""
-    start = X.grid_up("requested_start_minute") + (F.col("visit_id") % spread * X.GRID_MINUTES).cast("int")
-    return requests.select(
-        F.lit(schedule_id).cast("long").alias("schedule_id"),
+def schedule_plans(requests: DataFrame, spreads: dict[int, int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Schedules, by id, that delay each request by 0..spread-1 grid steps; all in one frame."""
+    plans = F.array(*[F.struct(F.lit(i).cast("long").alias("schedule_id"), F.lit(n).alias("spread")) for i, n in spreads.items()])
+    rows = requests.select("*", F.inline(plans))
+    start = X.grid_up("requested_start_minute") + (F.col("visit_id") % F.col("spread") * X.GRID_MINUTES).cast("int")
+    return rows.select(
+        "schedule_id",
         "clinic_id",
         "appointment_date",
         "visit_id",
@@ -289,4 +291,10 @@ def schedule_entries(requests: DataFrame, schedule_id: int, spread: int) -> Data
         (start + F.col("duration_minutes")).alias("end_minute"),
         "duration_minutes",
         "no_show_probability",
+        *keep,
     )
+
+
+def schedule_entries(requests: DataFrame, schedule_id: int, spread: int) -> DataFrame:
+    """One schedule, see :func:`schedule_plans`."""
+    return schedule_plans(requests, {schedule_id: spread})
