@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wardflow.contract import require_columns
 from wardflow.functions import scalar as X
@@ -58,9 +58,9 @@ DEFAULT_BASE_RATE = 0.2
 
 def category_codes(df: DataFrame, column: str = "specialty") -> DataFrame:
     """Code = position in the sorted distinct values; fitted once, stored with the model."""
-    return df.agg(F.array_sort(F.collect_set(column)).alias("_values")).select(
-        F.posexplode("_values").alias("specialty_code", column)
-    )
+    order = Window.partitionBy(F.lit(0)).orderBy(column)  # the catalogue
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return values.select((F.row_number().over(order) - 1).alias("specialty_code"), column)
 
 
 def base_rate(visits: DataFrame) -> DataFrame:

@@ -134,11 +134,9 @@ def split_half_rates(
     middle = days.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_n"))).select(key, day, "_take", "n_outcomes", "_all_k")
     lead, last = list(order[:-1]), order[-1]
     rows = outcomes.join(middle, [key, day])
-    levels = lead
+    levels = [[*lead, last]]  # of a clock and labels
     if last == "visit_id":
-        rows, levels = with_id_digits(rows, last), levels + ID_LEVELS
-    else:
-        levels = levels + [last]
+        rows, levels = with_id_digits(rows, last), [*lead, *ID_LEVELS]
     placed = prior_totals(rows, [key, day], levels, list(order), {"_position": F.lit(1)})
     split = placed.filter(F.col("_position") < F.col("_take")).select(
         key, "n_outcomes", "_all_k", F.col(label).cast("long").alias("_early_k")

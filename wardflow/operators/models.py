@@ -7,11 +7,8 @@ concurrent jobs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -22,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardflow.functions import scalar as X
 from wardflow.operators import demand, features as FT, metrics, splits
 from wardflow.operators.boosting import Boosted, fit_boosted
-from wardflow.session import materialize
+from wardflow.session import concurrently, materialize
 
 DAY = "appointment_date"
 KINDS = ("logistic_regression", "gradient_boosting")
@@ -34,18 +31,9 @@ DEMAND_PARAMS = {"maxIter": 300, "maxDepth": 6, "numLeaves": 24, "stepSize": 0.0
 CALIBRATION_FOLDS = 3
 DEFAULT_DURATION_MINUTES = 30.0
 SCORE_DECIMALS = 4  # isotonic input: at most 10,001 weighted score bins
-#: Fits submitted at once; each is a sequence of small jobs that leaves most of a cluster idle.
-CONCURRENT_FITS = 4
-
 Base = PipelineModel | Boosted
 
 
-def concurrently(tasks: Iterable[Callable[[], object]]) -> list:
-    """Results of independent fits, in order. Their jobs are submitted from several threads, which Spark runs side by side."""
-    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
-
-
 @dataclass
 class NoShowModel:
     """Base models with their calibrators; the probability is their mean."""

@@ -269,11 +269,15 @@ def doctor_calendar(visits: DataFrame, doctor_id: int, start: dt.date, end: dt.d
     )
 
 
-def visit_records(visits: DataFrame, doctors: DataFrame, patients: DataFrame) -> DataFrame:
-    """Denormalised record with embedded doctor and patient."""
+def visit_records(visits: DataFrame, doctors: DataFrame, patients: DataFrame, specialties: DataFrame | None = None) -> DataFrame:
+    """Denormalised record with embedded doctor and patient, and specialty (``specialty_record``, null if unknown) where the catalogue is given."""
     d = doctors.select("doctor_id", F.struct("doctor_id", X.doctor_name().alias("name"), "clinic_id").alias("doctor"))
     p = patients.select("patient_id", F.struct("patient_id", "first_name", "last_name").alias("patient"))
-    return visits.join(d, "doctor_id").join(p, "patient_id")
+    records = visits.join(d, "doctor_id").join(p, "patient_id")
+    if specialties is None:
+        return records
+    s = specialties.select("specialty", F.struct("specialty", "default_duration_minutes").alias("specialty_record"))
+    return records.join(s, "specialty", "left")
 
 
 def busiest(visits: DataFrame, key: str, n: int = 1) -> DataFrame:

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from wardflow.contract import STATUSES, URGENCIES
 from wardflow.functions import scalar as X
 from wardflow.operators import demand, history, intervals
 from wardflow.operators.running import spearman
-from wardflow.session import materialize
+from wardflow.session import concurrently
 
 # Limits of the row rules.
 EARLIEST_START, LATEST_END = 6 * 60, 22 * 60
 MAX_DEFAULT_DURATION = 480
 MIN_TRAINING_ROWS, MIN_STRUCTURE_ROWS = 2000, 3000
-SLOT_LIMITS = {"max_per_slot": 2, "max_expected_attendance": 1.0, "max_slots": 0}
 
 VISIT_RULES = {
     "end_after_start": "end_minute > start_minute",
@@ -223,8 +223,53 @@ GATE = {
 }
 
 
-def _t(rho: Column, n: Column) -> Column:
-    return rho * F.sqrt((n - 2) / F.greatest(1.0 - rho * rho, F.lit(1e-12)))
+def _t(rho: float | None, n: int | None) -> float | None:
+    return None if rho is None else rho * math.sqrt(max(n - 2, 0) / max(1.0 - rho * rho, 1e-12))
+
+
+def _mean_of_groups(rows: Iterable[tuple]) -> float | None:
+    """Mean of the second members, those that are there."""
+    values = [v for _, v in rows if v is not None]
+    return sum(values) / len(values) if values else None
+
+
+def _average_ranks(weights: dict) -> dict:
+    """Rank of each value, ties (of a weight) sharing the mean of their positions."""
+    ranks, before = {}, 0
+    for value in sorted(weights):
+        ranks[value] = before + (weights[value] + 1) / 2
+        before += weights[value]
+    return ranks
+
+
+def _rank_correlation(pairs: list[tuple]) -> tuple[float | None, int]:
+    """Spearman's rho of weighted (x, y, weight) rows from a small domain, and the weight."""
+    totals: tuple[dict, dict] = ({}, {})
+    for *pair, w in pairs:
+        for side, value in zip(totals, pair):
+            side[value] = side.get(value, 0) + w
+    rx, ry = (_average_ranks(side) for side in totals)
+    n = sum(w for *_, w in pairs)
+    mean = (n + 1) / 2
+    cov = sum(w * (rx[x] - mean) * (ry[y] - mean) for x, y, w in pairs)
+    var = sum(w * (rx[x] - mean) ** 2 for x, _, w in pairs) * sum(w * (ry[y] - mean) ** 2 for _, y, w in pairs)
+    return (cov / math.sqrt(var) if var > 0 else None), n
+
+
+def _past_cells(past: DataFrame) -> list[Row]:
+    """Outcomes by lead time, by weekday and by hour: one aggregate, rows bounded by the calendar."""
+    sets = [["lead_days"], ["weekday"], ["hour"]]
+    cells = past.groupingSets(sets, "lead_days", "weekday", "hour").agg(
+        F.grouping_id().alias("of"), F.count(F.lit(1)).alias("n"), F.sum("no_show").cast("long").alias("k"))
+    return cells.collect()
+
+
+def _calendar_cells(every: DataFrame) -> list[Row]:
+    """Visits by date, by specialty and hour, by specialty and first visit: one aggregate, rows bounded by calendar and catalogue."""
+    sets = [["appointment_date"], ["specialty", "hour"], ["specialty", "is_new_patient"]]
+    cells = every.groupingSets(sets, "appointment_date", "specialty", "hour", "is_new_patient").agg(
+        F.grouping_id().alias("of"), F.count_if(X.occupies()).alias("busy"), F.count(F.lit(1)).alias("n"), F.sum("duration_minutes").alias("minutes"))
+    return cells.collect()
 
 
 def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None = None,
@@ -232,112 +277,78 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
     """14 checks that the data have the structure the models rely on.
 
     ``past``: resolved visits with lead_days, weekday, hour, no_show; ``every``:
-    all visits with hour. The checks do not read the visits themselves: the past
-    is reduced to a cube (lead, weekday, hour) and to the halves of each patient,
-    all visits to a cube of the calendar. The three are written once.
+    all visits with hour. Each is read by one aggregate over grouping sets; the
+    two and the rank correlation of the patients' halves run side by side. What
+    comes back is bounded by the calendar, the clock and the catalogue.
     """
     g = {**GATE, **(thresholds or {})}
-    cube = materialize(past.groupBy("lead_days", "weekday", "hour", "no_show").agg(F.count(F.lit(1)).alias("w")))
-    halves = materialize(history.split_half_rates(past, label="no_show", order=order))
-    calendar = materialize(
-        every.groupBy("appointment_date", "hour", "specialty", "is_new_patient", "status").agg(
-            F.count(F.lit(1)).alias("w"), F.sum("duration_minutes").alias("minutes")
-        )
-    )
-
-    def rates(column: str) -> DataFrame:
-        return cube.groupBy(column).agg(
-            (F.sum(F.col("w") * F.col("no_show")) / F.sum("w")).alias("rate"), F.sum("w").alias("w")
-        )
-
-    lead = spearman(cube, "lead_days", "no_show", "w", small=True).select(F.struct("rho", "n"))
-    by_lead = rates("lead_days").withColumn("no_show", F.col("rate"))
-    edges = demand.LEAD_EDGES[1:]
-    bucket = None
-    for i, upper in enumerate(edges):
-        bucket = F.when(F.col("lead_days") <= upper, i) if bucket is None else bucket.when(F.col("lead_days") <= upper, i)
-    buckets = (
-        by_lead.withColumn("bucket", bucket)
-        .filter(F.col("bucket").isNotNull())
-        .groupBy("bucket")
-        .agg((F.sum(F.col("rate") * F.col("w")) / F.sum("w")).alias("mean"))
-    )
-    ends = buckets.agg(F.struct(F.min_by("mean", "bucket").alias("first"), F.max_by("mean", "bucket").alias("last")))
-    trend = spearman(buckets, "bucket", "mean", small=True).select("rho")
-    by_day = rates("weekday").agg(
-        F.struct(
-            F.max(F.when(F.col("weekday") == 0, F.col("rate"))).alias("monday"),
-            F.max(F.when(F.col("weekday") == 4, F.col("rate"))).alias("friday"),
-            F.avg(F.when(F.col("weekday").isin(1, 2, 3), F.col("rate"))).alias("midweek"),
-        )
-    )
-    by_hour = rates("hour").agg(
-        F.struct(
-            F.avg(F.when(F.col("hour").isin(8, 17, 18), F.col("rate"))).alias("edges"),
-            F.avg(F.when(F.col("hour").isin(11, 12, 13), F.col("rate"))).alias("middle"),
-        )
-    )
-    overall = cube.agg(
-        F.struct((F.sum(F.col("w") * F.col("no_show")) / F.sum("w")).alias("rate"), F.sum("w").alias("n"))
-    )
-    persist = spearman(halves, "early_rate", "late_rate").select(F.struct("rho", "n"))
-    split = demand.weekday_split(demand.weekday_load(calendar, "w")).select(
-        F.struct("weekday_mean", "weekend_mean", "busiest_weekday")
-    )
-    profile = demand.hour_profile(calendar, "w")
-    peaks = profile.agg(
-        F.struct(
-            F.max(F.when(F.col("specialty") == g["evening_specialty"], F.col("peak_hour"))).alias("evening"),
-            F.max(F.when(F.col("specialty") == g["morning_specialty"], F.col("peak_hour"))).alias("morning"),
-        )
-    )
-    mean_of = lambda rows: F.sum(F.when(rows, F.col("minutes"))) / F.sum(F.when(rows, F.col("w")))
-    new = F.col("is_new_patient")
-    lengths = (
-        calendar.groupBy("specialty")
-        .agg(mean_of(F.lit(True)).alias("mean"), (mean_of(new) - mean_of(~new)).alias("extra"))
-        .agg(F.struct((F.max("mean") - F.min("mean")).alias("spread"), F.min("extra").alias("least_extra")))
-    )
-    one = overall.select(F.lit(1).alias("_one"))
-    parts = {
-        "lead": lead, "ends": ends, "trend": trend, "by_day": by_day, "by_hour": by_hour, "overall": overall,
-        "persist": persist, "split": split, "peaks": peaks, "lengths": lengths,
-    }
-    for name, part in parts.items():
-        one = one.withColumn(name, part.scalar())
-
-    f = F.col
-    ratio = F.when(f("ends.first") > 0, f("ends.last") / f("ends.first")).otherwise(F.lit(float("inf")))
+    halves = history.split_half_rates(past, label="no_show", order=order)
+    cells, calendar, persist = concurrently([
+        lambda: _past_cells(past), lambda: _calendar_cells(every), lambda: spearman(halves, "early_rate", "late_rate").first()])
+
+    # the bits of a grouping id say which columns are aggregated away
+    leads = [(r["lead_days"], r["n"], r["k"] or 0) for r in cells if r["of"] == 0b011]
+    overall, positives = sum(n for _, n, _ in leads), sum(k for _, _, k in leads)
+    known = [(d, n, k) for d, n, k in leads if d is not None]
+    lead, lead_n = _rank_correlation([(d, y, w) for d, n, k in known for y, w in ((0, n - k), (1, k)) if w])
+    sums: dict[int, list[int]] = {}
+    for d, n, k in known:
+        bucket = next((i for i, upper in enumerate(demand.LEAD_EDGES[1:]) if d <= upper), None)
+        if bucket is not None:
+            total = sums.setdefault(bucket, [0, 0])
+            total[0], total[1] = total[0] + n, total[1] + k
+    buckets = [(b, sums[b][1] / sums[b][0]) for b in sorted(sums)]
+    ratio = buckets[-1][1] / buckets[0][1] if buckets and buckets[0][1] > 0 else math.inf
+    trend, _ = _rank_correlation([(b, mean, 1) for b, mean in buckets])
+    by_day = {r["weekday"]: (r["k"] or 0) / r["n"] for r in cells if r["of"] == 0b101}
+    by_hour = {r["hour"]: (r["k"] or 0) / r["n"] for r in cells if r["of"] == 0b110}
+    mean_at = lambda rates, keys: _mean_of_groups((i, rates.get(i)) for i in keys)
+    monday, friday, midweek = by_day.get(0), by_day.get(4), mean_at(by_day, (1, 2, 3))
+    edges, middle = mean_at(by_hour, (8, 17, 18)), mean_at(by_hour, (11, 12, 13))
+
+    loads: dict[int, list[int]] = {}
+    for r in calendar:
+        if r["of"] == 0b0111 and r["busy"] and r["appointment_date"] is not None:
+            loads.setdefault(r["appointment_date"].weekday(), []).append(r["busy"])
+    means = {day: sum(v) / len(v) for day, v in loads.items()}
+    working, weekend = (_mean_of_groups((d, m) for d, m in means.items() if (d < 5) == w) for w in (True, False))
+    busiest = min((d for d in means if d < 5), key=lambda d: (-means[d], d), default=None)
+    hours: dict[str, list[tuple]] = {}
+    for r in calendar:
+        if r["of"] == 0b1001 and r["busy"]:
+            hours.setdefault(r["specialty"], []).append((-r["busy"], r["hour"]))
+    peak = lambda specialty: min(hours[specialty])[1] if specialty in hours else None
+    evening, morning = peak(g["evening_specialty"]), peak(g["morning_specialty"])
+    lengths: dict[str, dict] = {}
+    for r in calendar:
+        if r["of"] == 0b1010:
+            lengths.setdefault(r["specialty"], {})[r["is_new_patient"]] = (r["minutes"] or 0, r["n"])
+    of_specialty = [sum(m for m, _ in v.values()) / sum(n for _, n in v.values()) for v in lengths.values()]
+    extra = [v[True][0] / v[True][1] - v[False][0] / v[False][1] for v in lengths.values() if True in v and False in v]
+    rate = positives / overall if overall else None
+    minus = lambda x, y: None if x is None or y is None else x - y
+    both = [x for x in (monday, friday) if x is not None]
+    spread = max(of_specialty) - min(of_specialty) if of_specialty else None
+    rho, patients = persist["rho"], persist["n"]
+
+    above = lambda x, limit: x is not None and limit is not None and x > limit
+    least = lambda x, limit: x is not None and x >= limit
     checks = [
-        ("lead_time_rho", (f("lead.rho") > g["lead_rho"]) & (_t(f("lead.rho"), f("lead.n")) > g["t_01"]), f("lead.rho")),
+        ("lead_time_rho", above(lead, g["lead_rho"]) and above(_t(lead, lead_n), g["t_01"]), lead),
         ("lead_time_ratio", ratio >= g["lead_ratio"], ratio),
-        ("lead_buckets_trend", f("trend") >= g["trend_rho"], f("trend")),
-        ("monday_friday_worse", (f("by_day.monday") > f("by_day.midweek")) & (f("by_day.friday") > f("by_day.midweek")),
-         F.least(f("by_day.monday"), f("by_day.friday")) - f("by_day.midweek")),
-        ("day_edges_worse", f("by_hour.edges") > f("by_hour.middle"), f("by_hour.edges") - f("by_hour.middle")),
-        ("patients_persist", (f("persist.n") >= g["persistence_patients"]) & (f("persist.rho") > g["persistence_rho"])
-         & (_t(f("persist.rho"), f("persist.n")) > g["t_05"]), f("persist.rho")),
-        ("weekend_quieter", f("split.weekend_mean") < F.lit(g["weekend_share"]) * f("split.weekday_mean"),
-         f("split.weekend_mean") / f("split.weekday_mean")),
-        ("monday_busiest", f("split.busiest_weekday") == 0, f("split.busiest_weekday").cast("double")),
-        ("evening_peak", f("peaks.evening") >= g["evening_hour"], f("peaks.evening").cast("double")),
-        ("morning_peak", f("peaks.morning") <= g["morning_hour"], f("peaks.morning").cast("double")),
-        ("duration_varies", f("lengths.spread") >= g["duration_spread"], f("lengths.spread")),
-        ("new_patients_longer", f("lengths.least_extra") > 0, f("lengths.least_extra")),
-        ("plausible_rate", f("overall.rate").between(g["rate_low"], g["rate_high"]), f("overall.rate")),
-        ("enough_rows", f("overall.n") >= g["min_rows"], f("overall.n").cast("double")),
+        ("lead_buckets_trend", least(trend, g["trend_rho"]), trend),
+        ("monday_friday_worse", above(monday, midweek) and above(friday, midweek), minus(min(both, default=None), midweek)),
+        ("day_edges_worse", above(edges, middle), minus(edges, middle)),
+        ("patients_persist", least(patients, g["persistence_patients"]) and above(rho, g["persistence_rho"]) and above(_t(rho, patients), g["t_05"]), rho),
+        ("weekend_quieter", working is not None and weekend is not None and weekend < g["weekend_share"] * working,
+         weekend / working if working and weekend is not None else None),
+        ("monday_busiest", busiest == 0, busiest),
+        ("evening_peak", least(evening, g["evening_hour"]), evening),
+        ("morning_peak", morning is not None and morning <= g["morning_hour"], morning),
+        ("duration_varies", least(spread, g["duration_spread"]), spread),
+        ("new_patients_longer", above(min(extra, default=None), 0), min(extra, default=None)),
+        ("plausible_rate", rate is not None and g["rate_low"] <= rate <= g["rate_high"], rate),
+        ("enough_rows", overall >= g["min_rows"], overall),
     ]
-    return one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        F.coalesce(passed, F.lit(False)).alias("passed"),
-                        value.cast("double").alias("value"),
-                    )
-                    for name, passed, value in checks
-                ]
-            )
-        )
-    )
+    rows = [(name, bool(passed), None if value is None else float(value)) for name, passed, value in checks]
+    return past.sparkSession.createDataFrame(rows, "name string, passed boolean, value double")

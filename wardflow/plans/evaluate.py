@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.operators import demand, features as FT, metrics, models, splits
-from wardflow.session import materialize
+from wardflow.session import concurrently, materialize
 
 # What a model must clear.
 GATES = {"pr_auc_ratio": 1.15, "roc_auc": 0.60, "demand_mae_ratio": 1.0, "duration_mae_ratio": 1.0}
@@ -24,8 +24,8 @@ def evaluate_no_show(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
     ``fold_history_only`` restricts them to the fold itself.
     """
     codes = materialize(FT.category_codes(frame))
-    pooled = []
-    for fold in folds:
+
+    def of_fold(fold: splits.Fold) -> tuple:
         train, test = splits.split_by_fold(frame, fold)
         splits.assert_no_temporal_leakage(train, test)
         rate = FT.base_rate(train).first()[0]
@@ -39,8 +39,10 @@ def evaluate_no_show(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
             F.lit(fold.index).alias("fold"), "label", F.col("score").alias("model"), F.col("logistic").alias("logistic_regression"),
             F.lit(rate).alias("base_rate"),
         )
-        pooled.append(materialize(scored))
-    every = _pool(pooled)
+        return materialize(scored), (fold.index, model.importance())
+
+    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    every = _pool([scored for scored, _ in found])
     long = every.select(
         "fold", "label", F.explode(F.array(*[
             F.struct(F.lit(n).alias("candidate"), F.col(n).alias("score")) for n in ("model", "logistic_regression", "base_rate")
@@ -54,6 +56,7 @@ def evaluate_no_show(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
         "summary": summary,
         "operating_points": metrics.operating_points(pooled_scores),
         "curve": metrics.pr_curve(pooled_scores),
+        "importance": _importances(frame, [i for _, i in found]),
     }
 
 
@@ -67,28 +70,31 @@ def _summary(per_fold: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def evaluate_demand(frame: DataFrame, folds: list[splits.Fold], *, seed: int = models.SEED, trees: int | None = None) -> dict:
     grid = materialize(demand.demand_grid(frame))
     codes = materialize(FT.category_codes(grid))
-    parts, strategies = [], {}
-    for fold in folds:
+    def of_fold(fold: splits.Fold) -> tuple:
         train, test = splits.split_by_fold(grid, fold)
         splits.assert_no_temporal_leakage(train, test)
         profile = materialize(demand.demand_profile(train))
         x_train = materialize(FT.demand_features(train, profile, codes, keep=("appointment_date",)))
         x_test = FT.demand_features(test, profile, codes, keep=("specialty", "appointment_date"))
         model = models.fit_demand(x_train, seed=seed, params={"maxIter": trees} if trees else None)
-        strategies[fold.index] = model.strategy
         naive = demand.seasonal_naive(train, test).select("specialty", "appointment_date", "hour_of_day", F.col("prediction").alias("seasonal_naive"))
         scored = model.transform(x_test, "model").join(naive, ["specialty", "appointment_date", "hour_of_day"])
-        parts.append(materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("count").alias("label"), "model", "seasonal_naive")))
-    per_fold = _regression(_pool(parts), ("model", "seasonal_naive"))
+        held = materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("count").alias("label"), "model", "seasonal_naive"))
+        return held, (fold.index, model.strategy, model.selection_scores), model.importance()
+
+    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    per_fold = _regression(_pool([held for held, _, _ in found]), ("model", "seasonal_naive"))
+    strategies = grid.sparkSession.createDataFrame([s for _, s, _ in found], "fold int, strategy string, selection_scores map<string, double>")
     zero = grid.agg(metrics.X.half_even(F.avg((F.col("count") == 0).cast("double")), 4).alias("zero_cell_fraction"),
                     F.count(F.lit(1)).alias("total_cells"))
-    return {"per_fold": per_fold, "summary": _summary(per_fold, ("mae", "rmse", "bias", "r2")), "strategies": strategies, "grid": zero}
+    return {"per_fold": per_fold, "summary": _summary(per_fold, ("mae", "rmse", "bias", "r2")), "strategies": strategies,
+            "importance": _importances(grid, [(s[0], i) for _, s, i in found]), "grid": zero}
 
 
 def evaluate_duration(frame: DataFrame, folds: list[splits.Fold], *, seed: int = models.SEED, trees: int | None = None) -> dict:
     codes = materialize(FT.category_codes(frame))
-    parts = []
-    for fold in folds:
+
+    def of_fold(fold: splits.Fold) -> tuple:
         train, test = splits.split_by_fold(frame, fold)
         splits.assert_no_temporal_leakage(train, test)
         x_train = materialize(FT.duration_features(train, codes=codes))
@@ -99,9 +105,18 @@ def evaluate_duration(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
         x_test = FT.duration_features(test, outcomes=frame, codes=codes, keep=("specialty",))
         naive = demand.lookup_with_fallback(x_test, means, ["specialty"], "specialty_mean", overall)
         scored = model.transform(naive, "model")
-        parts.append(materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("duration_minutes").alias("label"), "model", "specialty_mean")))
-    per_fold = _regression(_pool(parts), ("model", "specialty_mean"))
-    return {"per_fold": per_fold, "summary": _summary(per_fold, ("mae", "rmse", "bias", "r2"))}
+        held = materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("duration_minutes").alias("label"), "model", "specialty_mean"))
+        return held, (fold.index, model.importance())
+
+    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    per_fold = _regression(_pool([held for held, _ in found]), ("model", "specialty_mean"))
+    return {"per_fold": per_fold, "summary": _summary(per_fold, ("mae", "rmse", "bias", "r2")), "importance": _importances(frame, [i for _, i in found])}
+
+
+def _importances(frame: DataFrame, by_fold: list[tuple]) -> DataFrame:
+    """``fold, feature, importance`` of the model of every fold."""
+    rows = [(fold, feature, value) for fold, pairs in by_fold for feature, value in pairs]
+    return frame.sparkSession.createDataFrame(rows, "fold int, feature string, importance double")
 
 
 def _regression(pooled: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -247,6 +247,23 @@ def bookings_with_doctor_name(spark, folder):
     return named.groupBy("specialty", X.doctor_name().alias("doctor_name")).agg(F.sum("n").alias("n"))
 
 
+@register(
+    "booking_records",
+    with_views("bookings doctors patients specialties", """SELECT b.patient_id, b.doctor_id, CAST(appointment_date AS VARCHAR) AS appointment_date, start_minute, status,
+          'Dr. ' || d.first_name || ' ' || d.last_name AS doctor_name, p.last_name AS patient_name, s.specialty AS specialty_name, s.default_duration_minutes
+        FROM bookings b JOIN doctors d USING (doctor_id) JOIN patients p USING (patient_id)
+        LEFT JOIN (SELECT * FROM specialties WHERE specialty <> 'SMALL') s ON s.specialty = b.specialty"""),
+)
+def booking_records(spark, folder):
+    """Bookings with doctor, patient and specialty embedded; one specialty is missing in the catalogue."""
+    known = T.specialties(spark, folder).filter("specialty <> 'SMALL'")
+    records = ops.visit_records(T.bookings(spark, folder), T.doctors(spark, folder), T.patients(spark, folder), known)
+    return records.select(
+        "patient_id", "doctor_id", "appointment_date", "start_minute", "status", F.col("doctor.name").alias("doctor_name"), F.col("patient.last_name").alias("patient_name"),
+        F.col("specialty_record.specialty").alias("specialty_name"), F.col("specialty_record.default_duration_minutes").alias("default_duration_minutes"),
+    )
+
+
 ACTION_SQL = """SELECT *, CASE visit_id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'reschedule' ELSE 'set_status' END AS action,
     CASE visit_id % 2 WHEN 0 THEN 'completed' ELSE 'arrived' END AS requested_status FROM visits"""
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Only behaviour, never sizes: executor memory and the number of shuffle
@@ -25,6 +28,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Actions submitted at once; each is a sequence of jobs that leaves part of a cluster idle.
+CONCURRENT_JOBS = 4
+
+
+def concurrently(tasks: Iterable[Callable[[], object]]) -> list:
+    """Results of independent actions, in order. Their jobs are submitted from several threads, which Spark runs side by side."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
+
+
 def local_session(cores: int = 8, name: str = "wardflow", memory: str = "16g") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
