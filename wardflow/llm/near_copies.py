@@ -30,6 +30,8 @@ COMMON_SHINGLES = 500_000
 #: Pairs listed for each row of a shared shingle before stars are tried first, and stars tried at most.
 PAIRS_A_ROW = 4
 STARS = 8
+#: Hashes unpacked at once for a fingerprint.
+PRINT_BLOCK = 1 << 13
 #: The columns of parities.
 BITS = [f"bits{i}" for i in range(16)]
 
@@ -71,7 +73,10 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 def set_print(hashes: np.ndarray) -> int:
     """The 64-bit SimHash of a set: a bit is set if it is set in over half of the hashes."""
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PRINT_BLOCK):
+        octets = hashes[at : at + PRINT_BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -116,9 +121,10 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in byte_values(batch.column("text"))]
-            columns = [batch.column("doc_id").cast(pa.int64()), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _signed([set_print(s) for s in sets])]
-            bits = np.array([parities(s) for s in sets], np.uint64).reshape(-1, len(BITS))
+            facts = [(_node(s), len(s), set_print(s), parities(s)) for s in (shingle_set(t, width) for t in byte_values(batch.column("text")))]
+            nodes, sizes, prints, odd = zip(*facts) if facts else ((), (), (), ())
+            columns = [batch.column("doc_id").cast(pa.int64()), _signed(list(nodes)), pa.array(sizes, pa.int32()), _signed(list(prints))]
+            bits = np.array(odd, np.uint64).reshape(-1, len(BITS))
             columns += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(len(BITS))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", *BITS])
 
@@ -131,11 +137,11 @@ def _prefix_rows(docs: DataFrame, width: int, similarity: float, common) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in byte_values(batch.column("text"))]
-            firsts = [prefix(s, common.value, similarity) for s in sets]
+            facts = [(_node(s), len(s), prefix(s, common.value, similarity).copy()) for s in (shingle_set(t, width) for t in byte_values(batch.column("text")))]
+            nodes, counts, firsts = zip(*facts) if facts else ((), (), ())
             sizes = [len(f) for f in firsts]
-            columns = [np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64), np.repeat(np.array([_node(s) for s in sets], np.uint64).view(np.int64), sizes),
-                       np.repeat(np.array([len(s) for s in sets], np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), sizes),
+                       np.repeat(np.array(counts, np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "n", "place"])
 
     bounded_batches(docs.sparkSession)
