@@ -143,7 +143,7 @@ def fit_no_show(train: DataFrame, *, estimator: str = "logistic_regression", nam
         base = _fit_base(estimator, tagged.filter(F.col("block") != i), names, seed, params)
         return base, _calibrate(base, tagged.filter(F.col("block") == i), names)
 
-    return NoShowModel(estimator, names, concurrently(lambda i=i: part(i) for i in range(CALIBRATION_FOLDS)), params or {})
+    return NoShowModel(estimator, names, concurrently(train.sparkSession, (lambda i=i: part(i) for i in range(CALIBRATION_FOLDS))), params or {})
 
 
 def select_estimator(train: DataFrame, *, seed: int = SEED, n_splits: int = 3, params: dict | None = None,
@@ -156,7 +156,7 @@ def select_estimator(train: DataFrame, *, seed: int = SEED, n_splits: int = 3, p
         base = _fit_base(kind, tagged.filter(F.col("block") < i), names, seed, params if kind == "gradient_boosting" else None)
         return metrics.average_precision(_base_score(base, tagged.filter(F.col("block") == i), names, "score")).first()[0]
 
-    found = iter(concurrently(lambda k=k, i=i: score(k, i) for k in KINDS for i in range(1, n_splits + 1)))
+    found = iter(concurrently(train.sparkSession, (lambda k=k, i=i: score(k, i) for k in KINDS for i in range(1, n_splits + 1))))
     scores = {kind: sum(next(found) for _ in range(n_splits)) / n_splits for kind in KINDS}
     winner = max(KINDS, key=lambda k: scores[k])
     return winner, {k: round(v, 4) for k, v in scores.items()}
@@ -185,7 +185,7 @@ def fit_demand(train: DataFrame, *, strategy: str = "auto", candidates: tuple[st
             return DemandModel(s, names, fitted).transform(test).agg(F.avg(F.abs(F.col("prediction") - F.col("count")))).first()[0]
 
         every = ("profile", *candidates)
-        found = iter(concurrently(lambda s=s, i=i: error(s, i) for s in every for i in range(1, n_splits + 1)))
+        found = iter(concurrently(train.sparkSession, (lambda s=s, i=i: error(s, i) for s in every for i in range(1, n_splits + 1))))
         means = {s: sum(next(found) for _ in range(n_splits)) / n_splits for s in every}
         scores = {f"{s}_mae": round(v, 4) for s, v in means.items()}
         best = min(candidates, key=lambda s: means[s])
@@ -269,4 +269,4 @@ def ablation(train: DataFrame, test: DataFrame, *, seed: int = SEED) -> list[dic
         auc, ap = metrics.ranking_metrics(fit_no_show(train, names=names, seed=seed).transform(test)).first()
         return {"features": label, "roc_auc": auc, "pr_auc": ap}
 
-    return concurrently(lambda p=p: ranked(*p) for p in groups.items())
+    return concurrently(train.sparkSession, (lambda p=p: ranked(*p) for p in groups.items()))

@@ -283,7 +283,7 @@ def structure_gate(past: DataFrame, every: DataFrame, thresholds: dict | None =
     """
     g = {**GATE, **(thresholds or {})}
     halves = history.split_half_rates(past, label="no_show", order=order)
-    cells, calendar, persist = concurrently([
+    cells, calendar, persist = concurrently(past.sparkSession, [
         lambda: _past_cells(past), lambda: _calendar_cells(every), lambda: spearman(halves, "early_rate", "late_rate").first()])
 
     # the bits of a grouping id say which columns are aggregated away

@@ -6,7 +6,7 @@ from __future__ import annotations
 def _load() -> None:
     import importlib
 
-    for group in ("operations", "history", "intervals", "schedule", "metrics", "quality", "models"):
+    for group in ("operations", "history", "intervals", "schedule", "metrics", "quality", "models", "streams"):
         importlib.import_module(f"wardflow.plans.registered_{group}")
 
 

@@ -41,7 +41,7 @@ def evaluate_no_show(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
         )
         return materialize(scored), (fold.index, model.importance())
 
-    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    found = concurrently(frame.sparkSession, (lambda f=f: of_fold(f) for f in folds))
     every = _pool([scored for scored, _ in found])
     long = every.select(
         "fold", "label", F.explode(F.array(*[
@@ -82,7 +82,7 @@ def evaluate_demand(frame: DataFrame, folds: list[splits.Fold], *, seed: int = m
         held = materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("count").alias("label"), "model", "seasonal_naive"))
         return held, (fold.index, model.strategy, model.selection_scores), model.importance()
 
-    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    found = concurrently(frame.sparkSession, (lambda f=f: of_fold(f) for f in folds))
     per_fold = _regression(_pool([held for held, _, _ in found]), ("model", "seasonal_naive"))
     strategies = grid.sparkSession.createDataFrame([s for _, s, _ in found], "fold int, strategy string, selection_scores map<string, double>")
     zero = grid.agg(metrics.X.half_even(F.avg((F.col("count") == 0).cast("double")), 4).alias("zero_cell_fraction"),
@@ -108,7 +108,7 @@ def evaluate_duration(frame: DataFrame, folds: list[splits.Fold], *, seed: int =
         held = materialize(scored.select(F.lit(fold.index).alias("fold"), F.col("duration_minutes").alias("label"), "model", "specialty_mean"))
         return held, (fold.index, model.importance())
 
-    found = concurrently(lambda f=f: of_fold(f) for f in folds)
+    found = concurrently(frame.sparkSession, (lambda f=f: of_fold(f) for f in folds))
     per_fold = _regression(_pool([held for held, _ in found]), ("model", "specialty_mean"))
     return {"per_fold": per_fold, "summary": _summary(per_fold, ("mae", "rmse", "bias", "r2")), "importance": _importances(frame, [i for _, i in found])}
 

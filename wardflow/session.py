@@ -32,9 +32,9 @@ def tune(spark: SparkSession) -> SparkSession:
 CONCURRENT_JOBS = 4
 
 
-def concurrently(tasks: Iterable[Callable[[], object]]) -> list:
+def concurrently(spark: SparkSession, tasks: Iterable[Callable[[], object]]) -> list:
     """Results of independent actions, in order. Their jobs are submitted from several threads, which Spark runs side by side."""
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
         return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
@@ -55,7 +55,7 @@ def local_session(cores: int = 8, name: str = "wardflow", memory: str = "16g") -
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables.
 
     It is the one the cluster names, which driver and executors share. A
@@ -76,13 +76,13 @@ def materialize(df):
     Uses the reliable checkpoint in the shared folder, so a lost executor costs
     a re-read and not a recomputation.
     """
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read back; :func:`drop_stored` deletes it when it is of no more use."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

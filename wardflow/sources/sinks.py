@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardflow.functions import scalar as X
 from wardflow.operators.quality import duplicates
@@ -64,6 +64,29 @@ def write_schedule(header: DataFrame, rows: DataFrame, folder: str) -> None:
     write_by_date(rows, f"{folder}/schedule_entry", "appointment_date", "doctor_id")
 
 
+def write_bucketed(df: DataFrame, table: str, folder: str, key: str, buckets: int, day: str | None = None) -> None:
+    """A Parquet table in buckets of ``key``, sorted inside, and in partitions of ``day`` if one is given.
+
+    Tables of the same key and number of buckets join on it without a shuffle,
+    and a join with some days reads their partitions only. The catalogue knows
+    the table as ``table``; :func:`open_bucketed` tells it again in a later session.
+    """
+    out = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", folder)
+    if day:
+        out = out.partitionBy(day)
+    out.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, folder: str, key: str, buckets: int, day: str | None = None) -> DataFrame:
+    """A table of :func:`write_bucketed` in a session whose catalogue does not know it."""
+    columns = ", ".join(f"`{name}` {kind}" for name, kind in spark.read.parquet(folder).dtypes)
+    parted = f"PARTITIONED BY (`{day}`)" if day else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {parted} CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    if day:
+        spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
 def write_forecast(cells: DataFrame, folder: str, model_version: str, clinic_id: int = 0) -> None:
     """Forecast cells of one model version; refuses cells that are not unique."""
     out = cells.withColumn("model_version", F.lit(model_version))

@@ -56,12 +56,12 @@ def visits(spark: SparkSession, folder: str, *, first_visit_flag: bool = False)
     return history.flag_first_visit(out) if first_visit_flag else out
 
 
-def visit_feed(spark: SparkSession, folder: str) -> DataFrame:
+def visit_feed(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Event time, specialty and status of each visit: the live-feed projection."""
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.when(F.col("event_type") == "view", "cancelled").otherwise("completed")
     return table(spark, folder, "events").select(
-        "ts", F.concat(F.lit("s"), (k % 5).cast("string")).alias("specialty"), status.alias("status")
+        "ts", F.concat(F.lit("s"), (k % 5).cast("string")).alias("specialty"), status.alias("status"), *keep
     )
 
 
