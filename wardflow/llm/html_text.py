@@ -28,7 +28,8 @@ ENDED_BY = {
     "option": {"option", "optgroup"}, "head": {"body"},
 }
 # Elements, and words of class, id and role, that are not part of an article.
-APART = frozenset("head title nav footer aside form noscript template svg iframe object select textarea button menu dialog".split())
+NEVER = frozenset("head title noscript template svg iframe object select textarea button".split())
+APART = frozenset("nav footer aside form menu dialog".split())
 APART_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "header login masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies share sharing sidebar "
@@ -38,8 +39,12 @@ APART_WORDS = frozenset(
 MODIFIERS = frozenset("no not has have with without is free open opened closed hidden enabled disabled active".split())
 #: A header of these is the heading of an article.
 OF_ARTICLES = frozenset("entry post article content page story section title".split())
-BODY = frozenset("html body article main".split())
+BODY = frozenset("html body main".split())
 CONTAINERS = frozenset("article main".split())
+#: Words that tell a reader's comment from an article where the element is an article.
+COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+#: What a section inside an article may be called ("Related work").
+OF_SECTIONS = frozenset({"related"})
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,66 +64,83 @@ SHARE = 0.5
 CONTAINED = 0.8
 
 
-def _named(attributes: str, inside: bool) -> bool:
+def _named(tag: str, attributes: str, inside: bool) -> bool:
     """Whether a class, id or role names a part that is not of an article: by the first or the last word of a token."""
     for found in NAMES.finditer(attributes):
         for token in (found[1] or found[2] or found[3] or "").lower().split():
             words = [w for w in re.split(r"[^a-z]+", token) if w]
             if not words or not MODIFIERS.isdisjoint(words):
                 continue
-            ends = {words[0], words[-1]} & APART_WORDS
+            ends = {words[0], words[-1]} & (COMMENT_WORDS if tag == "article" else APART_WORDS)
             if inside or not OF_ARTICLES.isdisjoint(words):
                 ends -= {"header"}
+            if inside and tag == "section":
+                ends -= OF_SECTIONS
             if ends:
                 return True
     return False
 
 
 class Element:
-    """An open block element; ``apart`` if its tag, ``named`` if a name of it says that it is not part of an article."""
+    """A block element with its parent and a number for its path of tags. Elements are numbered as they open, so those inside one follow it.
 
-    def __init__(self, tag: str, apart: bool, named: bool) -> None:
-        self.tag, self.apart, self.named = tag, apart, named
-        self.holds, self.chars = False, 0  # an article or main element; characters of text
+    ``never``: no text of an article, whatever it holds. ``apart`` and
+    ``named``: the tag, or a name, says that it is not part of an article.
+    """
+
+    __slots__ = ("tag", "parent", "number", "last", "depth", "path", "outer", "never", "apart", "named", "aside", "holds", "chars", "dropped")
+
+    def __init__(self, tag: str, parent: Element | None, number: int, path: int, never: bool, apart: bool, named: bool) -> None:
+        self.tag, self.parent, self.number, self.last, self.path = tag, parent, number, number, path
+        self.depth = parent.depth + 1 if parent else 0
+        self.never = never or bool(parent and parent.never)
+        self.apart, self.named = apart, named
+        # Below something that is apart; a form may stand around a whole page and does not count.
+        self.aside = bool(parent and parent.aside) or named or (apart and tag != "form")
+        self.outer = parent.outer if parent and parent.outer is not None else path if tag in CONTAINERS else None
+        self.holds, self.chars, self.dropped = False, 0, False
 
 
 @dataclass(frozen=True)
 class Node:
-    """A block of text with its path of block elements, and whether most of it is the text of links."""
+    """A block of text with the element it stands in, and whether most of it is the text of links."""
 
-    path: tuple[str, ...]
+    element: Element
     text: str
-    elements: tuple[Element, ...]
     linked: bool
 
 
-def nodes(source: str) -> list[Node]:
-    """The blocks of text of a page in order; what is apart from an article is left out.
+def nodes(source: str) -> tuple[list[Node], list[Element]]:
+    """The blocks of text of a page in order, and its block elements; what is apart from an article is left out.
 
-    An element that is apart by name alone stays if it holds an article or
-    main element that is not, or, on a page without one, over half the text.
+    An element that is apart by its tag or by its name stays if it holds an
+    article or main element that is not, where the page has no other, or if it
+    is a form around one; on a page without article or main it stays with over
+    half the text. Every token is handled in constant time, however deep it stands.
     """
     found: list[Node] = []
-    opened: list[Element] = []
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("", None, 0, 0, False, False, False)
+    elements, opened, count = [root], [root], defaultdict(int)
     pieces: list[str] = []
-    total, links, in_link = 0, 0, False
-    articles = False
+    links, in_link = 0, False
+    plain: list[Element] = []  # containers that stand outside of what is apart
+    beside: list[Element] = []
 
     def flush() -> None:
-        nonlocal total, links
+        nonlocal links
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
-            if text and not any(e.apart for e in opened):
-                found.append(Node(tuple(e.tag for e in opened), text, tuple(opened), 2 * links > len(text)))
-                total += len(text)
-                for e in opened:
-                    e.chars += len(text)
+            if text and not opened[-1].never:
+                found.append(Node(opened[-1], text, 2 * links > len(text)))
         links = 0
 
-    def close(tag: str) -> None:
-        while opened and opened.pop().tag != tag:
-            pass
+    def pop() -> Element:
+        e = opened.pop()
+        e.last = len(elements) - 1
+        count[e.tag] -= 1
+        return e
 
     for token in TOKEN.finditer(source):
         tag = token[3]
@@ -137,28 +159,44 @@ def nodes(source: str) -> list[Node]:
             continue
         flush()
         if token[2]:
-            if any(e.tag == tag for e in opened):
-                close(tag)
+            if count[tag]:
+                while pop().tag != tag:
+                    pass
             continue
         if tag in VOID or token[4].endswith("/"):
             continue
-        if opened and (opened[-1].tag == "p" or opened[-1].tag in HEADINGS and tag in HEADINGS):
-            opened.pop()
-        while opened and tag in ENDED_BY.get(opened[-1].tag, ()):
-            opened.pop()
-        inside = any(e.tag in CONTAINERS for e in opened)
-        named = _named(token[4], inside)
-        if tag in CONTAINERS and not named and not any(e.apart for e in opened):
-            articles = True
-            for e in opened:
-                e.holds = True
-        opened.append(Element(tag, tag in APART or (tag == "header" and not inside), named and tag not in BODY))
+        if opened[-1].tag == "p" or opened[-1].tag in HEADINGS and tag in HEADINGS:
+            pop()
+        while opened[-1].tag in ENDED_BY and tag in ENDED_BY[opened[-1].tag]:
+            pop()
+        parent = opened[-1]
+        inside = parent.outer is not None
+        named = _named(tag, token[4], inside) and tag not in BODY
+        path = paths.setdefault((parent.path, tag), len(paths) + 1)
+        e = Element(tag, parent, len(elements), path, tag in NEVER, tag in APART or (tag == "header" and not inside), named)
+        elements.append(e)
+        opened.append(e)
+        count[tag] += 1
+        if tag in CONTAINERS and not named and not e.never:
+            (beside if parent.aside else plain).append(e)
     flush()
-
-    def dropped(e: Element) -> bool:
-        return e.named and not e.holds and (articles or 2 * e.chars <= total)
-
-    return [n for n in found if not any(dropped(e) for e in n.elements)]
+    while len(opened) > 1:
+        pop()
+    root.last = len(elements) - 1
+
+    for e in plain or beside:
+        while e.parent is not None and not e.parent.holds:
+            e = e.parent
+            e.holds = True
+    for x in found:
+        x.element.chars += len(x.text)
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+    articles, total = bool(plain or beside), root.chars
+    for e in elements[1:]:
+        own = (e.apart or e.named) and not e.holds and (articles or 2 * e.chars <= total)
+        e.dropped = e.parent.dropped or own
+    return [n for n in found if not n.element.dropped], elements
 
 
 def path_scores(found: list[Node]) -> np.ndarray:
@@ -169,19 +207,16 @@ def path_scores(found: list[Node]) -> np.ndarray:
     heading is not torn out of its text.
     """
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    owners = []
-    for path, text in ((x.path, x.text) for x in found):
-        outer = next((path[: i + 1] for i, t in enumerate(path) if t in CONTAINERS), None)
-        owners.append(outer)
-        n, m = len(text), len(PUNCTUATION.findall(text))
-        for key, weight in ((path, 1), (outer and ("in", *outer), n)):
-            if key is not None:
-                chars[key] += weight * n
-                marks[key] += weight * m
-                count[key] += weight
+    keys = [(x.element.path, ("in", x.element.outer) if x.element.outer is not None else x.element.path) for x in found]
+    for x, (path, outer) in zip(found, keys):
+        n, m = len(x.text), len(PUNCTUATION.findall(x.text))
+        for key, weight in ((path, 1), (outer, n)) if outer != path else ((path, 1),):
+            chars[key] += weight * n
+            marks[key] += weight * m
+            count[key] += weight
 
     def ratio(total: dict) -> np.ndarray:
-        own = [max(total[k] / count[k] for k in (path, ("in", *outer) if outer else path)) for path, outer in zip((x.path for x in found), owners)]
+        own = [max(total[k] / count[k] for k in pair) for pair in keys]
         values = np.array(own, float)
         reach = len(KERNEL) // 2
         padded = np.pad(values, reach, mode="edge")
@@ -192,24 +227,25 @@ def path_scores(found: list[Node]) -> np.ndarray:
 
 def main_text(source: str) -> str:
     """The content nodes of a page, joined by line ends."""
-    found = nodes(source)
+    found, elements = nodes(source)
     if not found:
         return ""
     scores = path_scores(found)
     weights = np.array([len(x.text) for x in found], float)
     mean = float(np.average(scores, weights=weights))
     spread = float(np.sqrt(np.average((scores - mean) ** 2, weights=weights)))
-    of_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    of_path: dict[int, list[float]] = defaultdict(list)
     for x, value in zip(found, scores):
-        of_path[x.path].append(value)
+        of_path[x.element.path].append(value)
     least = min(mean - spread, SHARE * mean)
     kept_paths = {path for path, values in of_path.items() if sum(values) / len(values) >= least}
-    parents = {path[:-1] for path in kept_paths}
-    kept = [x.path in kept_paths or (x.path and x.path[-1] in HEADINGS and x.path[:-1] in parents) for x in found]
-    return "\n".join(x.text for x, k in zip(found, _with_inner(found, kept)) if k)
+    above = lambda e: e.parent.path if e.parent else None
+    parents = {above(x.element) for x in found if x.element.path in kept_paths}
+    kept = [x.element.path in kept_paths or (x.element.tag in HEADINGS and above(x.element) in parents) for x in found]
+    return "\n".join(x.text for x, k in zip(found, _with_inner(found, elements, kept)) if k)
 
 
-def _with_inner(found: list[Node], kept: list[bool]) -> list[bool]:
+def _with_inner(found: list[Node], elements: list[Element], kept: list[bool]) -> list[bool]:
     """Also what the ratios leave out inside the text: lists, tables and short lines of the container of the kept blocks, and its heading.
 
     On a page without article or main the container is the deepest element
@@ -218,22 +254,24 @@ def _with_inner(found: list[Node], kept: list[bool]) -> list[bool]:
     or the container is the body itself, where menus and imprints stand.
     """
     kept = list(kept)
-    if not any(t in CONTAINERS for x in found for t in x.path):
-        chars: dict[Element, int] = defaultdict(int)
+    if not any(x.element.outer is not None for x in found):
+        chars = [0] * len(elements)
         for x, k in zip(found, kept):
-            for e in x.elements if k else ():
-                chars[e] += len(x.text)
-        whole = sum(len(x.text) for x, k in zip(found, kept) if k)
-        at_best = max(((len(x.elements[: i + 1]), e) for x in found for i, e in enumerate(x.elements) if chars.get(e, 0) >= CONTAINED * whole), key=lambda c: c[0], default=None)
-        inside = [i for i, x in enumerate(found) if at_best is None or at_best[1] in x.elements]
+            chars[x.element.number] += len(x.text) if k else 0
+        for e in reversed(elements[1:]):
+            chars[e.parent.number] += chars[e.number]
+        whole = chars[0]
+        holds_most = [e for e in elements[1:] if chars[e.number] and chars[e.number] >= CONTAINED * whole]
+        best = max(holds_most, key=lambda e: e.depth, default=None)
+        inside = [i for i, x in enumerate(found) if best is None or best.number <= x.element.number <= best.last]
         text = [i for i in inside if kept[i]]
         for i in inside:
-            closed = at_best is not None and at_best[1].tag not in BODY and not found[i].linked
+            closed = best is not None and best.tag not in BODY and not found[i].linked
             kept[i] = kept[i] or text[0] < i < text[-1] or closed
     first = kept.index(True) if True in kept else 0
     for i in range(first):
-        kept[i] = found[i].path[-1:] == ("h1",)
-    while first and found[first - 1].path[-1:] and found[first - 1].path[-1] in HEADINGS:
+        kept[i] = found[i].element.tag == "h1"
+    while first and found[first - 1].element.tag in HEADINGS:
         first -= 1
         kept[first] = True
     return kept
