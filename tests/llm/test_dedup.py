@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,26 @@ def test_suffix_order_equals_sorting():
         ends = {p: e for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()) for p in range(s, e)}
         suffixes = [data[p : ends[p]].tobytes() for p in order]
         assert sorted(order) == list(range(len(data))) and suffixes == sorted(suffixes)
+
+
+def test_parities_never_rule_a_similar_pair_out():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 600, 3000, 9000):
+        for changed in (0, n // 20, n // 9, n // 2):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate((a[changed:], rng.integers(0, 1 << 63, changed, np.uint64))))
+            differ = len(np.setxor1d(a, b))
+            assert sum(int(x).bit_count() for x in near.parities(a) ^ near.parities(b)) <= differ
+            if len(a) > near.LONG_SET and len(b) > near.LONG_SET:
+                found = near.long_difference(near.long_parities(a), near.long_parities(b))
+                assert found <= differ and found >= min(differ, len(a) // 4) * 0.7
+
+
+def test_shingles_are_those_of_the_words_in_order():
+    text = b"One two  three four five six\tONE two three four five seven"
+    words = text.lower().split()
+    wanted = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(near.shingle_set(text)) == len(wanted)
+    assert len(near.shingle_set(b"a b c")) == 1 and len(near.shingle_set(b" \n")) == 0
+    assert near.shingle_set(b"a b c").tolist() != near.shingle_set(b"c b a").tolist()
+    assert np.intersect1d(near.shingle_set(b"x " + text), near.shingle_set(text)).size == len(wanted)

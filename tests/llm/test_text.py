@@ -83,11 +83,35 @@ def test_score_reads_the_whole_text_in_overlapping_chunks(monkeypatch):
     assert 0 <= score(net, b"") <= 1
 
 
+@pytest.mark.parametrize("text", [bytes(range(40, 110)), b"ab", bytes(np.random.default_rng(2).integers(32, 127, 40_000).tolist())])
+def test_score_is_that_of_a_plain_convolution(text):
+    """Every filter at every place, one after the other."""
+    net = Network.new(4)
+    padded, found, at = list(text), [], 0
+    while at == 0 or at + quality.WIDTH - quality.STRIDE < len(text):
+        window = (padded[at : at + quality.WIDTH] + [256] * quality.WIDTH)[: quality.WIDTH]
+        inputs = np.concatenate([net.embedding[b] for b in window]).astype(np.float64)
+        found.append(np.maximum(inputs @ net.filters.astype(np.float64) + net.bias, 0))
+        at += quality.STRIDE
+    pooled = np.concatenate((np.max(found, 0), np.mean(found, 0)))
+    want = 1 / (1 + np.exp(-(pooled @ net.dense.astype(np.float64) + net.offset[0])))
+    assert score(net, text) == pytest.approx(want, abs=1e-5)
+
+
+def test_gradient_covers_all_places_of_a_long_text(monkeypatch):
+    net, text = Network.new(5), bytes(np.random.default_rng(1).integers(32, 127, 3000).tolist())
+    _, whole = quality._gradient(net, text, 0, 1.0)
+    monkeypatch.setattr(quality, "TRAIN_CHUNK", 64)
+    _, cut = quality._gradient(net, text, 0, 1.0)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-5)
+
+
 def test_gradient_equals_differences():
-    net, text, rng = Network.new(3), bytes(range(40, 110)), np.random.default_rng(0)
+    net, text = Network.new(3), bytes(range(40, 110))
     for part in net.parts():
         part[...] = part.astype(np.float32)
-    _, gradient = quality._gradient(net, text, 1, 1.0, rng)
+    _, gradient = quality._gradient(net, text, 1, 1.0)
     for part, got in zip(net.parts(), gradient):
         at = np.unravel_index(np.abs(got).argmax(), part.shape)
         old, step = part[at], 1e-2

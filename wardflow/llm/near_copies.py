@@ -32,6 +32,8 @@ PAIRS_A_ROW = 4
 STARS = 8
 #: Hashes unpacked at once for a fingerprint.
 PRINT_BLOCK = 1 << 13
+#: Sets of more shingles have longer parities besides.
+LONG_SET = 512
 #: The columns of parities.
 BITS = [f"bits{i}" for i in range(16)]
 
@@ -71,6 +73,23 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def long_parities(hashes: np.ndarray) -> bytes | None:
+    """The same with two to four bits a shingle, for sets that are too large for ``parities`` to tell apart; None for others."""
+    if len(hashes) <= LONG_SET:
+        return None
+    bits = (2 * len(hashes) - 1).bit_length()
+    odd = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def long_difference(x: bytes, y: bytes) -> int:
+    """How many shingles two sets differ in at least; the longer parities are folded to the length of the others."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    while len(a) != len(b):
+        a, b = (v.reshape(-1, 2).sum(1, dtype=np.uint8) & 1 if len(v) > min(len(a), len(b)) else v for v in (a, b))
+    return int(np.count_nonzero(a != b))
+
+
 def set_print(hashes: np.ndarray) -> int:
     """The 64-bit SimHash of a set: a bit is set if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
@@ -117,19 +136,20 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, node, n`` (the size of the set), its SimHash ``print`` and its parities."""
+    """``doc_id, node, n`` (the size of the set), its SimHash ``print``, its parities and, for a large set, longer ones."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts = [(_node(s), len(s), set_print(s), parities(s)) for s in (shingle_set(t, width) for t in byte_values(batch.column("text")))]
-            nodes, sizes, prints, odd = zip(*facts) if facts else ((), (), (), ())
+            facts = [(_node(s), len(s), set_print(s), parities(s), long_parities(s)) for s in (shingle_set(t, width) for t in byte_values(batch.column("text")))]
+            nodes, sizes, prints, odd, longer = zip(*facts) if facts else ((), (), (), (), ())
             columns = [batch.column("doc_id").cast(pa.int64()), _signed(list(nodes)), pa.array(sizes, pa.int32()), _signed(list(prints))]
             bits = np.array(odd, np.uint64).reshape(-1, len(BITS))
             columns += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(len(BITS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", *BITS])
+            columns.append(pa.array(longer, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", *BITS, "longer"])
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(mark, "doc_id long, node long, n int, print long, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(mark, "doc_id long, node long, n int, print long, " + ", ".join(f"{b} long" for b in BITS) + ", longer binary")
 
 
 def _prefix_rows(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
@@ -157,10 +177,10 @@ def _shared(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    rows = _prefix_rows(docs, width, similarity, common)
+    rows = stored(_prefix_rows(docs, width, similarity, common))
     several = stored(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("h"))
     kept = stored(rows.join(several, "h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("place").alias("place")))
-    forget(several)
+    forget(several), forget(rows)
     return kept
 
 
@@ -201,9 +221,23 @@ class _Verifier:
         differ = sum(F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in BITS)
         return (F.least(n, m) >= self.similarity * F.greatest(n, m) - 1e-9) & (differ <= n + m - 2 * self.least(n, m))
 
+    def close_enough(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that longer parities do not rule out. They are a thirty-second of the sets, and leave hardly another pair than the similar ones."""
+        similarity = self.similarity
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_longer", "b_longer")))
+                fits = [x is None or y is None or long_difference(x, y) <= n + m - 2 * math.ceil((n + m) * similarity / (1 + similarity) - 1e-9) for n, m, x, y in rows]
+                yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+        side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("longer").alias(f"{s}_longer"))
+        bounded_batches(pairs.sparkSession)
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the similarity, by their whole sets."""
-        pairs = stored(pairs)
+        pairs = stored(self.close_enough(pairs))
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         for known in self.sets:
             asked = asked.join(known.select("node"), "node", "left_anti")
@@ -251,7 +285,7 @@ def near_links(docs: DataFrame, width: int, similarity: float, marked: DataFrame
     components are. Sizes, places and parities, which lose no similar pair,
     rule pairs out before any set is read.
     """
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "print", *BITS)]))
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "print", *BITS, "longer")]))
     verifier = _Verifier(docs, width, similarity, nodes)
     links = verifier.similar(verifier.possible(simhash_pairs(nodes)))
     shared = _shared(docs, width, similarity)

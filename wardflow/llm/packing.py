@@ -23,6 +23,8 @@ REMEMBERED = 600_000
 #: Bytes of text whose words are held at a time.
 TEXT_BYTES = 1 << 20
 ROW_BLOCK = 50_000
+#: Pivots without progress, for each class, after which the linear program is taken as it is.
+STALLED = 2
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -150,22 +152,23 @@ def starting_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> n
     return basis
 
 
-def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each) and how often to use them, from the linear program that covers a demand by the fewest sequences.
 
     The simplex method keeps one pattern per class. The prices of the classes
     are the duals; the knapsack finds the pattern worth most, which enters the
     basis if it is worth more than the one sequence it costs. The program's
     value divided by that worth bounds the optimum from below, as does the
-    total length; a small gap to the bound ends the search.
+    total length. The search ends at a small gap to the bound, when no pattern
+    is worth more than it costs, or when the basis goes round without progress.
     """
     basis = starting_patterns(sizes, demand, capacity)
     inverse = np.linalg.inv(basis)
     amounts = np.maximum(inverse @ demand, 0)
     bound = float(sizes @ demand) / capacity
-    for step in range(1, rounds + 1):
-        if amounts.sum() <= bound * (1 + gap):
-            break
+    step, idle = 0, 0
+    while amounts.sum() > bound * (1 + gap) and idle <= STALLED * len(sizes):
+        step += 1
         prices = inverse.sum(0)  # every sequence costs one
         worth, pattern = price_pattern(np.maximum(prices, 0), sizes, capacity)
         bound = max(bound, amounts.sum() / max(worth, 1.0))
@@ -177,6 +180,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
         leaving = int(ratio.argmin())
         basis[:, leaving] = pattern
         least = ratio[leaving]
+        idle = 0 if least * (worth - 1) > 1e-12 * amounts.sum() else idle + 1
         amounts = np.maximum(amounts - least * direction, 0)
         amounts[leaving] = least
         row = inverse[leaving] / direction[leaving]

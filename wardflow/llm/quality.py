@@ -24,8 +24,8 @@ THRESHOLD = 0.3
 #: Documents of each label, and bytes of text, that the network is trained on at most: a bounded sample by a hash of the id.
 TRAIN_DOCUMENTS, TRAIN_BYTES = 2000, 20_000_000
 EPOCHS, BATCH, RATE = 12, 32, 3e-3
-#: Places of a document a training step looks at; scoring looks at all of them.
-TRAIN_PLACES = 1024
+#: Places of a document held at once in training.
+TRAIN_CHUNK = 4096
 
 
 @dataclass
@@ -87,27 +87,40 @@ def score(net: Network, text: bytes) -> float:
     return float(1 / (1 + np.exp(-np.clip(pooled @ net.dense + net.offset[0], -30, 30))))
 
 
-def _gradient(net: Network, text: bytes, label: int, weight: float, rng: np.random.Generator) -> tuple[float, list[np.ndarray]]:
+def _gradient(net: Network, text: bytes, label: int, weight: float) -> tuple[float, list[np.ndarray]]:
+    """Loss and gradient of one document, over all of its places, some at a time."""
     under = places(text)
-    if len(under) > TRAIN_PLACES:
-        under = under[np.sort(rng.choice(len(under), TRAIN_PLACES, replace=False))]
-    inputs = net.embedding[under].reshape(len(under), -1)
-    linear = inputs @ net.filters + net.bias
-    found = np.maximum(linear, 0)
-    top = found.argmax(0)
-    pooled = np.concatenate((found[top, np.arange(FILTERS)], found.mean(0)))
+    parts = [slice(at, at + TRAIN_CHUNK) for at in range(0, len(under), TRAIN_CHUNK)]
+    most, top, total = np.full(FILTERS, -1, np.float32), np.zeros(FILTERS, np.int64), np.zeros(FILTERS)
+    for part in parts:
+        found = np.maximum(_linear(net, under[part])[1], 0)
+        best = found.argmax(0)
+        better = found[best, np.arange(FILTERS)] > most
+        most[better], top[better] = found[best, np.arange(FILTERS)][better], best[better] + part.start
+        total += found.sum(0)
+    pooled = np.concatenate((most, (total / len(under)).astype(np.float32)))
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.dense + net.offset[0], -30, 30)))
     error = np.float32(weight * (p - label))
     back = error * net.dense
-    d_found = np.broadcast_to(back[FILTERS:] / len(under), found.shape).copy()
-    d_found[top, np.arange(FILTERS)] += back[:FILTERS]
-    d_linear = d_found * (linear > 0)
-    d_filters = inputs.T @ d_linear
-    d_inputs = (d_linear @ net.filters.T).reshape(-1, EMBEDDING)
-    flat = under.ravel()
-    d_embedding = np.stack([np.bincount(flat, d_inputs[:, k], 257) for k in range(EMBEDDING)], 1).astype(np.float32)
+    d_embedding, d_filters, d_bias = (np.zeros(x.shape, np.float32) for x in (net.embedding, net.filters, net.bias))
+    for part in parts:
+        inputs, linear = _linear(net, under[part])
+        d_linear = np.broadcast_to(back[FILTERS:] / len(under), linear.shape).copy()
+        here = np.flatnonzero((top >= part.start) & (top < part.start + len(linear)))
+        d_linear[top[here] - part.start, here] += back[here]
+        d_linear *= linear > 0
+        d_filters += inputs.T @ d_linear
+        d_bias += d_linear.sum(0)
+        d_inputs = (d_linear @ net.filters.T).reshape(-1, EMBEDDING)
+        flat = under[part].ravel()
+        d_embedding += np.stack([np.bincount(flat, d_inputs[:, k], 257) for k in range(EMBEDDING)], 1).astype(np.float32)
     loss = -weight * np.log(max(1e-9, p if label else 1 - p))
-    return loss, [d_embedding, d_filters, d_linear.sum(0), error * pooled, np.array([error], np.float32)]
+    return loss, [d_embedding, d_filters, d_bias, error * pooled, np.array([error], np.float32)]
+
+
+def _linear(net: Network, under: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inputs = net.embedding[under].reshape(len(under), -1)
+    return inputs, inputs @ net.filters + net.bias
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
@@ -127,7 +140,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
             total = [np.zeros_like(p) for p in net.parts()]
             group = order[at : at + BATCH]
             for i in group.tolist():
-                _, gradient = _gradient(net, texts[i], labels[i], weights[labels[i]], rng)
+                _, gradient = _gradient(net, texts[i], labels[i], weights[labels[i]])
                 for t, g in zip(total, gradient):
                     t += g / len(group)
             step += 1
