@@ -94,6 +94,11 @@ def test_evaluation_job_writes_reports_and_gates(spark, frame, tmp_path):
     assert gates["no_show_vs_logistic"] and gates["no_show_roc_auc"] and gates["demand_not_worse"] is not None
     assert len(gates) == 5
     assert spark.read.json(f"{out}/no_show_curve").count() == 50
+    chosen = {r["fold"]: r["strategy"] for r in spark.read.json(f"{out}/demand_strategies").collect()}
+    assert set(chosen) == {1, 2} and set(chosen.values()) <= {"profile", "poisson", "gbm"}
+    for name, features in (("no_show", 17), ("duration", 6)):
+        by_fold = spark.read.json(f"{out}/{name}_importance").groupBy("fold").count().collect()
+        assert sorted((r["fold"], r["count"]) for r in by_fold) == [(1, features), (2, features)]
     folds = spark.read.json(f"{out}/no_show_per_fold")
     base = folds.filter("candidate = 'base_rate'")
     assert folds.count() == 6 and {r["roc_auc"] for r in base.collect()} == {0.5}

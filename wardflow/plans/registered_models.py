@@ -288,3 +288,35 @@ def duration_root_split(spark, folder):
     frame = T.bookings(spark, folder)
     rows = FT.duration_features(splits.final_holdout(frame)[0], codes=FT.category_codes(frame))
     return _root_split(spark, rows, DURATION_SMALL, "duration_minutes", "absolute", 40)
+
+
+# --- serving and selection ----------------------------------------------------------------
+@register(
+    "duration_served",
+    with_views("bookings", "SELECT specialty, count(*) AS n, true AS in_range, CAST(0 AS BIGINT) AS fallbacks FROM bookings WHERE status = 'cancelled' GROUP BY 1"),
+)
+def duration_served(spark, folder):
+    """Cancelled bookings offered again get a length from a fitted model, none of them the fallback."""
+    frame = T.bookings(spark, folder)
+    codes = FT.category_codes(frame)
+    model = models.fit_duration(materialize(FT.duration_features(frame, codes=codes)), params={"maxIter": 10})
+    again = frame.filter(~X.occupies())
+    served = models.predict_duration(again, frame, model, codes=codes, keep=("specialty",))
+    inside = F.col("predicted_duration_minutes").between(5, 240)
+    return served.groupBy("specialty").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"), F.count_if("fallback").alias("fallbacks"))
+
+
+@register("estimator_selection")
+def estimator_selection(spark, folder):
+    """Mean average precision of both estimators over date splits that run side by side, and the winner."""
+    train, _ = _holdout(spark, folder)
+    winner, scores = models.select_estimator(train, n_splits=2, params={"maxIter": 10})
+    return spark.createDataFrame([(name, value, name == winner) for name, value in scores.items()], "estimator string, average_precision double, chosen boolean")
+
+
+@register("feature_ablation")
+def feature_ablation(spark, folder):
+    """Ranking quality with all features, without patient history and with it alone; the three fits run side by side."""
+    train, test = _holdout(spark, folder)
+    rows = models.ablation(train, materialize(test))
+    return spark.createDataFrame([(r["features"], r["roc_auc"], r["pr_auc"]) for r in rows], "features string, roc_auc double, pr_auc double")
