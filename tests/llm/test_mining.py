@@ -33,6 +33,12 @@ def test_query_matches_sql(spark, name):
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(answer.columns, answer.fetchall())
 
 
+def test_all_corpus_queries_are_registered():
+    """The entry point leaves them out where the folder is missing; a broken import must not look like that."""
+    numbers = sorted(int(name[2:].split("_")[0]) for name in driver.queries() if name.startswith("op"))
+    assert numbers == list(range(1, 14)) and "pipeline" in driver.queries()
+
+
 # Hard negatives
 
 
