@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_corpus_queries_are_registered():
     """The entry point leaves them out where the folder is missing; a broken import must not look like that."""
-    numbers = sorted(int(name[2:].split("_")[0]) for name in driver.queries() if name.startswith("op"))
+    numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", name) for name in driver.queries()) if m)
     assert numbers == list(range(1, 14)) and "pipeline" in driver.queries()
 
 

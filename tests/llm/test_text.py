@@ -291,3 +291,23 @@ def test_licence_notices(spark):
     assert scan_licences(empty(spark)).count() == 0 and scan_licences(awkward(spark)).count() == 0
     none = spark.createDataFrame([], "template int, licence string, wording string")
     assert scan_licences(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+
+
+NEIGHBOURS = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free "
+               "Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free "
+               "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+                "Free Software Foundation; either version 2.1 of the License, or (at your option)\nany later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+                "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Copyright 2020 Example Inc. Licensed under the MIT License.",
+    "Proprietary": "Copyright 2020 Example Inc. All rights reserved.",
+}
+
+
+def test_notices_are_named_beside_their_neighbours_and_inside_a_line(spark):
+    docs = spark.createDataFrame([(i, f"Some words before! {text} And some words after it.") for i, text in enumerate(NEIGHBOURS.values())], "doc_id long, text string")
+    found = {r["doc_id"]: r["licence"] for r in scan_licences(docs).collect()}
+    assert found == dict(enumerate(NEIGHBOURS))

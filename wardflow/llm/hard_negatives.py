@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from wardflow.llm.common import pick, stored
+from wardflow.llm.common import bounded_batches, pick, stored
 
 #: Candidates of a block, anchors of a chunk, and pivots that deal candidates to blocks. All are bounds, at every size.
 BLOCK_ROWS = 8192
@@ -278,14 +278,14 @@ def cover_trees(rows: DataFrame) -> DataFrame:
 def _meet(trees: DataFrame, anchors: DataFrame, work) -> DataFrame:
     """Every chunk of anchors beside every block of its dimension; ``work(tree, anchors)`` yields the rows of ``HIT``.
 
-    Chunks and blocks are single rows of a bounded size, and a task holds one pair of them at a time.
+    Chunks and blocks are single rows of a bounded size, and a task holds a few pairs of them at a time.
     """
     spark = trees.sparkSession
     packed = stored(anchors.groupBy("dim", "chunk").agg(F.collect_list(F.struct(*[c for c in anchors.columns if c not in ("dim", "chunk")])).alias("anchors")))
     pairs = trees.count() * max(1, packed.count())
     both = trees.join(packed.withColumnRenamed("dim", "_dim"), F.col("dim") == F.col("_dim")).drop("_dim")
     spread = both.repartition(min(pairs, 100_000) or 1, F.xxhash64("block", "chunk"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wardflow.llm.common import once, pick, stored
 
 DICE = 0.8
+SENTENCE_END = r"[.!?]+[ \t\r\n]+"
 
 # Wording of public licence notices and short licences, by SPDX name.
 TEMPLATES = [
@@ -24,11 +25,22 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                 "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                 "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                 "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
                 "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
                      "following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
@@ -64,9 +76,10 @@ def bigrams(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """What a notice may fill: the whole text, each paragraph, each line; the same stretch once."""
-    paragraphs, lines = F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")
-    return F.array_distinct(F.concat(F.array(text), F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), lines))
+    """What a notice may fill: the whole text, each paragraph, each line, each sentence (over line ends, too); the same stretch once."""
+    paragraphs, lines, sentences = F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"), F.split(text, SENTENCE_END)
+    several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), several(paragraphs), lines, several(sentences)))
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -75,7 +88,7 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def scan_licences(docs: DataFrame, templates: DataFrame | None = None, dice: float = DICE) -> DataFrame:
-    """Pairs of a document and a licence that one of its lines, paragraphs or its whole text resembles most.
+    """Pairs of a document and a licence that one of its lines, sentences, paragraphs or its whole text resembles most.
 
     Text and templates are normalised to words, and compared by the Dice
     coefficient of their sets of word bigrams. A coefficient of ``dice`` needs

@@ -124,15 +124,16 @@ def _values(rows: list[tuple[str, str]]) -> str:
 OP1_SQL = f"""
     WITH templates(template, licence, wording) AS (VALUES {_values(TEMPLATES)}),
     pieces AS (SELECT doc_id, unnest(list_concat([text], CASE WHEN len(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) > 1
-                 THEN regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') ELSE [] END, string_split(text, chr(10)))) AS unit
+                 THEN regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') ELSE [] END, string_split(text, chr(10)),
+                 regexp_split_to_array(text, '[.!?]+[ \\t\\r\\n]+'))) AS unit
                FROM documents WHERE text <> ''),
     normal AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM pieces),
     known AS (SELECT template, licence, string_split(trim(regexp_replace(lower(wording), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM templates),
     sides AS (SELECT template, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM known),
     units AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a
-              FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM normal) WHERE len(w) BETWEEN 2 AND 200),
+              FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM normal) WHERE len(w) >= 2),
     scored AS (SELECT doc_id, unit, licence, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM units, sides
-               WHERE list_has_any(a, b))
+               WHERE 2 * least(len(a), len(b)) >= {DICE} * (len(a) + len(b)) AND list_has_any(a, b))
     SELECT doc_id, licence, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM (
         SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) = 1) GROUP BY ALL"""
 
