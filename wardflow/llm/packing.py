@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ REMEMBERED = 600_000
 #: Bytes of text whose words are held at a time.
 TEXT_BYTES = 1 << 20
 ROW_BLOCK = 50_000
-#: Pivots without progress, for each class, after which the linear program is taken as it is.
-STALLED = 2
+#: The search ends when the program's value falls by less than the gap over so many pivots.
+TAIL = 200
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -160,14 +161,18 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     basis if it is worth more than the one sequence it costs. The program's
     value divided by that worth bounds the optimum from below, as does the
     total length. The search ends at a small gap to the bound, when no pattern
-    is worth more than it costs, or when the basis goes round without progress.
+    is worth more than it costs, or when the last ``TAIL`` pivots have gained less than the gap.
     """
     basis = starting_patterns(sizes, demand, capacity)
     inverse = np.linalg.inv(basis)
     amounts = np.maximum(inverse @ demand, 0)
     bound = float(sizes @ demand) / capacity
-    step, idle = 0, 0
-    while amounts.sum() > bound * (1 + gap) and idle <= STALLED * len(sizes):
+    step, earlier = 0, math.inf
+    while amounts.sum() > bound * (1 + gap):
+        if step % TAIL == 0:
+            if earlier - amounts.sum() <= max(gap, 1e-9) * amounts.sum():
+                break
+            earlier = amounts.sum()
         step += 1
         prices = inverse.sum(0)  # every sequence costs one
         worth, pattern = price_pattern(np.maximum(prices, 0), sizes, capacity)
@@ -180,7 +185,6 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         leaving = int(ratio.argmin())
         basis[:, leaving] = pattern
         least = ratio[leaving]
-        idle = 0 if least * (worth - 1) > 1e-12 * amounts.sum() else idle + 1
         amounts = np.maximum(amounts - least * direction, 0)
         amounts[leaving] = least
         row = inverse[leaving] / direction[leaving]
