@@ -197,6 +197,28 @@ def test_booking_verdicts_in_order(spark):
     assert [got[i] for i in range(len(asked))] == [a[0] for a in asked]
 
 
+def test_no_array_of_a_request_goes_through_a_join(spark):
+    """Minute profiles and windows become a number or a flag before the requests are shuffled again."""
+    kinds = "request_id long, doctor_id long, patient_id long, specialty string, appointment_date date, start_minute int, duration_minutes int, room_id long"
+    dims = dict(
+        doctors=spark.createDataFrame([(1, 1, True)], "doctor_id long, clinic_id long, is_active boolean"),
+        patients=spark.createDataFrame([(1,)], "patient_id long"), clinics=clinic(spark), rooms=spark.createDataFrame([(1, 1)], "room_id long, capacity int"),
+        bridge=spark.createDataFrame([(1, "a")], "doctor_id long, specialty string"), availability=availability(spark),
+        specialties=spark.createDataFrame([("a", 30)], "specialty string, default_duration_minutes int"), as_of=DAY,
+    )
+    asked = spark.createDataFrame([(1, 1, 1, "a", DAY, 560, 20, 1)], kinds)
+    plan = quality.booking_verdicts(asked, visits(spark, [(1, 1, 540, 570)]), **dims)._jdf.queryExecution().optimizedPlan()
+    carried, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        waiting += children
+        if node.nodeName() == "Join":
+            columns = [children[0].output().apply(i) for i in range(children[0].output().size())]
+            carried.append([c.name() for c in columns if c.dataType().typeName() == "array"])
+    assert len(carried) >= 8 and not any(carried)
+
+
 def test_compressed_day_keeps_the_longest_visit(spark):
     asked = requests(spark, [(1, 480, 30, "routine", 0.0), (2, 700, 60, "routine", 0.0), (3, 780, 30, "routine", 0.0)])
     got = {r["visit_id"]: (r["compressed_start_minute"], r["compressed_window_end"]) for r in intervals.compress_day(windows(spark), asked, 0.1).collect()}

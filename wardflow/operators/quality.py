@@ -123,16 +123,9 @@ def booking_verdicts(
     rows = rows.withColumn("_length", F.coalesce("duration_minutes", "_default")).withColumn(
         "_end", F.col("start_minute") + F.col("_length")
     )
-    rows = intervals.with_day_windows(rows, availability)
-    by_doctor = intervals.day_profile(live, ["doctor_id", day]).withColumnRenamed("profile", "_busy")
-    by_room = intervals.day_profile(live.filter(F.col("room_id").isNotNull()), ["room_id", day]).withColumnRenamed(
-        "profile", "_room_busy"
-    )
-    rows = rows.join(by_doctor, ["doctor_id", day], "left").join(by_room, ["room_id", day], "left")
-    in_room = intervals.overlap_count("_room_busy", "start_minute", "_end")
-    with_doctor = intervals.overlap_count("_busy", "start_minute", "_end")
     has_room = F.col("room_id").isNotNull()
-    verdict = (
+    rows = intervals.with_day_windows(rows, availability)
+    before_occupancy = (
         F.when(F.col(day) < F.lit(as_of), "past_date")
         .when(F.col("_doctor_active").isNull(), "unknown_doctor")
         .when(F.col("_length").isNull(), "unknown_specialty")
@@ -145,10 +138,16 @@ def booking_verdicts(
         .when(F.col("_holds").isNull(), "specialty_mismatch")
         .when(~intervals.inside_one_window("windows", "start_minute", "_end"), "doctor_unavailable")
         .when(has_room & F.col("_capacity").isNull(), "unknown_room")
-        .when(has_room & (in_room >= F.col("_capacity")), "room_full")
-        .when(with_doctor > 0, "slot_taken")
-        .otherwise("ok")
     )
+    rows = rows.select(*requests.columns, "_end", "_capacity", before_occupancy.alias("_refused"))
+    # A profile becomes a number for the rows that need it as soon as it is there: no array goes through the next shuffle.
+    for name, frame, resource in (("_in_room", live.filter(F.col("room_id").isNotNull()), "room_id"), ("_with_doctor", live, "doctor_id")):
+        profile = intervals.day_profile(frame, [resource, day])
+        counted = F.when(F.col("_refused").isNull(), intervals.overlap_count("profile", "start_minute", "_end"))
+        rows = rows.join(profile, [resource, day], "left").withColumn(name, counted).drop("profile")
+        if name == "_in_room":
+            rows = rows.withColumn("_refused", F.when(has_room & (F.col(name) >= F.col("_capacity")), "room_full").otherwise(F.col("_refused")))
+    verdict = F.coalesce("_refused", F.when(F.col("_with_doctor") > 0, "slot_taken").otherwise("ok"))
     return rows.select(*requests.columns, verdict.alias("verdict"))
 
 
