@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from wardflow.operators import booking
 from wardflow.operators.booking import book_batch
 
 MONDAY = dt.date(2024, 3, 4)
@@ -88,3 +89,16 @@ def test_the_second_request_for_a_slot_is_refused_and_an_empty_batch_has_no_verd
     got = {r["request_id"]: r["verdict"] for r in book_batch(frame, visits, **context(spark)).collect()}
     assert got == {1: "ok", 2: "slot_taken", 3: "slot_taken", 4: "ok", 5: "slot_taken", 6: "ok", 7: "only_scheduled_can_move"}
     assert book_batch(frame.filter("false"), visits, **context(spark)).collect() == []
+
+
+def test_requests_that_cannot_be_accepted_are_not_waited_for(spark, monkeypatch):
+    """A crowd that asks for the same hour takes a few rounds, not one each, and is told the same reasons."""
+    pick, rounds, plain = random.Random(8), [], booking._round
+    monkeypatch.setattr(booking, "_round", lambda *a: rounds.append(1) or plain(*a))
+    visits = [(i, i % 3, 0, i % 3, "x", MONDAY, 600 + 10 * i, 630 + 10 * i, 30, "scheduled") for i in range(6)]
+    requests = [(i, pick.randrange(3), 1, "x", MONDAY, pick.choice((480, 490, 500, 600, 610, 640)), 30, pick.choice((0, 1, 2)), pick.choice((None, None, pick.randrange(6))))
+                for i in range(120)]
+    got = book_batch(spark.createDataFrame(requests, REQUEST), spark.createDataFrame(visits, VISIT), **context(spark))
+    want = one_at_a_time(requests, visits)
+    assert {r["request_id"]: r["verdict"] for r in got.collect()} == want
+    assert {"ok", "slot_taken", "room_full", "only_scheduled_can_move"} <= set(want.values()) and len(rounds) <= 12
