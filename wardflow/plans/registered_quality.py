@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardflow.operators import operations as ops, quality
 from wardflow.plans.catalog import register, with_views
+from wardflow.session import stored
 from wardflow.sources import tables as T
 
 
@@ -152,7 +153,8 @@ GATE_SQL = f"""
     with_views("past", f"SELECT name, passed, round(CAST(value AS DOUBLE), 7) AS value FROM ({GATE_SQL})", **GATE_VIEWS),
 )
 def structure_gate(spark, folder):
-    past, every = T.past_and_all(T.bookings(spark, folder), dt.date(2001, 1, 1))
+    bookings = stored(T.bookings(spark, folder))  # read by three aggregates and, for the days that split a history, once more
+    past, every = T.past_and_all(bookings, dt.date(2001, 1, 1))
     gate = quality.structure_gate(
         past, every, {"evening_specialty": "PROMO", "morning_specialty": "LARGE"}, order=("start_minute", "no_show")
     )
