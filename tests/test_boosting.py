@@ -88,3 +88,17 @@ def test_edges_are_the_values_if_they_are_few_and_percentiles_else(spark):
     few, many, none = bin_edges(frame, ["few", "many", "none"])
     assert few.tolist() == list(range(8)) and none.tolist() == []
     assert 240 <= len(many) <= 254 and np.abs(np.diff(many) - 20_000 / 255).max() < 60
+
+
+def test_a_level_is_one_job(spark):
+    """Three levels and the two passes for the medians: five jobs a tree."""
+    frame = spark.range(400).select(F.pmod(F.hash("id"), F.lit(40)).cast("double").alias("a")).withColumn("y", F.col("a") + F.pmod(F.hash("a"), F.lit(5)))
+
+    def jobs(trees):
+        spark.sparkContext.setJobGroup(f"fit-{trees}", "")
+        assert len(fit_boosted(frame, ["a"], "y", "absolute", params={**SETTINGS, "maxIter": trees}).trees) == trees
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{trees}"))
+
+    few, more = jobs(1), jobs(5)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert more - few <= 4 * 5

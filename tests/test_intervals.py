@@ -250,3 +250,24 @@ def test_prior_totals_across_id_blocks(spark):
     frame = frame.withColumn("block", F.shiftright("id", 20))
     got = [r["before"] for r in prior_totals(frame, ["k"], ["block"], ["id"], {"before": F.col("v")}).orderBy("id").collect()]
     assert got == [sum(j % 3 for j in range(i)) for i in range(100)]
+
+
+def test_entries_bring_what_their_requests_asked_for(spark):
+    """A sweep of loads joins entries with requests only where a visit asks more than once; both ways give the same scores."""
+    rows = [(1, 480, 30, "routine", 0.1), (2, 500, 60, "urgent", 0.2), (3, 780, 30, "routine", 0.3)]
+    asked, kept = requests(spark, rows), []
+
+    def plan(frame, keep):
+        kept.append(keep)
+        placed = [frame.select(F.lit(i).cast("long").alias("schedule_id"), "clinic_id", "appointment_date", "visit_id", "doctor_id", start.cast("int").alias("start_minute"),
+                               (start + F.col("duration_minutes")).cast("int").alias("end_minute"), "duration_minutes", "no_show_probability", *keep)
+                  for i, start in ((1, F.col("requested_start_minute") + 15), (2, F.col("requested_start_minute")))]
+        return placed[0].unionByName(placed[1])
+
+    sweep = lambda frame: schedule.load_sweep(frame, windows(spark), clinic(spark), plan, 1, 2, factors=[1.0, 0.5]).orderBy("factor").collect()
+    assert len(sweep(asked)) == 2 and len(sweep(asked.unionByName(asked))) == 2
+    assert [len(k) for k in kept] == [3, 1]
+    squeezed, _ = schedule.compressed_loads(asked, windows(spark), [1.0, 0.5])
+    of = lambda keep: schedule.doctor_scores(plan(squeezed, keep), squeezed, windows(spark).withColumn("factor", F.lit(1.0)), clinic(spark), ["factor"])
+    once, joined = of(("factor", "requested_start_minute", "urgency")), of(("factor",))
+    assert sorted(once.select(joined.columns).collect()) == sorted(joined.collect())

@@ -135,3 +135,21 @@ def test_sinks(spark, tmp_path):
     assert {r["model_version"] for r in spark.read.parquet(folder).collect()} == {"v1", "v2"} and spark.read.parquet(folder).count() == 2
     with pytest.raises(ValueError, match="not unique"):
         sinks.write_forecast(cells.union(cells), folder, "v3")
+
+
+def test_bookings_are_joined_once(spark, tmp_path):
+    """Training and test rows are read from stored bookings, not from the joined tables again."""
+    from wardflow.plans import registered_models
+
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(20)]
+    tables = {
+        "part": ([(1, "a"), (2, "b")], "p_partkey long, p_type string"),
+        "orders": ([(i, i % 3, days[i % 5], "1-URGENT") for i in range(20)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": ([(i, 1 + i % 2, 1, 1, 10.0, "RA"[i % 2], d) for i, d in enumerate(days)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp"),
+    }
+    for name, (rows, kinds) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    train, test = registered_models._holdout(spark, str(tmp_path))
+    assert train.count() == 16 and test.count() == 4
+    assert not any("lineitem" in f or "orders" in f for frame in (train, test) for f in frame.inputFiles())

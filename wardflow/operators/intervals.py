@@ -302,9 +302,12 @@ def compressed_end(start, end, factor, longest) -> Column:
     return F.least(end, start + F.greatest(F.floor((end - start) * factor).cast("int"), X.col(longest)))
 
 
-def compress_day(windows: DataFrame, requests: DataFrame, factor: float | Column, grid: int = X.GRID_MINUTES) -> DataFrame:
+def compress_day(windows: DataFrame, requests: DataFrame, factor: float | Column, grid: int = X.GRID_MINUTES,
+                 factors: Column | None = None) -> DataFrame:
     """Squeeze each working window to ``factor`` (which may be a column of the requests) and remap the requested times.
 
+    With ``factors``, a generator, each request is repeated with its values as the column ``factor``, after what it needs was looked up.
+
     Windows never become shorter than the longest visit of the clinic-day; each
     request keeps its relative position, floored to the grid.
     """
@@ -318,7 +321,9 @@ def compress_day(windows: DataFrame, requests: DataFrame, factor: float | Column
     holder = F.get(
         F.filter("_windows", lambda w: (w["start_minute"] <= asked) & (asked < w["end_minute"])), F.lit(0)
     )
-    staged = joined.withColumn("_w", holder)
+    staged = joined.withColumn("_w", holder).drop("_windows")
+    if factors is not None:
+        staged = staged.withColumn("factor", factors)
     o_start, o_end = F.col("_w.start_minute"), F.col("_w.end_minute")
     staged = staged.withColumn("_c_end", compressed_end(o_start, o_end, F.lit(factor), "_longest"))
     position = (asked - o_start) / F.greatest(o_end - o_start, F.lit(1))
@@ -326,6 +331,7 @@ def compress_day(windows: DataFrame, requests: DataFrame, factor: float | Column
     target = o_start + position * room
     return staged.select(
         *requests.columns,
+        *["factor"] * (factors is not None),
         F.coalesce(X.grid_down(target, grid), asked).alias("compressed_start_minute"),
         F.col("_c_end").alias("compressed_window_end"),
     )

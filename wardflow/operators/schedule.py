@@ -56,8 +56,12 @@ def shared_slot_members(entries: DataFrame) -> DataFrame:
 
 
 def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, clinics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All score terms per (schedule, doctor). ``by`` are further keys of all three tables, such as a load."""
+    """All score terms per (schedule, doctor). ``by`` are further keys of all three tables, such as a load.
+
+    Entries that bring ``requested_start_minute`` and ``urgency`` are not joined with their requests.
+    """
     by = list(by)
+    brought = ["requested_start_minute", "urgency"]
     asked = requests.select(
         "visit_id",
         *by,
@@ -67,7 +71,11 @@ def doctor_scores(entries: DataFrame, requests: DataFrame, windows: DataFrame, c
         "no_show_probability",
     )
     placed = entries.select(*SCHEDULE, *by, "visit_id", "doctor_id", "start_minute", "end_minute")
-    rows = placed.join(asked, ["visit_id", *by], "left").join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
+    if set(brought) <= set(entries.columns):
+        rows = entries.select(*placed.columns, *brought, F.col("duration_minutes").alias("_length"), "no_show_probability")
+    else:
+        rows = placed.join(asked, ["visit_id", *by], "left")
+    rows = rows.join(clinics.select("clinic_id", "close_minute"), "clinic_id", "left")
     known = F.col("requested_start_minute").isNotNull()
     delay = F.when(known, F.greatest(F.col("start_minute") - F.col("requested_start_minute"), F.lit(0)))
     risk = F.when(known, F.col("no_show_probability") * F.col("_length")).otherwise(F.lit(0.0))
@@ -287,7 +295,7 @@ def compressed_loads(requests: DataFrame, windows: DataFrame, factors: Sequence[
     Demand keeps its shape and order while the working windows get shorter.
     """
     exploded = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
-    asked = intervals.compress_day(windows, requests.withColumn("factor", exploded), F.col("factor"))
+    asked = intervals.compress_day(windows, requests, F.col("factor"), factors=exploded)
     asked = asked.drop("requested_start_minute", "compressed_window_end").withColumnRenamed("compressed_start_minute", "requested_start_minute")
     longest = requests.groupBy(*DAY).agg(F.max("duration_minutes").alias("_longest"))
     of_doctor = requests.select("doctor_id", *DAY).distinct().join(longest, DAY).groupBy("doctor_id", "appointment_date").agg(F.max("_longest").alias("_longest"))
@@ -299,11 +307,13 @@ def load_sweep(requests: DataFrame, windows: DataFrame, clinics: DataFrame, plan
                factors: Sequence[float] = LOAD_FACTORS, minimum_days: int = 5) -> DataFrame:
     """Improvement of a schedule over another at every load, with the load as mean utilisation.
 
-    ``plan(requests)`` gives the entries of both schedules. All loads and both
-    schedules are scored in one pass and compared in one aggregate.
+    ``plan(requests, keep)`` gives the entries of both schedules with further columns of the
+    requests. All loads and both schedules are scored in one pass and compared in one
+    aggregate. If every visit asks once, an entry brings what its request asked for.
     """
     asked, squeezed = compressed_loads(requests, windows, factors)
-    entries = plan(asked)
+    unclear = requests.groupBy("visit_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR visit_id IS NULL")
+    entries = plan(asked, ("factor", "requested_start_minute", "urgency") if unclear.isEmpty() else ("factor",))
     scores = score_schedule(entries, asked, squeezed, clinics, by=["factor"])
     rollup = improvement_rollup(compare_within(scores, baseline, candidate, ["factor"]), ["factor"], minimum_days=minimum_days)
     keys = ["factor", "doctor_id", "appointment_date"]

@@ -243,7 +243,7 @@ def _load_views() -> dict[str, str]:
 def improvement_by_load(spark, folder):
     """Days squeezed to every load factor: windows and requested times compressed, both schedules scored again and compared."""
     _, requests, windows, clinics = _schedule(spark, folder, 1, 4)
-    plan = lambda asked: T.schedule_plans(asked, {1: 4, 2: 3}, keep=("factor",))
+    plan = lambda asked, keep: T.schedule_plans(asked, {1: 4, 2: 3}, keep=keep)
     return schedule.load_sweep(requests, windows, clinics, plan, 1, 2)
 
 
