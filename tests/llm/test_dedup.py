@@ -131,6 +131,23 @@ def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, pairs_a_row,
     assert 20 < len(set(want.values())) < len(want) - 20
 
 
+def test_common_shingles_come_last_by_frequency():
+    often, order = np.array([2, 5, 7], np.uint64), np.array([2, 0, 1])
+    assert near.prefix(np.arange(1, 11, dtype=np.uint64), (often, order), 0.8).tolist() == [1, 3, 4]
+    assert near.prefix(often, (often, order), 0.8).tolist() == [5]
+
+
+def test_sets_of_other_sizes_do_not_meet(spark):
+    """A shingle of 100 sets of two sizes holds the pairs of equal sizes only, and none once these are components."""
+    rows = [(1, i, 10 if i % 2 else 1000, 0, i) for i in range(100)] + [(2, 1000, 10, 2, 1000), (2, 1001, 10, 2, 1001)]
+    labelled = spark.createDataFrame(rows, "h long, node long, n int, place int, root long")
+    assert sum(r["pairs"] for r in near._crossing(near._binned(labelled, 0.8)).collect()) == 2 * 50 * 49
+    assert near._crossing(near._binned(labelled.withColumn("root", F.col("n")), 0.8)).isEmpty()
+    close = spark.createDataFrame([(1, i, n, 0, i) for i, n in enumerate([8, 10, 100, 125, 126])], labelled.schema)
+    x, y = (near._binned(close, 0.8).filter(side).select("h", "bin", F.col("n").alias(name)) for side, name in (("small", "x"), ("NOT small", "y")))
+    assert {(8, 10), (100, 125)} <= {(r["x"], r["y"]) for r in x.join(y, ["h", "bin"]).collect()}
+
+
 def test_near_stage_keeps_one_of_a_component(spark):
     docs = near_documents()
     table = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], SCHEMA)

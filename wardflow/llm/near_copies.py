@@ -23,9 +23,11 @@ from wardflow.llm.simhash_dedup import ball_links
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 HASH_SEED = 42
-#: Documents looked at for shingles that are common, in how many of them a common one is, and how many are put last in the order. This leaves none out.
+#: Documents looked at for shingles that are common: at least so many, and one in so many. In how many of them a common one is, and how many are put last in the order.
+#: This leaves none out. A share of the documents, so that what is not common is in as few of them whatever the table's size.
 SAMPLE_DOCS = 4000
-COMMON_DOCS = 4
+SAMPLE_WAYS = 16
+COMMON_DOCS = 2
 COMMON_SHINGLES = 500_000
 #: Pairs listed for each row of a shared shingle before stars are tried first, and stars tried at most.
 PAIRS_A_ROW = 4
@@ -53,17 +55,19 @@ def shingle_set(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, common ones last: two sets that are similar enough have one of them in common.
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, common ones last and the most common ones at the end: two sets that are similar enough have one of them in common.
 
     Of n shingles at least similarity * n are shared with a similar set, so
     one of the first n - similarity * n + 1 in any order that holds for all sets is.
     """
     keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
-    if len(common) and len(hashes):
-        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        is_common = common[place] == hashes
-        hashes = np.concatenate((hashes[~is_common], hashes[is_common]))
+    often, order = common
+    if len(often) and len(hashes):
+        place = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        is_common = often[place] == hashes
+        last = hashes[is_common][np.argsort(order[place[is_common]])]
+        hashes = np.concatenate((hashes[~is_common], last))
     return hashes[:keep]
 
 
@@ -125,14 +129,21 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(cut, "node long, hashes array<long>")
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of several documents of a sample; they come last in the order of shingles, the rest keeps the order of hashes."""
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents of a sample, ascending, and their places in an order by how many they are in.
+
+    They come last in the order of shingles, the rest keeps the order of hashes.
+    """
     n = docs.count()
-    ways = max(1, n // SAMPLE_DOCS)
+    ways = min(max(1, n // SAMPLE_DOCS), SAMPLE_WAYS)
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ways)) == 0)
     often = _sets(some, width).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_DOCS)
-    first = often.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES)
-    return np.sort(np.array([r["h"] for r in first.select("h").collect()], np.int64).view(np.uint64))
+    first = often.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
+    hashes, counts = first["h"].to_numpy().astype(np.int64).view(np.uint64), first["n"].to_numpy()
+    order = np.empty(len(hashes), np.int64)
+    order[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+    ascending = np.argsort(hashes)
+    return hashes[ascending], order[ascending]
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
@@ -192,11 +203,29 @@ def _labelled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return stored(shared.join(names, "node", "left").select(*shared.columns, F.coalesce("_root", "node").alias("root")))
 
 
-def _crossing(labelled: DataFrame) -> int:
-    """Pairs that share a shingle and are not in one component yet."""
-    sizes = labelled.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h")
-    of_shingle = sizes.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("x"))
-    return (of_shingle.agg(F.sum("x")).first()[0] or 0) // 2
+def _binned(labelled: DataFrame, similarity: float) -> DataFrame:
+    """The rows by classes of sizes, ``bin``: as the smaller set of a pair (``small``) in the class of the own size, as the larger one in every class of a partner.
+
+    Where two similar sets first share a shingle, the rest of either holds all
+    that can be shared. That bounds the places of the smaller set and the
+    sizes that a partner of the larger one can have; the larger one is at most
+    1 / similarity times as large.
+    """
+    step = math.log(max(1 / similarity, 1.01))
+    n, left = F.col("n"), F.col("n") - F.col("place")
+    small = labelled.filter(left >= F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9))
+    low = F.floor(F.log(n * similarity) / step - 1e-6)
+    most = F.least(n.cast("double"), left * ((1 + similarity) / similarity) - n)
+    high = F.greatest(low, F.floor(F.log(most) / step + 1e-6))
+    large = labelled.withColumn("bin", F.explode(F.sequence(low, high))).withColumn("small", F.lit(False))
+    return small.withColumn("bin", F.floor(F.log(n) / step)).withColumn("small", F.lit(True)).unionByName(large)
+
+
+def _crossing(binned: DataFrame) -> DataFrame:
+    """``h, bin, pairs``: the classes that hold pairs of two components, and at most how many."""
+    of_root = binned.groupBy("h", "bin", "root").agg(F.count_if("small").alias("i"), F.count_if(~F.col("small")).alias("j"))
+    pairs = F.sum("i") * F.sum("j") - F.sum(F.col("i") * F.col("j"))
+    return stored(of_root.groupBy("h", "bin").agg(pairs.alias("pairs")).filter("pairs > 0"))
 
 
 class _Verifier:
@@ -280,40 +309,42 @@ def near_links(docs: DataFrame, width: int, similarity: float, marked: DataFrame
 
     The pairs that SimHash proposes are compared first. Of the pairs that share
     a shingle of their prefixes, those inside one component need no comparison.
-    Where many are left, the nodes of a shingle are compared with one of them
-    alone, in turn by several orders; then all pairs that still cross
-    components are. Sizes, places and parities, which lose no similar pair,
-    rule pairs out before any set is read.
+    They meet by classes of sizes, and a class whose rows are all of one
+    component is left out from then on. Where many are left, the nodes of a
+    class are compared with one of them alone, in turn by several orders; then
+    all pairs that still cross components are. Sizes, places and parities,
+    which lose no similar pair, rule pairs out before any set is read.
     """
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "print", *BITS, "longer")]))
     verifier = _Verifier(docs, width, similarity, nodes)
     links = verifier.similar(verifier.possible(simhash_pairs(nodes)))
     shared = _shared(docs, width, similarity)
     rows = shared.count()
-    labelled = _labelled(shared, connected(links))
-    left = _crossing(labelled)
-    for turn in range(STARS):
-        if left <= PAIRS_A_ROW * rows:
+    labelled, before = _labelled(shared, connected(links)), None
+    binned = _binned(labelled, similarity)
+    for turn in range(STARS + 1):
+        crossing = _crossing(binned)
+        left = crossing.agg(F.sum("pairs")).first()[0] or 0
+        rest = stored(binned.join(crossing.select("h", "bin"), ["h", "bin"]))
+        forget(crossing), forget(labelled)
+        if left <= PAIRS_A_ROW * rows or turn == STARS or (before is not None and left > 0.9 * before):
             break
-        centre = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "root")).alias("centre"))
-        star = labelled.join(centre, "h").filter("root <> centre.root").filter(F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n") - 1e-9)
+        centre = rest.groupBy("h", "bin").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "root")).alias("centre"))
+        star = rest.join(centre, ["h", "bin"]).filter("root <> centre.root").filter(F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n") - 1e-9)
         links = links.union(verifier.similar(verifier.possible(star.select(F.col("node").alias("a"), F.col("centre.node").alias("b")))))
-        before, last = left, labelled
-        labelled = _labelled(shared, connected(links))
-        forget(last)
-        left = _crossing(labelled)
-        if left > 0.9 * before:
-            break
+        before, binned = left, _labelled(rest.drop("root"), connected(links))
+        forget(rest)
+        labelled = binned
     # A pair is met at the first shingle it shares, where the rest of either set holds all that can be shared.
-    crossing = labelled.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("h")
-    rest = labelled.join(crossing, "h").join(nodes.select("node", *BITS), "node")
-    x, y = (rest.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "place", "root", *BITS)]) for side in "xy")
+    rest = rest.join(nodes.select("node", *BITS), "node")
+    x, y = (rest.filter(F.col("small") == (side == "x")).select("h", "bin", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "place", "root", *BITS)]) for side in "xy")
     met = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= verifier.least(F.col("x_n"), F.col("y_n"))
-    pairs = x.join(y, "h").filter("x_node < y_node AND x_root <> y_root").filter(met & verifier.may_be("x_", "y_"))
-    found = verifier.similar(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    once = "(x_n < y_n OR (x_n = y_n AND x_node < y_node)) AND x_root <> y_root"
+    pairs = x.join(y, ["h", "bin"]).filter(once).filter(met & verifier.may_be("x_", "y_"))
+    found = verifier.similar(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
     links = stored(links.union(found))
     verifier.close()
-    forget(labelled), forget(shared), forget(nodes)
+    forget(shared), forget(nodes)
     return links
 
 
