@@ -129,19 +129,19 @@ def _calibrate(base: Base, held_out: DataFrame, names: list[str]) -> IsotonicReg
 
 def fit_no_show(train: DataFrame, *, estimator: str = "logistic_regression", names: list[str] | None = None,
                 calibrate: bool = True, seed: int = SEED, params: dict | None = None, day: str = DAY) -> NoShowModel:
-    """Fit on a feature table that keeps ``day``. Calibration folds are contiguous in time."""
+    """Fit on a feature table that keeps ``day``. It is read many times, and should be stored. Calibration folds are contiguous in time."""
     names = list(names or FT.NO_SHOW_FEATURES)
     n, positives = train.agg(F.count(F.lit(1)), F.sum("label")).first()
     if calibrate and not 0 < (positives or 0) < n:
         raise ValueError("calibration needs visits with and without a no-show: ask for calibrate=False")
     if not calibrate:
         return NoShowModel(estimator, names, [(_fit_base(estimator, train, names, seed, params), None)], params or {})
-    blocks = splits.time_series_blocks(train, day, n_splits=CALIBRATION_FOLDS - 1).select(day, "block")
-    tagged = stored(train.join(blocks, day))
+    dates = splits.block_dates(train, day, n_splits=CALIBRATION_FOLDS - 1)
 
     def part(i: int):
-        base = _fit_base(estimator, tagged.filter(F.col("block") != i), names, seed, params)
-        return base, _calibrate(base, tagged.filter(F.col("block") == i), names)
+        inside = F.col(day).between(*dates[i]) if i in dates else F.lit(False)
+        base = _fit_base(estimator, train.filter(~inside & F.col(day).isNotNull()), names, seed, params)
+        return base, _calibrate(base, train.filter(inside), names)
 
     return NoShowModel(estimator, names, concurrently(train.sparkSession, (lambda i=i: part(i) for i in range(CALIBRATION_FOLDS))), params or {})
 
