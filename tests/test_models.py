@@ -167,9 +167,11 @@ def test_calibration_folds_are_dates_and_copy_no_rows(spark, table, monkeypatch)
     assert len(models.fit_no_show(table).parts) == 3
 
 
-def test_scores_are_stored(spark, table):
-    """Measures read two columns."""
+def test_scores_and_grid_are_stored(spark, table):
+    """Measures read two columns, and every use of the grid reads its cells, not the events."""
     from wardflow.plans import registered_models
 
     scored = registered_models._scored(models.fit_no_show(table, calibrate=False), table)
     assert scored.columns == ["label", "score"] and all("/table-" in f for f in scored.inputFiles()) and scored.count() == table.count()
+    grid = registered_models._grid(spark, FOLDER)
+    assert grid.count() > 0 and not any("events" in f for f in grid.inputFiles())

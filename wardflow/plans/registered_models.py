@@ -41,6 +41,11 @@ def _scored(model, test):
     return stored(model.transform(test).select("label", "score"))
 
 
+def _grid(spark, folder):
+    """The demand grid, a calendar's worth of cells, counted once and stored."""
+    return stored(demand.demand_grid(T.visits(spark, folder)))
+
+
 @register("no_show_logistic_scores")
 def no_show_logistic_scores(spark, folder):
     train, test = _holdout(spark, folder)
@@ -70,7 +75,7 @@ def no_show_feature_importance(spark, folder):
 
 @register("demand_poisson_metrics")
 def demand_poisson_metrics(spark, folder):
-    grid = demand.demand_grid(T.visits(spark, folder))
+    grid = _grid(spark, folder)
     codes = FT.category_codes(grid)
     train, test = splits.final_holdout(grid)
     profile = demand.demand_profile(train)
@@ -81,7 +86,7 @@ def demand_poisson_metrics(spark, folder):
 
 @register("demand_boosted_metrics")
 def demand_boosted_metrics(spark, folder):
-    grid = demand.demand_grid(T.visits(spark, folder))
+    grid = _grid(spark, folder)
     codes = FT.category_codes(grid)
     train, test = splits.final_holdout(grid)
     profile = demand.demand_profile(train)
@@ -174,7 +179,7 @@ def calibrator_facts(spark, folder):
 )
 def demand_score_equations(spark, folder):
     """At the optimum of the Poisson fit, expected and observed visits agree on weekends and on weekdays."""
-    grid = demand.demand_grid(T.visits(spark, folder))
+    grid = _grid(spark, folder)
     rows = stored(FT.demand_features(grid, None, FT.category_codes(grid)))
     scored = models.fit_demand(rows, strategy="poisson").transform(rows)
     sums = scored.groupBy((F.col("is_weekend") == 1).alias("is_weekend")).agg(
@@ -204,7 +209,7 @@ def importance_facts(spark, folder):
 )
 def fitted_demand_forecast(spark, folder):
     """Two weeks after the data, forecast by a fitted model, written as a model version, read back and checked."""
-    grid = demand.demand_grid(T.visits(spark, folder))
+    grid = _grid(spark, folder)
     codes, profile = FT.category_codes(grid), demand.demand_profile(grid)
     model = models.fit_demand(stored(FT.demand_features(grid, profile, codes)), strategy="poisson")
     last = grid.agg(F.max("appointment_date")).first()[0]
@@ -287,7 +292,7 @@ def no_show_root_split(spark, folder):
 @register("demand_root_split", _split_sql("grid", "appointment_date < cutoff", DEMAND_SMALL, "count", "start - y", "start", 100, "hour_of_day"))
 def demand_root_split(spark, folder):
     """Poisson loss: the first split of the boosted demand model and the Newton steps of its sides."""
-    grid = demand.demand_grid(T.visits(spark, folder))
+    grid = _grid(spark, folder)
     rows = FT.demand_features(splits.final_holdout(grid)[0], None, FT.category_codes(grid))
     return _root_split(spark, rows, DEMAND_SMALL, "count", "poisson", 100)
 
