@@ -175,3 +175,29 @@ def test_scores_and_grid_are_stored(spark, table):
     assert scored.columns == ["label", "score"] and all("/table-" in f for f in scored.inputFiles()) and scored.count() == table.count()
     grid = registered_models._grid(spark, FOLDER)
     assert grid.count() > 0 and not any("events" in f for f in grid.inputFiles())
+
+
+def test_codes_cause_no_shuffle_of_the_rows(spark):
+    """The size of the stored catalogue is known when the join is planned: rows do not go to one task for each specialty."""
+    from wardflow.plans import registered_models
+    from wardflow.session import stored
+
+    frame = stored(spark.range(30000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("specialty"), F.rand(1).alias("x")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        joined = FT._with_codes(frame, registered_models._codes(frame))
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert {(r["specialty"], r["specialty_code"]) for r in joined.select("specialty", "specialty_code").distinct().collect()} == {("s0", 0), ("s1", 1), ("s2", 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_root_split_reads_its_features_from_a_table(spark, monkeypatch):
+    """Edges and cells read the features several times: codes are joined once."""
+    from wardflow.plans import registered_models
+
+    monkeypatch.setattr(registered_models, "_root_split", lambda spark, rows, *rest: rows)
+    rows = registered_models.duration_root_split(spark, FOLDER)
+    assert rows.columns == [*registered_models.DURATION_SMALL, "duration_minutes"] and rows.count() > 0
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()

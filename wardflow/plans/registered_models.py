@@ -21,14 +21,19 @@ from wardflow.sources import sinks, tables as T
 
 
 def _bookings(spark, folder):
-    """The bookings, joined once and stored: codes, cutoff, rate, training rows and outcomes are all read from them."""
-    return stored(T.bookings(spark, folder))
+    """The bookings, joined once and stored: codes, cutoff, rate, training rows and outcomes are all read from them. No model reads the doctor."""
+    return stored(T.bookings(spark, folder).drop("doctor_id"))
+
+
+def _codes(frame):
+    """The catalogue of codes, stored: its size is known when a join is planned, so rows are not shuffled by specialty to meet a few codes."""
+    return stored(FT.category_codes(frame))
 
 
 def _holdout(spark, folder):
     """Feature tables of the last dates and of everything before them."""
     frame = _bookings(spark, folder)
-    codes = FT.category_codes(frame)
+    codes = _codes(frame)
     train, test = splits.final_holdout(frame)
     rate = FT.base_rate(train).first()[0]
     x_train = FT.no_show_features(train, rate, codes=codes, keep=("appointment_date",))
@@ -98,7 +103,7 @@ def demand_boosted_metrics(spark, folder):
 @register("duration_boosted_metrics")
 def duration_boosted_metrics(spark, folder):
     frame = _bookings(spark, folder)
-    codes = FT.category_codes(frame)
+    codes = _codes(frame)
     train, test = splits.final_holdout(frame)
     model = models.fit_duration(stored(FT.duration_features(train, codes=codes)))
     scored = model.transform(FT.duration_features(test, outcomes=frame, codes=codes)).withColumn("label", F.col("duration_minutes"))
@@ -109,7 +114,7 @@ def duration_boosted_metrics(spark, folder):
 def candidate_scores(spark, folder):
     """Cancelled bookings offered again: scored as candidates with history and a flag."""
     frame = _bookings(spark, folder)
-    codes = FT.category_codes(frame)
+    codes = _codes(frame)
     rate = FT.base_rate(frame).first()[0]
     train = stored(FT.no_show_features(frame, rate, codes=codes, keep=("appointment_date",)))
     model = models.fit_no_show(train, calibrate=False)
@@ -301,8 +306,8 @@ def demand_root_split(spark, folder):
 def duration_root_split(spark, folder):
     """Absolute loss: the first split of the boosted duration model and the medians of its sides."""
     frame = _bookings(spark, folder)
-    rows = FT.duration_features(splits.final_holdout(frame)[0], codes=FT.category_codes(frame))
-    return _root_split(spark, rows, DURATION_SMALL, "duration_minutes", "absolute", 40)
+    rows = FT.duration_features(splits.final_holdout(frame)[0], codes=_codes(frame))
+    return _root_split(spark, stored(rows.select(*DURATION_SMALL, "duration_minutes")), DURATION_SMALL, "duration_minutes", "absolute", 40)
 
 
 # --- serving and selection ----------------------------------------------------------------
@@ -313,7 +318,7 @@ def duration_root_split(spark, folder):
 def duration_served(spark, folder):
     """Cancelled bookings offered again get a length from a fitted model, none of them the fallback."""
     frame = _bookings(spark, folder)
-    codes = FT.category_codes(frame)
+    codes = _codes(frame)
     model = models.fit_duration(stored(FT.duration_features(frame, codes=codes)), params={"maxIter": 10})
     again = frame.filter(~X.occupies())
     served = models.predict_duration(again, frame, model, codes=codes, keep=("specialty",))

@@ -67,9 +67,10 @@ def visit_feed(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) ->
 
 # --- bookings from the order tables (booking date, so lead time and history) --
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
+    # Only what a booking needs is joined, days as dates: the joins shuffle every row.
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("_booked"))
     part = table(spark, folder, "part").select("p_partkey", "p_type")
-    items = table(spark, folder, "lineitem")
+    items = table(spark, folder, "lineitem").withColumn("l_shipdate", F.to_date("l_shipdate"))
     return (
         items.join(orders, items.l_orderkey == orders.o_orderkey)
         .join(part, items.l_partkey == part.p_partkey)
@@ -77,7 +78,7 @@ def bookings(spark: SparkSession, folder: str) -> DataFrame:
             F.col("o_custkey").alias("patient_id"),
             F.col("l_suppkey").alias("doctor_id"),
             F.col("p_type").alias("specialty"),
-            F.to_date("l_shipdate").alias("appointment_date"),
+            F.col("l_shipdate").alias("appointment_date"),
             (F.lit(480) + (F.col("l_partkey") + F.col("l_linenumber") * 7) % 44 * 15)
             .cast("int")
             .alias("start_minute"),
@@ -91,7 +92,7 @@ def bookings(spark: SparkSession, folder: str) -> DataFrame:
             .otherwise("routine")
             .alias("urgency"),
             (F.col("l_linenumber") == 1).alias("is_new_patient"),
-            F.to_date("o_orderdate").alias("booked_at"),
+            F.col("_booked").alias("booked_at"),
         )
     )
 
