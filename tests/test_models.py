@@ -201,3 +201,19 @@ def test_root_split_reads_its_features_from_a_table(spark, monkeypatch):
     rows = registered_models.duration_root_split(spark, FOLDER)
     assert rows.columns == [*registered_models.DURATION_SMALL, "duration_minutes"] and rows.count() > 0
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_those_of_the_fitted_pipeline(spark, table):
+    """Scores have the value of the fitted stages, whose inputs are scaled by plain expressions."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = models.fit_no_show(table, calibrate=False)
+    base, names = model.parts[0][0], model.feature_names
+    plain = base.transform(models._ready(table, names)).select(vector_to_array("_probability")[1].alias("p"), "_features")
+    want = sorted(r["p"] for r in plain.collect())
+    assert sorted(r["score"] for r in model.transform(table).collect()) == pytest.approx(want, abs=1e-9)
+    inputs = [list(r["_features"]) for r in plain.collect()]
+    for column in zip(*inputs):
+        mean = sum(column) / len(column)
+        spread = sum((v - mean) ** 2 for v in column) / (len(column) - 1)
+        assert mean == pytest.approx(0, abs=1e-6) and spread == pytest.approx(1, abs=1e-6)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
@@ -96,8 +96,17 @@ def _ready(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({f"_x_{n}": F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names})
 
 
-def _assembler(names: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"_x_{n}" for n in names], outputCol="_features")
+def _assembler(names: list[str], prefix: str = "_x_") -> VectorAssembler:
+    return VectorAssembler(inputCols=[f"{prefix}{n}" for n in names], outputCol="_features")
+
+
+def _scaler(ready: DataFrame, names: list[str]) -> tuple[int, SQLTransformer]:
+    """The number of rows, and a stage that adds the inputs with mean 0 and deviation 1 (a constant one as 0): plain expressions, fitted by one aggregate."""
+    inputs = [F.col(f"_x_{n}") for n in names]
+    found = ready.agg(F.count(F.lit(1)), *[F.avg(c) for c in inputs], *[F.stddev_samp(c) for c in inputs]).first()
+    means, deviations = found[1 : len(names) + 1], found[len(names) + 1 :]
+    scaled = [f"(`_x_{n}` - {m!r}D) / {s!r}D AS `_z_{n}`" if s else f"0D AS `_z_{n}`" for n, m, s in zip(names, means, deviations)]
+    return found[0], SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
 
 
 def _base_score(base: Base, df: DataFrame, names: list[str], name: str) -> DataFrame:
@@ -111,11 +120,12 @@ def _fit_base(kind: str, train: DataFrame, names: list[str], seed: int, params:
     """Standardised logistic regression (C = 1) or boosted trees under log loss."""
     if kind == "gradient_boosting":
         return fit_boosted(train, names, "label", "log", seed=seed, params={**NO_SHOW_PARAMS, **(params or {})})
-    scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
+    ready = _ready(train, names)
+    n, scaler = _scaler(ready, names)
     # an L2 penalty of 1/(2C) on the summed loss is 1/(C n) on the mean loss
-    model = LogisticRegression(featuresCol="_scaled", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class",
-                               maxIter=200, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=[_assembler(names), scaler, model]).fit(_ready(train, names))
+    model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class",
+                               maxIter=200, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
+    return Pipeline(stages=[scaler, _assembler(names, "_z_"), model]).fit(ready)
 
 
 def _calibrate(base: Base, held_out: DataFrame, names: list[str]) -> IsotonicRegressionModel:
