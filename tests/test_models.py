@@ -204,12 +204,13 @@ def test_root_split_reads_its_features_from_a_table(spark, monkeypatch):
 
 
 def test_scores_are_those_of_the_fitted_pipeline(spark, table):
-    """Scores have the value of the fitted stages, whose inputs are scaled by plain expressions."""
+    """The score is an expression of the scaled inputs; it has the value of the fitted stages, and rows are not made vectors of."""
     from pyspark.ml.functions import vector_to_array
 
     model = models.fit_no_show(table, calibrate=False)
     base, names = model.parts[0][0], model.feature_names
     plain = base.transform(models._ready(table, names)).select(vector_to_array("_probability")[1].alias("p"), "_features")
+    assert "UDF" not in model.transform(table)._jdf.queryExecution().optimizedPlan().toString()
     want = sorted(r["p"] for r in plain.collect())
     assert sorted(r["score"] for r in model.transform(table).collect()) == pytest.approx(want, abs=1e-9)
     inputs = [list(r["_features"]) for r in plain.collect()]

@@ -112,8 +112,14 @@ def _scaler(ready: DataFrame, names: list[str]) -> tuple[int, SQLTransformer]:
 def _base_score(base: Base, df: DataFrame, names: list[str], name: str) -> DataFrame:
     if isinstance(base, Boosted):
         return base.transform(df, name)
-    out = base.transform(_ready(df, names))
-    return out.withColumn(name, vector_to_array("_probability")[1]).select(*df.columns, name)
+    if not isinstance(base.stages[0], SQLTransformer):  # saved before scaling was a plain expression
+        out = base.transform(_ready(df, names)).withColumn(name, vector_to_array("_probability")[1])
+    else:  # the probability as an expression of the scaled inputs: no vector is made of a row
+        margin = F.lit(float(base.stages[-1].intercept))
+        for n, weight in zip(names, base.stages[-1].coefficients.toArray()):
+            margin = margin + F.col(f"_z_{n}") * float(weight)
+        out = base.stages[0].transform(_ready(df, names)).withColumn(name, 1.0 / (1.0 + F.exp(-margin)))
+    return out.select(*df.columns, name)
 
 
 def _fit_base(kind: str, train: DataFrame, names: list[str], seed: int, params: dict | None) -> Base:
