@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.contract import require_columns
 from wardflow.functions import scalar as X
@@ -75,12 +75,13 @@ def _with_codes(df: DataFrame, codes: DataFrame | None) -> DataFrame:
 
 
 def no_show_features(visits: DataFrame, rate: float | None = None, *, outcomes: DataFrame | None = None,
-                     codes: DataFrame | None = None, keep: tuple[str, ...] = (), resolved_only: bool = True) -> DataFrame:
+                     codes: DataFrame | None = None, keep: tuple[str, ...] = (), resolved_only: bool = True, closed: Column | None = None) -> DataFrame:
     """17 features and ``label``; unresolved visits are dropped unless scoring.
 
     ``rate`` smooths sparse history and must come from training rows when a test
     set is built. ``outcomes`` is the table history is read from (default: the
     visits themselves); the as-of rule keeps it leakage-safe either way.
+    ``closed`` keeps later outcomes from the rows dated before it, see :func:`history.asof_history`.
     """
     require_columns(visits)
     frame = visits.withColumn("label", X.outcome())
@@ -89,7 +90,7 @@ def no_show_features(visits: DataFrame, rate: float | None = None, *, outcomes:
     rows = frame.filter(F.col("label").isNotNull()) if resolved_only else frame
     if "duration_minutes" not in rows.columns:
         rows = rows.withColumn("duration_minutes", F.lit(None).cast("double"))
-    rows = _with_codes(history.asof_history(rows, known), codes).withColumn("_rate", prior_rate)
+    rows = _with_codes(history.asof_history(rows, known, closed=closed), codes).withColumn("_rate", prior_rate)
     hour, weekday = X.hour_of(), X.weekday0()
     flag = lambda c: c.cast("int")
     derived = {

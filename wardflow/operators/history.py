@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.functions import scalar as X
 from wardflow.operators.running import ID_DIGITS, ID_LEVELS, prior_totals, with_id_digits
@@ -18,6 +18,7 @@ def asof_history(
     query_day: str = "booked_at",
     outcome_day: str = "appointment_date",
     label: str = "label",
+    closed: Column | None = None,
 ) -> DataFrame:
     """Strict as-of join: outcomes dated before the query day.
 
@@ -27,8 +28,16 @@ def asof_history(
     one row per day "all rows before this one" is exactly the strict comparison.
     Without ``outcomes`` the rows themselves have them, and are read once for
     both sides.
+
+    ``closed`` is a date: rows whose own outcome is dated before it see only
+    outcomes dated before it (and none without a date), as if nothing later
+    existed. So training and test rows read one history in one pass.
     """
-    day = F.to_date(query_day)
+    booked = day = F.to_date(query_day)
+    inside = F.lit(False)
+    if closed is not None:
+        inside = F.coalesce(F.to_date(outcome_day) < closed, F.lit(False))
+        day = F.when(inside & (booked > closed), closed).otherwise(booked)
     asked = F.struct(day.alias("_day"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_k"), F.lit(True).alias("_asked"))
     seen = F.struct(
         F.to_date(outcome_day).alias("_day"), F.lit(1).alias("_n"), F.col(label).cast("long").alias("_k"), F.lit(False).alias("_asked")
@@ -43,18 +52,22 @@ def asof_history(
         F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.bool_or("_asked").alias("_asked")
     )
     before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = {"prior_n": F.col("_n"), "prior_k": F.col("_k")}
+    if closed is not None:
+        counts |= {f"_undated{c}": F.when(F.col("_day").isNull(), F.col(c)) for c in ("_n", "_k")}
     state = (
-        daily.withColumn("prior_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("prior_k", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+        daily.withColumns({name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in counts.items()})
         .withColumn("_last", F.max(F.when(F.col("_n") > 0, F.col("_day"))).over(before))
         .filter("_asked")
-        .select(key, "_day", "prior_n", "prior_k", F.datediff("_day", "_last").alias("days_since_last"))
+        .select(key, "_day", *counts, "_last")
     )
     # Rows without a booking day match nothing and have no known history.
+    joined = queries.withColumn("_day", day).join(state, [key, "_day"], "left")
+    if closed is not None:
+        joined = joined.withColumns({f"prior{c}": F.col(f"prior{c}") - F.when(inside, F.col(f"_undated{c}")).otherwise(0) for c in ("_n", "_k")})
     return (
-        queries.withColumn("_day", day)
-        .join(state, [key, "_day"], "left")
-        .drop("_day")
+        joined.withColumn("days_since_last", F.datediff(booked, "_last"))
+        .drop("_day", "_last", "_undated_n", "_undated_k")
         .withColumn("prior_n", F.coalesce("prior_n", F.lit(0).cast("long")))
         .withColumn("prior_k", F.coalesce("prior_k", F.lit(0).cast("long")))
     )

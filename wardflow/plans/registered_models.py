@@ -41,6 +41,17 @@ def _holdout(spark, folder):
     return stored(x_train), x_test
 
 
+def _both(spark, folder):
+    """The tables of :func:`_holdout`, where the test rows are read too: one history serves both, and what is stored is read by date."""
+    frame = _bookings(spark, folder)
+    codes = _codes(frame)
+    cutoff = F.lit(splits.holdout_cutoff(frame).first()[0])
+    day = F.col("appointment_date")
+    rate = FT.base_rate(frame.filter(day < cutoff)).first()[0]
+    rows = stored(FT.no_show_features(frame, rate, codes=codes, keep=("patient_id", "appointment_date"), closed=cutoff))
+    return rows.filter(day < cutoff).drop("patient_id"), rows.filter(day >= cutoff)
+
+
 def _scored(model, test):
     """What the measures read several times, without the features and the history behind it."""
     return stored(model.transform(test).select("label", "score"))
@@ -53,20 +64,20 @@ def _grid(spark, folder):
 
 @register("no_show_logistic_scores")
 def no_show_logistic_scores(spark, folder):
-    train, test = _holdout(spark, folder)
+    train, test = _both(spark, folder)
     scored = models.fit_no_show(train, calibrate=False).transform(test)
     return scored.select("patient_id", "appointment_date", "label", F.round("score", 6).alias("score"))
 
 
 @register("no_show_calibrated_metrics")
 def no_show_calibrated_metrics(spark, folder):
-    train, test = _holdout(spark, folder)
+    train, test = _both(spark, folder)
     return metrics.classification_metrics(_scored(models.fit_no_show(train), test), 0.3)
 
 
 @register("no_show_boosted_metrics")
 def no_show_boosted_metrics(spark, folder):
-    train, test = _holdout(spark, folder)
+    train, test = _both(spark, folder)
     model = models.fit_no_show(train, estimator="gradient_boosting", calibrate=False)
     return metrics.classification_metrics(_scored(model, test), 0.3)
 
@@ -150,7 +161,7 @@ def no_show_score_equations(spark, folder):
 )
 def no_show_scored_rows(spark, folder):
     """Every resolved booking of the last dates gets one probability."""
-    train, test = _holdout(spark, folder)
+    train, test = _both(spark, folder)
     scored = models.fit_no_show(train, calibrate=False).transform(test)
     return scored.groupBy("appointment_date").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum("label").alias("no_shows"),
@@ -337,6 +348,6 @@ def estimator_selection(spark, folder):
 @register("feature_ablation")
 def feature_ablation(spark, folder):
     """Ranking quality with all features, without patient history and with it alone; the three fits run side by side."""
-    train, test = _holdout(spark, folder)
-    rows = models.ablation(train, stored(test))
+    train, test = _both(spark, folder)
+    rows = models.ablation(train, test)
     return spark.createDataFrame([(r["features"], r["roc_auc"], r["pr_auc"]) for r in rows], "features string, roc_auc double, pr_auc double")
