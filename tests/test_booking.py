@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from wardflow.operators import booking
 from wardflow.operators.booking import book_batch
@@ -102,3 +103,21 @@ def test_requests_that_cannot_be_accepted_are_not_waited_for(spark, monkeypatch)
     want = one_at_a_time(requests, visits)
     assert {r["request_id"]: r["verdict"] for r in got.collect()} == want
     assert {"ok", "slot_taken", "room_full", "only_scheduled_can_move"} <= set(want.values()) and len(rounds) <= 12
+
+
+def test_no_row_for_a_request_or_a_claimed_minute_is_broadcast(spark, monkeypatch):
+    """Such rows compress well, so they look small enough, and the driver builds the table that is broadcast."""
+    plans, plain = [], booking.stored
+
+    def seen(frame):
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return plain(frame)
+
+    monkeypatch.setattr(booking, "stored", seen)
+    visits = spark.createDataFrame([(7, 0, 0, None, "x", MONDAY, 600, 630, 30, "scheduled")], VISIT)
+    requests = spark.createDataFrame([(1, 0, 1, "x", MONDAY, 480, 30, 1, None), (2, 0, 1, "x", MONDAY, 500, 30, 1, 7)], REQUEST)
+    got = {r["request_id"]: r["verdict"] for r in book_batch(requests, visits, **context(spark)).collect()}
+    assert got == {1: "ok", 2: "slot_taken"}
+    joins = [keys for plan in plans for keys in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)]
+    assert joins and not [keys for keys in joins if re.search(r"\bminute#|request_id#", keys)]

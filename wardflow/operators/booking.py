@@ -4,7 +4,7 @@ Requests compete for doctors, rooms and the visits they move, so the verdict of
 one depends on those before it. A request waits only for earlier undecided ones
 that claim one of its minutes (or the visit it moves); all others are decided in
 the same round. Claims are minutes of a resource-day, so a round is made of
-aggregates and equi joins on (resource, day, minute), never of pairs of requests.
+aggregates by (resource, day, minute) and equi joins on (resource, day), never of pairs of requests.
 
 A request that meets something no earlier request can move away is lost: it is
 refused in any case, so nobody waits for it, and why it is refused is told at the
@@ -26,26 +26,48 @@ from wardflow.operators import intervals, quality
 from wardflow.session import drop_stored, stored
 
 DAY = "appointment_date"
-PLACE = ["kind", "resource", DAY, "minute"]
-#: The day of claims that have none.
-NO_DAY = dt.date(1970, 1, 1)
 
 
-def _claims(pending: DataFrame) -> DataFrame:
-    """``request_id`` and the minutes it may take or give back: of the new slot, of the old one, and the moved visit itself."""
-    minutes = lambda start, end: F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array(start))
-    c = F.col
+def _shuffled(frame: DataFrame) -> DataFrame:
+    """``frame`` to be joined by a shuffle: a row for each request looks small when compressed, and a broadcast of it is built on the driver."""
+    return frame.hint("merge")
 
-    def slot(kind: str, resource: str, day: str, start: str, end: str) -> DataFrame:
-        of = pending.filter(c(resource).isNotNull() & c(day).isNotNull())
-        return of.select("request_id", F.lit(kind).alias("kind"), c(resource).cast("long").alias("resource"), c(day).alias(DAY),
-                         F.explode(minutes(c(start), c(end))).alias("minute"))
 
-    parts = [slot(kind, f"{prefix}{resource}", f"{prefix}{DAY}", f"{prefix}start_minute", f"{prefix}end_minute")
-             for kind, resource in (("doctor", "doctor_id"), ("room", "room_id")) for prefix in ("", "old_")]
-    moved = pending.filter(c("moves_visit_id").isNotNull())
-    parts.append(moved.select("request_id", F.lit("visit").alias("kind"), c("moves_visit_id").cast("long").alias("resource"), F.lit(NO_DAY).alias(DAY), F.lit(0).alias("minute")))
-    return reduce(DataFrame.unionByName, parts)
+def _with_waits(able: DataFrame) -> DataFrame:
+    """``able`` with ``_wait_<kind>``: whether an earlier request claims the visit it moves or a minute of the slots it may take or give back.
+
+    The claims of a resource-day become one row, its minutes in order with the first
+    request of each. A request claims all minutes of its slots, so they are a slice there.
+    """
+    f = F.col
+    rows = able
+    for kind in ("doctor", "room"):
+        slots = [[f"{prefix}{c}" for c in (f"{kind}_id", DAY, "start_minute", "end_minute")] for prefix in ("", "old_")]
+        claims = reduce(DataFrame.unionByName, [
+            able.filter(f(resource).isNotNull() & f(day).isNotNull() & f(start).isNotNull()).select(
+                f(resource).cast("long").alias("_resource"), f(day).alias("_day"), "request_id",
+                F.explode(F.when(f(end) > f(start), F.sequence(f(start), f(end) - 1)).otherwise(F.array(start))).alias("minute"))
+            for resource, day, start, end in slots])
+        first = claims.groupBy("_resource", "_day", "minute").agg(F.min("request_id").alias("first"))
+        minutes = first.groupBy("_resource", "_day").agg(F.sort_array(F.collect_list(F.struct("minute", "first"))).alias("_m"))
+        minutes = _shuffled(minutes.select("_resource", "_day", f("_m.minute").alias("_minutes"), f("_m.first").alias("_firsts")))
+        waits = F.lit(False)
+        for i, (resource, day, start, end) in enumerate(slots):
+            own = F.slice("_firsts", F.array_position("_minutes", f(start)).cast("int"), F.greatest(f(end) - f(start), F.lit(1)).cast("int"))
+            rows = rows.withColumn("_resource", f(resource).cast("long")).withColumn("_day", f(day)).join(minutes, ["_resource", "_day"], "left")
+            rows = rows.withColumn(f"_wait_{i}", F.coalesce(F.array_min(own) < f("request_id"), F.lit(False))).drop("_resource", "_day", "_minutes", "_firsts")
+            waits = waits | f(f"_wait_{i}")
+        rows = rows.withColumn(f"_wait_{kind}", waits).drop("_wait_0", "_wait_1")
+    movers = able.filter(f("moves_visit_id").isNotNull()).groupBy(f("moves_visit_id").alias("visit_id")).agg(F.min("request_id").alias("_first"))
+    return _of_moved(rows, movers).withColumn("_wait_visit", F.coalesce(f("_first") < f("request_id"), F.lit(False))).drop("_first")
+
+
+def _of_moved(rows: DataFrame, frame: DataFrame) -> DataFrame:
+    """``rows`` with what ``frame`` says of the visit they move; requests that move none are spread by their own number, not all sent to one task."""
+    moves = F.col("moves_visit_id")
+    keyed = rows.withColumn("_moves", moves.isNotNull()).withColumn("_moved", F.coalesce(moves.cast("long"), F.col("request_id").cast("long")))
+    of_visit = frame.withColumn("_moves", F.lit(True)).withColumn("_moved", F.col("visit_id").cast("long")).drop("visit_id")
+    return keyed.join(_shuffled(of_visit), ["_moves", "_moved"], "left").drop("_moves", "_moved")
 
 
 def _overlaps(rows: DataFrame, held: DataFrame, tag: str) -> DataFrame:
@@ -77,12 +99,8 @@ def _round(pending: DataFrame, held: DataFrame) -> DataFrame:
     rows = stored(rows.withColumn("_lost", F.coalesce(lost, F.lit(False))).drop("_doctor_firm", "_room_firm"))
 
     able = rows.filter("NOT _lost")
-    claims = _claims(able)
-    first = claims.groupBy(*PLACE).agg(F.min("request_id").alias("_first"))
-    late = lambda kind: F.max((f("kind") == kind) & (f("_first") < f("request_id")))
-    waits = claims.join(first, PLACE).groupBy("request_id").agg(*[late(kind).alias(f"_wait_{kind}") for kind in ("doctor", "room", "visit")])
-    there = held.select(f("visit_id").alias("moves_visit_id"), F.lit(True).alias("_there")).filter("moves_visit_id IS NOT NULL").distinct()
-    able = _overlaps(able.join(waits, "request_id").join(there, "moves_visit_id", "left"), held, "held")
+    there = held.select("visit_id", F.lit(True).alias("_there")).filter("visit_id IS NOT NULL").distinct()
+    able = _overlaps(_of_moved(_with_waits(able), there), held, "held")
     # A moved visit still stands in its old slot, but not in its own way.
     count = lambda kind: f(f"_{kind}_fixed") + f(f"_{kind}_held") - _own(f"{kind}_id")
     verdict = (
