@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardflow.operators import boosting
 from wardflow.operators.boosting import Boosted, bin_edges, fit_boosted
 
 SETTINGS = {"maxIter": 4, "maxDepth": 3, "numLeaves": 5, "stepSize": 0.3, "minInstancesPerNode": 5, "regLambda": 1.0}
@@ -102,3 +103,31 @@ def test_a_level_is_one_job(spark):
     few, more = jobs(1), jobs(5)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert more - few <= 4 * 5
+
+
+@pytest.mark.parametrize("loss", ["log", "poisson", "absolute"])
+def test_sums_by_combination_give_the_trees_of_sums_by_level_in_fewer_jobs(spark, loss, monkeypatch):
+    rows = spark.range(600).select(F.pmod(F.hash("id"), F.lit(9)).cast("double").alias("a"), F.pmod(F.hash("id", F.lit(1)), F.lit(30)).cast("double").alias("b"))
+    frame = rows.withColumn("y", ((F.col("a") > 4) != (F.col("b") > 20)).cast("double")).repartition(3).localCheckpoint()
+    settings = {**SETTINGS, "subsamplingRate": 0.8}
+
+    def fitted(trees):
+        spark.sparkContext.setJobGroup(f"{loss}-{trees}-{boosting.MOST_JOINT}", "")
+        model = fit_boosted(frame, ["a", "b"], "y", loss, params={**settings, "maxIter": trees})
+        return model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{loss}-{trees}-{boosting.MOST_JOINT}"))
+
+    (one, few), (joint, many) = fitted(1), fitted(6)
+    monkeypatch.setattr(boosting, "MOST_JOINT", 0)
+    (level, _) = fitted(6)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many - few <= (3 if loss == "absolute" else 1) * 5 and len(one.trees) == 1
+    assert [(t.feature.tolist(), t.cut.tolist(), t.child.tolist()) for t in joint.trees] == [(t.feature.tolist(), t.cut.tolist(), t.child.tolist()) for t in level.trees]
+    assert max(np.abs(a.value - b.value).max() for a, b in zip(joint.trees, level.trees)) < 1e-9
+
+
+def test_the_larger_sibling_is_the_rest_of_its_parent(spark, monkeypatch):
+    asked, plain = [], boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda blocks, grown, frontier, *a: asked.append(len(frontier)) or plain(blocks, grown, frontier, *a))
+    frame = spark.range(800).select((F.col("id") % 64).cast("double").alias("a")).withColumn("y", F.pmod(F.hash("a"), F.lit(50)).cast("double"))
+    fit_boosted(frame, ["a"], "y", "absolute", params={**SETTINGS, "maxIter": 1, "numLeaves": 8})
+    assert asked == [1, 1, 2]
