@@ -55,6 +55,21 @@ def test_estimator_selection_reports_both(table):
     assert scores[winner] == max(scores.values())
 
 
+def test_estimator_selection_query_fits_whole_models_on_three_splits(spark, monkeypatch):
+    from wardflow.plans import registered_models
+
+    fits, plain = [], models._fit_base
+
+    def fit(kind, train, names, seed, params):
+        fits.append((kind, params))
+        return plain(kind, train, names, seed, {"maxIter": 1} if kind == "gradient_boosting" else params)
+
+    monkeypatch.setattr(models, "_fit_base", fit)
+    rows = registered_models.estimator_selection(spark, "/root/testdata/sf0.001").collect()
+    assert {r["estimator"] for r in rows} == set(models.KINDS)
+    assert sorted(fits) == [("gradient_boosting", None)] * 3 + [("logistic_regression", None)] * 3
+
+
 def test_train_save_load_and_serve(spark, frame, tmp_path):
     folder = str(tmp_path / "models")
     with pytest.raises(FileNotFoundError, match="run the training job first"):
